@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text handed to Python code at once; bounds a worker's memory besides its single longest text.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,18 +50,18 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
 
 
-def slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Runs of rows of about SLICE_BYTES of text, with their texts as UTF-8 (None for null)."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Runs of rows of about limit bytes of text, with their texts as UTF-8 (None for null)."""
     texts = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(ends, ends[at] + SLICE_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1)
         yield batch.slice(at, to - at), texts.slice(at, to - at).to_pylist()
         at = to
 
 
-def map_texts(df: DataFrame, make: Callable[[], Callable[[list[bytes | None]], list[pa.Array]]], fields: list[T.StructField], text: str = "text", keep_text: bool = True, where: int | None = None) -> DataFrame:
+def map_texts(df: DataFrame, make: Callable[[], Callable[[list[bytes | None]], list[pa.Array]]], fields: list[T.StructField], text: str = "text", keep_text: bool = True, where: int | None = None, limit: int = SLICE_BYTES) -> DataFrame:
     """Append columns computed from whole texts, by Arrow batches.
 
     make() runs once in each task and returns the function from texts to columns. Columns of df that clash
@@ -77,7 +77,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[bytes | None]], l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for rows, texts in slices(batch, text):
+            for rows, texts in slices(batch, text, limit):
                 new = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(f(texts), types, strict=True)]
                 old = [(n, rows.column(i)) for i, n in enumerate(rows.schema.names) if keep_text or n != text]
                 out = pa.RecordBatch.from_arrays([c for _, c in old] + new, names=[n for n, _ in old] + [x.name for x in fields])

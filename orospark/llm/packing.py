@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orospark.llm.common import global_rank, materialise, slices, table, without
-from orospark.llm.tokens import encoder, tokenizer_path
+from orospark.llm.tokens import BATCH_BYTES, encoder, tokenizer_path, with_end
 
 WORD_BPE = "word_bpe_49k.json"
 WINDOW = 4096
@@ -104,25 +104,22 @@ def cut_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
     A null text is empty; each document has the end id, so at least one piece."""
     long = T.LongType()
     schema = T.StructType([docs.schema[key], *(T.StructField(n, long) for n in ("start", "length", "ids_crc32", "doc_tokens")), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
-    tail = np.asarray([end_id], "<u4").tobytes()
-
     def run(batches):
         encode = encoder(path).encode
         for batch in batches:
-            for rows, texts in slices(batch, text):
-                keys, out = rows.column(rows.schema.get_field_index(key)), [[] for _ in range(6)]
-                for k, ids in enumerate(encode([(t or b"").decode("utf-8", "replace") for t in texts])):
-                    ids += tail
-                    n = len(ids) // 4
-                    for at in range(0, n, window):
-                        piece = ids[4 * at : 4 * (at + window)]
-                        for x, v in zip(out, (k, at, len(piece) // 4, zlib.crc32(piece), n, piece), strict=True):
-                            x.append(v)
-                columns = [keys.take(pa.array(out[0], pa.int64())), *(pa.array(x, pa.int64()) for x in out[1:5])]
-                if with_ids:
-                    data = b"".join(out[5])
-                    ends = np.concatenate([[0], np.cumsum(out[2])]).astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.Array.from_buffers(pa.int32(), len(data) // 4, [None, pa.py_buffer(data)])))
+            for rows, texts in slices(batch, text, BATCH_BYTES):
+                ids, ends = with_end(*encode(texts), end_id)
+                n = np.diff(ends)
+                pieces = -(-n // window)
+                row = np.repeat(np.arange(len(n)), pieces)
+                start = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * window
+                length = np.minimum(window, n[row] - start)
+                at, data = ends[row] + start, memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+                crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
+                keys = rows.column(rows.schema.get_field_index(key))
+                columns = [keys.take(pa.array(row)), *(pa.array(x, pa.int64()) for x in (start, length, crc, n[row]))]
+                if with_ids:  # the pieces follow one another in ids
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)), pa.int32()), pa.array(ids.view(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.select(key, text).mapInArrow(run, schema)

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orospark.llm.common import map_texts, new_path, table, without
-from orospark.llm.tokens import encoder, tokenizer_path
+from orospark.llm.common import map_texts, new_path, table
+from orospark.llm.tokens import BATCH_BYTES, encoder, tokenizer_path, with_end
 
 BYTE_BPE = "byte_bpe_50k.json"
 #: Dictionary pages for ids (a vocabulary of 50k fits in one), delta for the metadata; the v2 writer adds page
@@ -31,14 +31,6 @@ LAYOUT = {
 }
 
 
-def _id_lists(encoded: list[bytes], end_id: int) -> pa.Array:
-    tail = np.asarray([end_id], "<u4").tobytes()
-    data = b"".join([x for e in encoded for x in (e, tail)])
-    offsets = np.zeros(len(encoded) + 1, np.int32)
-    np.cumsum([len(e) // 4 + 1 for e in encoded], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.Array.from_buffers(pa.int32(), len(data) // 4, [None, pa.py_buffer(data)]))
-
-
 def encode_documents(docs: DataFrame, path: str, end_id: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs in ascending key order (a null key first, equal keys by text) with ids, n_tokens, part and local_start.
 
@@ -52,15 +44,16 @@ def encode_documents(docs: DataFrame, path: str, end_id: int = 0, text: str = "t
 
         def f(texts):
             nonlocal before
-            encoded = encode([(t or b"").decode("utf-8", "replace") for t in texts])
-            n = np.asarray([len(e) // 4 + 1 for e in encoded], np.int64)
-            start = before + np.cumsum(n) - n
-            before += int(n.sum())
-            return [_id_lists(encoded, end_id), pa.array(n), pa.array(np.full(len(n), part, np.int32)), pa.array(start)]
+            ids, ends = with_end(*encode(texts), end_id)
+            n = np.diff(ends)
+            start = before + ends[:-1]
+            before += int(ends[-1])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.view(np.int32)))
+            return [lists, pa.array(n), pa.array(np.full(len(n), part, np.int32)), pa.array(start)]
 
         return f
 
-    return map_texts(dealt, make, fields, text, keep_text=False)
+    return map_texts(dealt, make, fields, text, keep_text=False, limit=BATCH_BYTES)
 
 
 def write_token_files(docs: DataFrame, out: str, path: str, end_id: int = 0, text: str = "text", key: str = "doc_id", layout: dict[str, str] | None = None) -> None:
@@ -95,21 +88,30 @@ def read_tokens(spark, out: str, keys: list[int] | None = None, key: str = "doc_
     return rows if keys is None else rows.where(F.col(key).isin(keys))
 
 
-def with_crc32(rows: DataFrame) -> DataFrame:
-    """rows with ids replaced by ids_crc32, of the ids as little-endian unsigned 32-bit integers."""
-    kept = without(rows, ["ids_crc32"])
-    schema = T.StructType([f for f in kept.schema.fields if f.name != "ids"] + [T.StructField("ids_crc32", T.LongType())])
+def id_checksums(spark, out: str, key: str = "doc_id") -> DataFrame:
+    """key, part, local_start, n_tokens and ids_crc32 (of the ids as little-endian unsigned 32-bit integers), from the files.
+
+    Spark reads each file from whatever store it lies in, and a worker decodes its row groups one by one: ids never
+    pass through rows. A file holds one range partition, so its size is that of a shuffle partition."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(out).select("content")
+    like = spark.read.parquet(out).schema
+    schema = T.StructType([*(like[n] for n in (key, "part", "local_start", "n_tokens")), T.StructField("ids_crc32", T.LongType())])
 
     def run(batches):
-        for b in batches:
-            lists = b.column(b.schema.get_field_index("ids"))
-            ends = lists.offsets.to_numpy()
-            data = memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), "<i4")).cast("B")
-            crc = [zlib.crc32(data[4 * x : 4 * y]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            old = [n for n in b.schema.names if n != "ids"]
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in old), pa.array(crc, pa.int64())], names=[*old, "ids_crc32"])
+        import pyarrow.parquet as pq
+
+        for batch in batches:
+            for content in batch.column(0):
+                f = pq.ParquetFile(pa.BufferReader(content.as_buffer()))
+                for rows in f.iter_batches(batch_size=4096, columns=[*schema.names[:-1], "ids"]):
+                    lists = rows.column(rows.schema.get_field_index("ids"))
+                    ends = lists.offsets.to_numpy()
+                    data = memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), "<i4")).cast("B")
+                    crc = [zlib.crc32(data[4 * x : 4 * y]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                    old = [rows.column(rows.schema.get_field_index(n)) for n in schema.names[:-1]]
+                    yield pa.RecordBatch.from_arrays([*old, pa.array(crc, pa.int64())], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return files.mapInArrow(run, schema)
 
 
 def op5_token_files(spark, sf_dir: str) -> DataFrame:
@@ -117,5 +119,4 @@ def op5_token_files(spark, sf_dir: str) -> DataFrame:
     write_token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), out, tokenizer_path(BYTE_BPE))
     files = spark.read.parquet(out)
     metadata = files.select("part", "local_start", "n_tokens")
-    rows = with_crc32(files.select("doc_id", "part", "local_start", "n_tokens", "ids"))
-    return with_starts(rows, metadata).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return with_starts(id_checksums(spark, out), metadata).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -1,26 +1,34 @@
-"""Exact token ids from public tokenizers, with a cache of the chunks that white space sets apart."""
+"""Exact token ids from public tokenizers: white space cuts texts in chunks, and each distinct chunk is encoded once."""
 
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
-
-#: Chunks that a worker remembers; others are encoded each time they come.
-CACHE_CHUNKS = 400_000
-CACHE_CHUNK_BYTES = 48
-
-#: Atoms encoded in one call, with separators whose ids are known.
-_JOINED = 512
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Text encoded at once, about: the more, the fewer distinct chunks to look up.
+BATCH_BYTES = 16 << 20
+#: Chunks that a worker remembers; others are encoded again when they come in a later batch.
+CACHE_CHUNKS = 700_000
+CACHE_CHUNK_BYTES = 32
+#: Chunks encoded in one call, with separators whose ids are known.
+JOINED = 512
+#: Marks that end a pre-token of letters before them.
+MARKS = ",.!?;:|$%&#*"
+#: Control characters that are white space to Python but not to the tokenizers' patterns, or the other way, and those used as marks here.
+CONTROLS = ("\0", "\x01", "\x1c", "\x1d", "\x1e", "\x1f", "᠎")
 
 
 class ChunkEncoder:
-    """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes.
+    """encode(texts) gives the ids of all texts in one array, and where each text's begin.
 
     Byte-level files: pre-tokens never cross a single space or line feed between two other characters, so a text
-    can be cut before each such space and around each such line feed. Word files: white space only separates. A text with other runs of white space
-    (byte level) or odd separators is encoded whole. Either way the ids are those of the whole text."""
+    is cut at each. A chunk that starts or ends with other white space, or an empty one, betrays a run of white
+    space: such a text is encoded whole. Word files: white space only separates. Either way the ids are those of
+    the whole text. Cutting, counting distinct chunks and gathering their ids are array operations; Python sees
+    each distinct chunk of a batch once."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -31,56 +39,122 @@ class ChunkEncoder:
         self.word = self.tokenizer.normalizer is not None
         self.separator = " \x01 " if self.word else "\n"
         self.mark = self._whole([self.separator])[0]
-        self.cache: dict[str, bytes] = {} if self.word else {"\n": self.mark}
+        self.cache: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _atoms(self, atoms: list[str]) -> list[bytes]:
-        """Ids of chunks without the separator, many in one call."""
+    def _joined(self, atoms: list[str]) -> list[bytes]:
+        """Ids of strings without the separator, many in one call."""
         if len(self.mark) != 4:
             return self._whole(atoms)
         mark, out = np.frombuffer(self.mark, "<u4")[0], []
-        runs = [atoms[k : k + _JOINED] for k in range(0, len(atoms), _JOINED)]
+        runs = [atoms[k : k + JOINED] for k in range(0, len(atoms), JOINED)]
         for run, ids in zip(runs, self._whole([self.separator.join(r) for r in runs]), strict=True):
             at = [-1, *np.flatnonzero(np.frombuffer(ids, "<u4") == mark).tolist(), len(ids) // 4]
             got = [ids[4 * (x + 1) : 4 * y] for x, y in zip(at, at[1:])]
             out += got if len(got) == len(run) else self._whole(run)
         return out
 
-    def _chunks(self, text: str) -> list[str] | None:
-        if self.word:
-            return None if _ODD_WORD.search(text) else text.split()
-        if "\0" in text or "\u180e" in text or len(" ".join(text.split())) != len(text):
-            return None  # white space beside white space or at an end
-        c = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        return c if c[0] else c[1:]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        whole, parts = [], []
-        for k, t in enumerate(texts):
-            c = self._chunks(t) if t else []
-            if c is None:
-                whole.append(k)
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks as they stand in a text: after a space, a line feed, or (marked \\0) first of all. Closing
+        marks are a pre-token of their own after a letter, so such a chunk is put together from two."""
+        known, split, atoms = self.cache, {}, {}
+        for x in chunks:
+            if x[-1] in MARKS and (stem := x.rstrip(MARKS)) and stem[-1] < "ɐ" and stem[-1].isalpha():
+                marks = "\0" + x[len(stem) :]
+                split[x] = (stem, marks)
+                if stem not in known:
+                    atoms[stem] = b""
+                if marks not in known:
+                    atoms[marks] = b""
             else:
-                parts.append((k, c))
-        for k, ids in zip(whole, self._whole([texts[k] for k in whole]), strict=True):
-            out[k] = ids
-        new = list(set().union(*[c for _, c in parts]).difference(self.cache))
-        known = dict(zip(new, self._atoms(new), strict=True))
+                atoms[x] = b""
+        names = list(atoms)
+        if self.word:
+            ids = self._joined([x.lstrip("\0") for x in names])
+        else:
+            ids = self._joined([x[1:] if x[0] in "\n\0" else " " + x for x in names])
+            ids = [self.mark + i if x[0] == "\n" else i for x, i in zip(names, ids, strict=True)]
+        atoms = dict(zip(names, ids, strict=True))
+        if len(known) < CACHE_CHUNKS:
+            known.update((x, i) for x, i in atoms.items() if len(x) <= CACHE_CHUNK_BYTES)
+        get = lambda x: atoms[x] if x in atoms else known[x]
+        return [get(x) if x not in split else get(split[x][0]) + get(split[x][1]) for x in chunks]
+
+    def _odd(self, chunk: str) -> bool:
+        """White space beside white space, or a character that stands for something here."""
+        rest = chunk[1:] if chunk[:1] in ("\n", "\0") else chunk
+        return not rest or rest[0].isspace() or rest[-1].isspace() or "\0" in rest or "\n" in rest or "᠎" in rest
+
+    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of UTF-8 texts; those of text k are ids[offsets[k]:offsets[k + 1]]. None is empty."""
+        try:
+            column = pa.array(texts, pa.large_binary()).cast(pa.large_string())
+        except pa.ArrowInvalid:
+            column = pa.array([t and t.decode("utf-8", "replace") for t in texts], pa.large_string())
+        column = column.fill_null("")
+        n, apart = len(column), np.zeros(len(column), bool)
+        for c in CONTROLS if self.word else CONTROLS[:1]:
+            apart |= pc.match_substring(column, c).to_numpy(zero_copy_only=False)
+        if self.word:
+            lists = pc.utf8_split_whitespace(column)
+        else:
+            marked = pc.binary_join_element_wise(pa.scalar("\0", pa.large_string()), pc.replace_substring(column, "\n", " \n"), pa.scalar("", pa.large_string()))
+            lists = pc.split_pattern(marked, " ")
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        coded = lists.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+        ends -= ends[0]
+        codes, chunks = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        ids = list(map(self.cache.get, chunks))
+        new = [k for k, i in enumerate(ids) if i is None]
+        if self.word:
+            odd = [k for k in new if not chunks[k] or any(c in chunks[k] for c in CONTROLS)]
+        else:
+            odd = [k for k in new if self._odd(chunks[k])]
+        if odd:
+            strange = np.zeros(len(chunks), bool)
+            strange[odd] = True
+            if not self.word:
+                apart[np.searchsorted(ends, np.flatnonzero(strange[codes]), "right") - 1] = True
+                apart[np.diff(ends) == 1] &= pc.binary_length(column).to_numpy()[np.diff(ends) == 1] > 0  # an empty text is one empty chunk
+            for k in odd:
+                ids[k] = b""
+            new = [k for k in new if not strange[k]]
+        names = [chunks[k] for k in new]
+        fresh = self._ids(names)
+        for k, i in zip(new, fresh, strict=True):
+            ids[k] = i
         if len(self.cache) < CACHE_CHUNKS:
-            self.cache.update((x, i) for x, i in known.items() if len(x) <= CACHE_CHUNK_BYTES)
-        get = self.cache.__getitem__
-        for k, c in parts:
-            try:
-                out[k] = b"".join(map(get, c))
-            except KeyError:
-                out[k] = b"".join([known[x] if x in known else get(x) for x in c])
-        return out
+            self.cache.update((x, i) for x, i in zip(names, fresh, strict=True) if len(x) <= CACHE_CHUNK_BYTES)
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        if apart.any():
+            codes, ends, flat, starts, sizes = self._patch(column, apart, codes, ends, flat, starts, sizes)
+        each = sizes[codes]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        small = np.int32 if max(upto[-1], len(flat)) < 1 << 31 else np.int64
+        place = np.arange(upto[-1], dtype=small) + np.repeat((starts[codes] - upto[:-1]).astype(small), each)
+        return flat[place], upto[ends[: n + 1]]
+
+    def _patch(self, column, apart, codes, ends, flat, starts, sizes):
+        """The texts set apart become one chunk each, encoded whole."""
+        rows = np.flatnonzero(apart)
+        ids = self._whole([column[int(k)].as_py() for k in rows])
+        own = np.array([len(i) // 4 for i in ids], np.int64)
+        keep = ~np.repeat(apart, np.diff(ends))
+        count = np.where(apart, 1, np.diff(ends))
+        out_ends = np.concatenate([[0], np.cumsum(count)])
+        out = np.zeros(out_ends[-1], np.int64)
+        slot = np.zeros(out_ends[-1], bool)
+        slot[out_ends[:-1][rows]] = True
+        out[~slot] = codes[keep]
+        out[slot] = len(sizes) + np.arange(len(rows))
+        starts = np.concatenate([starts, len(flat) + np.cumsum(own) - own])
+        return out, out_ends, np.concatenate([flat, np.frombuffer(b"".join(ids), "<u4")]), starts, np.concatenate([sizes, own])
 
 
-_ODD_WORD = re.compile(r"[\x01\x1c-\x1f᠎]")
 _encoders: dict[str, ChunkEncoder] = {}
 
 
@@ -91,6 +165,11 @@ def encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
+def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """ids and offsets with the end id after each text."""
+    return np.insert(ids, offsets[1:], end_id), offsets + np.arange(len(offsets))
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 

@@ -105,11 +105,13 @@ def whole():
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_chunks_give_the_ids_of_whole_texts(name, whole):
     rng = random.Random(5)
-    texts = ["".join(rng.choice(" \n\tabAé'!1  s\x1cß́ćΣ") for _ in range(rng.randint(0, 20))) for _ in range(5000)]
+    texts = ["".join(rng.choice(" \n\t\0abAé'!1  s\x1cß́ćΣ") for _ in range(rng.randint(0, 20))) for _ in range(5000)]
     texts += ["it's  I'm\tok you've", "<|endoftext|> x <|startoftext|>", "日本 語 　x", "x" * 5000, "\x00a\x1f c", "a\x01 b"]
     e, one = ChunkEncoder(tokenizer_path(name)), whole(name)
     for _ in range(2):  # the second time from the cache
-        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == [one(t) for t in texts]
+        ids, ends = e.encode([t.encode() for t in texts])
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [one(t) for t in texts]
+    assert e.encode([])[1].tolist() == [0] and e.encode([None, b""])[1].tolist() == [0, 0, 0]
 
 
 def crc(ids):
