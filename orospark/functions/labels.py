@@ -100,7 +100,7 @@ def parent_path(relative: Column) -> Column:
 
 def bind_source(path: Column) -> Column:
     """Left side of a container bind: C:\\a becomes //c/a, so its colon isn't taken for the separator."""
-    text = F.regexp_replace(path, r"\\\\", "/")
+    text = F.translate(path, "\\", "/")
     rest = F.ltrim(F.substring(text, 3, 1 << 30), F.lit("/"))
     drive = F.concat(F.lit("//"), F.lower(F.substring(text, 1, 1)))
     return F.when(F.substring(text, 2, 1) == ":", F.when(rest == "", drive).otherwise(F.concat_ws("/", drive, rest))).otherwise(text)
