@@ -60,6 +60,19 @@ def ramp_colour(step: Column, ramp: str = "hypsometric", steps: int = RAMP_STEPS
     return out
 
 
+def checked_range(low: float, high: float) -> tuple[float, float]:
+    if not high > low:
+        raise ValueError("the greatest height has to be over the least")
+    return low, high
+
+
+def shade(value: Column, ramp: str, low: float, high: float, contour: Column | None = None, contour_colour: str = "#ffffff") -> Column:
+    """Colour of a cell: that of the contour where one runs, else the ramp's; null for nodata off a contour."""
+    low, high = checked_range(low, high)
+    colour = ramp_colour(ramp_step(value, F.lit(low), F.lit(high)), ramp)
+    return colour if contour is None else F.when(contour, F.lit(contour_colour)).otherwise(colour)
+
+
 def fixed(c: Column, places: int) -> Column:
     return F.format_string(f"%.{places}f", c.cast("double"))
 

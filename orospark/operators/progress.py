@@ -80,6 +80,28 @@ def calibrated(samples: DataFrame, bucket: str, min_samples: int = MIN_SAMPLES)
     return n.withColumn("weight_source", F.when(F.col("sample_count") >= min_samples, F.lit("historical")).otherwise(F.lit("default")))
 
 
+CALIBRATION = "map<string, struct<sample_count: long, weights: map<string, double>>>"
+
+
+def calibration_state(text: Column) -> Column:
+    """Calibration by bucket from its JSON text; the defaults where it is missing or can't be read."""
+    pairs = lambda w: F.create_map(*[x for s, v in w.items() for x in (F.lit(s), F.lit(v))])
+    default = F.create_map(*[x for b, w in DEFAULT_WEIGHTS.items() for x in (F.lit(b), F.struct(F.lit(0).cast("long").alias("sample_count"), pairs(w).alias("weights")))])
+    parsed = F.from_json(text, CALIBRATION)
+    return F.when(F.try_parse_json(text).isNotNull() & F.trim(text).startswith("{"), parsed).otherwise(default)
+
+
+def bucket_weights(state: Column, with_publish: bool, min_samples: int = MIN_SAMPLES) -> Column:
+    """(weights, weight_source, sample_count) that a bucket goes by: its history once it has enough samples, else the defaults."""
+    bucket = "with_publish" if with_publish else "without_publish"
+    default = F.create_map(*[x for s, v in DEFAULT_WEIGHTS[bucket].items() for x in (F.lit(s), F.lit(v))])
+    n = F.coalesce(state[bucket]["sample_count"], F.lit(0).cast("long"))
+    weights = F.when(n >= min_samples, F.coalesce(state[bucket]["weights"], default)).otherwise(default)
+    total = F.aggregate(F.map_values(weights), F.lit(0.0), lambda a, x: a + x)
+    even = F.when(total > 0, F.transform_values(weights, lambda _, v: v / total)).otherwise(weights)
+    return F.struct(even.alias("weights"), F.when(n >= min_samples, F.lit("historical")).otherwise(F.lit("default")).alias("weight_source"), n.alias("sample_count"))
+
+
 def throttled(events: DataFrame, job: str, seconds: str, percent: str, order: list[str], forced: str | None = None, min_seconds: float = MIN_SECONDS, min_points: float = MIN_POINTS) -> DataFrame:
     """(job, emissions): how many updates of each job get through.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,8 +41,8 @@ def whole_degree_tiles(lon: Column, lat: Column, zoom: int) -> tuple[Column, Col
 def pyramid(tiles: DataFrame, end_zoom: int = 0, keys: tuple[str, ...] = ()) -> DataFrame:
     """All zooms of tiles (z, x, y, elev): n, total, least and most elevation of each tile, from the deepest down to end_zoom.
 
-    Every row is aggregated once, at the zoom it comes with; each zoom above is built from the four tiles below,
-    so the work shrinks fourfold a level. Rows may come at several zooms."""
+    Rows are aggregated once, at the zoom they come with; only those sums then go to the tiles above, all levels in
+    one shuffle, with partial sums before it. Rows may come at several zooms."""
     deepest = tiles.agg(F.max("z")).first()[0]
     sums = tiles.groupBy(*keys, "z", "x", "y").agg(F.count("elev").alias("n"), F.sum("elev").alias("total"), F.min("elev").alias("least"), F.max("elev").alias("most"))
     if deepest is None:
@@ -154,3 +156,15 @@ def mesh_vertices(cells: DataFrame, size: int = 65, quality: float = 1.0, keys:
     h = F.when(high > low, F.floor((F.col("elev") - low) * 32767 / (high - low))).otherwise(F.lit(0)).cast("int")
     scale = lambda c: F.floor(c * 32767 / F.lit(step)).cast("int")
     return kept.select(*keys, "tile_x", "tile_y", scale(i).alias("u"), scale(F.lit(step) - j).alias("v"), h.alias("h"))
+
+
+def heightmap_bytes(tiles: DataFrame, samples: str = "samples", name: str = "body") -> DataFrame:
+    """tiles with the body of a heightmap-1.0 file: samples as little-endian 16-bit numbers, all four children, no water."""
+
+    def pack(batches):
+        for b in batches:
+            lists = b.column(b.schema.get_field_index(samples))
+            body = [np.asarray(x, "<u2").tobytes() + b"\x0f\0" for x in lists.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(body, pa.binary())], names=[*b.schema.names, name])
+
+    return tiles.mapInArrow(pack, T.StructType([*tiles.schema.fields, T.StructField(name, T.BinaryType())]))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import math
+from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orospark.operators import catalog, lineage, raster, tiles
@@ -40,18 +41,51 @@ class Request:
     publish: PublishOptions = field(default_factory=PublishOptions)
 
 
-def tile_cells(cells: DataFrame, options: TileOptions) -> DataFrame:
-    """(z, x, y, n, total, least, most) of all zooms. Without a start zoom, it is the least at which a tile has no more
-    than tile_size (65) cells on a side."""
-    size = (options.tile_size or 65) - 1
-    ends = cells.agg(F.max("row").alias("r"), F.max("col").alias("c")).first()
-    if ends.r is None:
-        return tiles.pyramid(cells.select(F.lit(0).alias("z"), F.col("col").alias("x"), F.col("row").alias("y"), "elev"))
+@dataclass(frozen=True)
+class Grid:
+    """Where cells lie: degrees, or with mercator rows that are even in Mercator's y between north and south."""
+
+    west: float
+    north: float
+    dx: float
+    dy: float
+    rows: int
+    cols: int
+    mercator: bool = False
+
+    @property
+    def south(self) -> float:
+        return self.north - self.dy * self.rows
+
+    def lon(self) -> Column:
+        return F.lit(self.west) + (F.col("col") + 0.5) * self.dx
+
+    def lat(self) -> Column:
+        if not self.mercator:
+            return F.lit(self.north) - (F.col("row") + 0.5) * self.dy
+        y = lambda lat: F.log(F.tan(F.radians(F.lit(45.0 + lat / 2))))
+        top, foot = y(self.north - self.dy / 2), y(self.south + self.dy / 2)
+        return F.degrees(2 * F.atan(F.exp(top + (foot - top) * F.col("row") / max(self.rows - 1, 1)))) - 90.0
+
+
+def reproject(cells: DataFrame, grid: Grid, crs: str) -> tuple[DataFrame, Grid]:
+    """cells on a grid of the given system: unchanged for EPSG:4326, rows respaced for EPSG:3857, bilinear."""
+    if crs == "EPSG:4326":
+        return cells, grid
+    if crs != "EPSG:3857" or max(abs(grid.north), abs(grid.south)) > tiles.MERCATOR_LIMIT + grid.dy:
+        raise ValueError(f"can't bring rows from {grid.south} to {grid.north} to {crs}")
+    limit = tiles.MERCATOR_LIMIT
+    rows = raster.mercator_rows(min(grid.north - grid.dy / 2, limit), max(grid.south + grid.dy / 2, -limit), grid.rows, cells.sparkSession)
+    return raster.remap_rows(cells, rows), replace(grid, mercator=True)
+
+
+def tile_cells(cells: DataFrame, grid: Grid, options: TileOptions) -> DataFrame:
+    """(z, x, y, n, total, least, most) of all zooms. Without a start zoom, it is the deepest at which a tile is no
+    smaller than tile_size (65) cells."""
     zoom = options.start_zoom
     if zoom is None:
-        zoom = max(0, (max(ends.r // size, ends.c // (2 * size))).bit_length())
-    x = F.expr(f"(col * {2 << zoom}) div {ends.c + 1}")
-    y = F.expr(f"(({ends.r} - row) * {1 << zoom}) div {ends.r + 1}")
+        zoom = max(0, int(math.floor(math.log2(360.0 / (grid.dx * ((options.tile_size or 65) - 1))))) - (options.profile == "geodetic"))
+    x, y = tiles.tile_xy(grid.lon(), grid.lat(), F.lit(zoom), options.profile)
     return tiles.pyramid(cells.select(F.lit(zoom).alias("z"), x.alias("x"), y.alias("y"), "elev"), options.end_zoom or 0)
 
 
@@ -82,7 +116,12 @@ def run(spark: SparkSession, space: Workspace, request: Request, job_id: str | N
         files.fingerprints(spark, request.input_path).withColumn("job_id", F.lit(job_id)).write.mode("overwrite").parquet(f"{job}/source")
         stage("preprocessing", 2.0)
         p, t = request.preprocess, request.tile
-        cells, levels = raster.preprocess(geotiff.read_dem(spark, request.input_path).drop("raster_id"), p.nodata_value, fill=p.fill_nodata, build_overviews=p.build_overviews)
+        found = geotiff.read_places(spark, request.input_path).drop("raster_id").first()
+        cells = geotiff.read_dem(spark, request.input_path).drop("raster_id")
+        if p.nodata_value is not None:
+            cells = raster.mask_nodata(cells, p.nodata_value)
+        cells, grid = reproject(cells, Grid(**found.asDict()), p.target_crs)
+        cells, _ = raster.preprocess(cells, fill=p.fill_nodata, build_overviews=False)
         sinks.write_blocks(cells, f"{job}/preprocessed", p.block_size)
         cells = raster.from_blocks(spark.read.parquet(f"{job}/preprocessed"))
         if p.build_overviews:
@@ -92,7 +131,7 @@ def run(spark: SparkSession, space: Workspace, request: Request, job_id: str | N
                 out = out.unionByName(d)
             out.write.partitionBy("factor").mode("overwrite").parquet(f"{job}/overviews")
         stage("tiling", 25.0)
-        made = tile_cells(cells, t)
+        made = tile_cells(cells, grid, t)
         if not t.layer_only:
             sinks.write_tiles(made, f"{job}/tiles", t.resume)
             made = spark.read.parquet(f"{job}/tiles")

@@ -56,6 +56,29 @@ def decode(data: bytes) -> tuple[np.ndarray, float | None]:
     return out, float(nodata) if nodata not in (None, "") else None
 
 
+def place(data: bytes) -> tuple[float, float, float, float, int, int]:
+    """(west, north, width and height of a cell, rows, columns); the whole world in degrees where no place is given."""
+    t = tags(data)
+    width, height = t[256][0], t[257][0]
+    if 33550 not in t or 33922 not in t:
+        return -180.0, 90.0, 360.0 / width, 180.0 / height, height, width
+    (sx, sy), (i, j, _, x, y) = t[33550][:2], t[33922][:5]
+    return x - i * sx, y + j * sy, sx, sy, height, width
+
+
+def read_places(spark: SparkSession, path: str) -> DataFrame:
+    """(raster_id, west, north, dx, dy, rows, cols) of the files that a path names."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def run(batches):
+        for b in batches:
+            rows = [place(c.as_buffer().to_pybytes()) for c in b.column(1)]
+            columns = [pa.array([r[k] for r in rows], pa.float64() if k < 4 else pa.int64()) for k in range(6)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["raster_id", "west", "north", "dx", "dy", "rows", "cols"])
+
+    return files.mapInArrow(run, "raster_id string, west double, north double, dx double, dy double, rows long, cols long")
+
+
 def read_dem(spark: SparkSession, path: str) -> DataFrame:
     """(raster_id, row, col, elev) of the files that a path names, a double or null for nodata; a row of pixels at a time."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")

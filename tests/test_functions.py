@@ -93,3 +93,10 @@ def test_rectangles_and_numbers(spark):
     assert [one(spark, display.show_percent(F.lit(p))) for p in (42.0, 42.25, 120.0, -5.0)] == ["42%", "42.3%", "100%", "0%"]
     assert one(spark, display.ramp_colour(display.ramp_step(F.lit(3000.0), F.lit(-500.0), F.lit(3000.0)))) == "#fffdfd"
     assert one(spark, display.exaggeration(F.lit(None).cast("double"))) == 1.0
+
+
+def test_shading(spark):
+    assert one(spark, display.shade(F.lit(5.0), "ocean", 0.0, 10.0, F.lit(True))) == "#ffffff"
+    assert one(spark, display.shade(F.lit(-5.0), "ocean", 0.0, 10.0, F.lit(False))) == one(spark, display.shade(F.lit(0.0), "ocean", 0.0, 10.0))
+    with pytest.raises(ValueError, match="over"):
+        display.shade(F.lit(1.0), "ocean", 5.0, 5.0)

@@ -72,13 +72,15 @@ def test_throttle_lets_forced_updates_through(spark):
 
 def test_a_file_becomes_a_tileset(spark, tmp_path):
     space = terrain.Workspace(f"file://{tmp_path}")
-    (tmp_path / "d.tif").write_bytes(tiff(np.arange(130 * 130).reshape(130, 130), None))
+    (tmp_path / "d.tif").write_bytes(tiff(np.arange(130 * 130).reshape(130, 130), None, at=(10.0, 50.0, 0.1)))
     job = terrain.run(spark, space, terrain.Request(f"file://{tmp_path}/d.tif", tile=TileOptions(output_format="Terrain"), publish=PublishOptions(True, "hills")))
-    assert [(r.name, r.output_format, r.max_zoom) for r in terrain.tilesets(spark, space).collect()] == [("hills", "Terrain", 2)]
+    assert [(r.name, r.output_format, r.max_zoom) for r in terrain.tilesets(spark, space).collect()] == [("hills", "Terrain", 4)]
     done = terrain.jobs(spark, space).first()
     assert (done.job_id, done.status, done.percent) == (job, "completed", 100.0)
     t = spark.read.parquet(f"{space.job(job)}/tiles")
-    assert {r.z: r.n for r in t.groupBy("z").agg(F.sum("n").alias("n")).collect()} == {0: 16900, 1: 16900, 2: 16900}
+    assert {r.z: r.n for r in t.groupBy("z").agg(F.sum("n").alias("n")).collect()} == {z: 16900 for z in range(5)}
+    deep = t.where("z = 4").select("x", "y").collect()
+    assert {r.x for r in deep} == {16, 17, 18} and {r.y for r in deep} == {11, 12}  # 10 to 23 degrees east, 37 to 50 north
     p = terrain.provenance(spark, space).first()
     assert p.source.file_name == "d.tif" and len(p.source.sha256) == 64
     terrain.unpublish(spark, space, "hills")
@@ -91,3 +93,22 @@ def test_a_file_becomes_a_tileset(spark, tmp_path):
     with pytest.raises(Exception, match="TIFF"):
         terrain.run(spark, space, terrain.Request(f"file://{tmp_path}/bad.tif"), "bad")
     assert {r.job_id: (r.status, r.percent) for r in terrain.jobs(spark, space).collect()}["bad"] == ("failed", 2.0)
+
+
+def test_mercator_tiles(spark, tmp_path):
+    space = terrain.Workspace(f"file://{tmp_path}")
+    (tmp_path / "d.tif").write_bytes(tiff(np.arange(40 * 40).reshape(40, 40), None, at=(0.0, 60.0, 1.0)))
+    request = terrain.Request(f"file://{tmp_path}/d.tif", terrain.PreprocessOptions(target_crs="EPSG:3857"), TileOptions(profile="mercator", start_zoom=3))
+    job = terrain.run(spark, space, request, "m")
+    rows = spark.read.parquet(f"{space.job(job)}/tiles").where("z = 3").collect()
+    assert sum(r.n for r in rows) == 1600 and {(r.x, r.y) for r in rows} == {(4, 4), (4, 5)}
+    layer = json.loads(spark.read.text(f"{space.job(job)}/layer").first().value)
+    assert layer["projection"] == "EPSG:3857"
+
+
+def test_calibration_state(spark):
+    text = '{"with_publish": {"sample_count": 3, "weights": {"a": 1.0, "b": 3.0}}}'
+    df = spark.createDataFrame([(text,), ("bad",), (None,)], "t string").select(progress.calibration_state(F.col("t")).alias("s"))
+    got = [r.b for r in df.select(progress.bucket_weights(F.col("s"), True).alias("b")).collect()]
+    assert (got[0].weights, got[0].weight_source, got[0].sample_count) == ({"a": 0.25, "b": 0.75}, "historical", 3)
+    assert got[1] == got[2] and got[1].weight_source == "default" and abs(got[1].weights["ctb_tile"] - 0.7) < 1e-12

@@ -84,7 +84,7 @@ def test_preprocessing_fills_before_overviews(spark):
     assert sorted(r.elev for r in out.collect()) == [1.0] * 4 and levels[2].first().elev == 1.0
 
 
-def tiff(grid, nodata=None, tiled=False, deflate=True):
+def tiff(grid, nodata=None, tiled=False, deflate=True, at=None):
     g = np.asarray(grid, "<f4")
     h, w = g.shape
     if tiled:
@@ -103,7 +103,7 @@ def tiff(grid, nodata=None, tiled=False, deflate=True):
 
     def add(tag, kind, values):
         nonlocal extra
-        raw = values.encode() + b"\0" if kind == 2 else struct.pack(f"<{len(values)}{'H' if kind == 3 else 'I'}", *values)
+        raw = values.encode() + b"\0" if kind == 2 else struct.pack(f"<{len(values)}{'H' if kind == 3 else 'd' if kind == 12 else 'I'}", *values)
         n = len(raw) if kind == 2 else len(values)
         if len(raw) > 4:
             place = struct.pack("<I", base + len(extra))
@@ -126,6 +126,10 @@ def tiff(grid, nodata=None, tiled=False, deflate=True):
         add(324, 4, offsets)
         add(325, 4, [len(p) for p in parts])
     add(339, 3, [3])
+    if at:
+        west, north, size = at
+        add(33550, 12, [size, size, 0.0])
+        add(33922, 12, [0.0, 0.0, 0.0, west, north, 0.0])
     if nodata is not None:
         add(42113, 2, str(nodata))
     return b"II*\0" + struct.pack("<I", base + len(extra)) + body + extra + struct.pack("<H", len(entries)) + b"".join(entries) + b"\0" * 4
@@ -139,6 +143,8 @@ def test_reading_elevation_files(spark, tmp_path, tiled, deflate):
     (tmp_path / "a.tif").write_bytes(tiff(grid, -9999, tiled, deflate))
     got = geotiff.read_dem(spark, f"file://{tmp_path}/a.tif").collect()
     assert {(r.row, r.col): r.elev for r in got} == {(i, j): None if (i, j) == (2, 3) else grid[i, j] for i in range(5) for j in range(20)}
+    assert geotiff.place(tiff(grid)) == (-180.0, 90.0, 18.0, 36.0, 5, 20)
+    assert geotiff.place(tiff(grid, at=(10.0, 50.0, 0.25))) == (10.0, 50.0, 0.25, 0.25, 5, 20)
     with pytest.raises(ValueError, match="TIFF"):
         geotiff.decode(b"not one at all")
 

@@ -82,3 +82,10 @@ def test_fingerprints(spark, tmp_path):
     tree(tmp_path, ["a.tif"])
     r = fingerprints(spark, f"file://{tmp_path}/a.tif").first()
     assert (r.file_name, r.size_bytes, r.sha256) == ("a.tif", 1, "6e340b9cffb37a989ca544e6bb780a2c78901d3fb33738768511a30617afa01d")
+
+
+def test_heightmap_bodies(spark):
+    cells = spark.createDataFrame([(r, c, 10 * r + c) for r in range(3) for c in range(3)], "row long, col long, elev long")
+    t = tiles.heightmap_bytes(tiles.heightmaps(cells, 3, 5)).where("x = 0 and y = 0").first()
+    want = [(10 * r + c + 1000) * 5 for r in range(3) for c in range(3)]
+    assert t.samples == want and t.body == b"".join(v.to_bytes(2, "little") for v in want) + b"\x0f\0"
