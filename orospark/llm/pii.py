@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -175,6 +175,52 @@ def scan(text: str, w: Weights | None = None, threshold: float = 0.5) -> tuple[l
     return base, by_kind(base + added, PII_KINDS) if added else base
 
 
+def fit_weights(labelled: list[tuple[str, list[Span]]], start: Weights | None = None, rounds: int = 200, rate: float = 0.5, pull: float = 0.02) -> Weights:
+    """Weights from labelled texts, by pseudo-likelihood: each mention given the labels of those it is tied to.
+
+    labelled holds texts with the true spans of all kinds; mentions on none of them are "none". Weights are pulled
+    towards the start, so features that the labels don't show keep their values; base stays as it is."""
+    start = start or Weights()
+    unary_names = [f.name for f in fields(Weights) if f.name not in ("base", "chain", "same", "similar")]
+    edge_names = ["chain", "same", "similar"]
+    none = replace(start, **{n: 0.0 for n in [*unary_names, *edge_names]})
+    base, phi, gold = [], [], []
+    for text, spans in labelled:
+        truth = {(a, b): LABELS.index(k) for k, a, b in spans}
+        # base matches are context: labels that neighbours see, not what is learned from
+        found = mentions(text, find_pii(text))
+        y = [truth.get((m.start, m.end), LABELS.index(m.kind) if m.kind else 0) for m in found]
+        ties = {n: edges(found, replace(none, **{n: 1.0})) for n in edge_names}
+        for k, m in enumerate(found):
+            if m.kind:
+                continue
+            u0 = unary(text, m, none)
+            rows = [unary(text, m, replace(none, **{n: 1.0})) - u0 for n in unary_names]
+            for n in edge_names:
+                r = np.zeros(len(LABELS))
+                for a, b, w in ties[n]:
+                    if w and k in (a, b):
+                        r[y[b if k == a else a]] += 1.0
+                rows.append(r)
+            base.append(u0)
+            phi.append(np.stack(rows))
+            gold.append(y[k])
+    if not gold:
+        return start
+    u0, f, y = np.stack(base), np.stack(phi), np.array(gold)
+    names = unary_names + edge_names
+    w0 = np.array([getattr(start, n) for n in names])
+    w = w0.copy()
+    for _ in range(rounds):
+        z = u0 + np.einsum("nfk,f->nk", f, w)
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        own = f[np.arange(len(y)), :, y]
+        w += rate * ((own - np.einsum("nfk,nk->nf", f, p)).mean(0) - pull * (w - w0))
+        w[len(unary_names) :] = np.maximum(w[len(unary_names) :], 0.0)  # ties never push apart
+    return replace(start, **dict(zip(names, w.tolist(), strict=True)))
+
+
 _DIGIT_RUN = re.compile(r"[0-9][0-9().\x20/:_-]{5,}")
 _SPELT = re.compile(r"[\[({](?:at|dot)[\])}]", re.I)
 
@@ -184,7 +230,7 @@ def find_spans(docs: DataFrame, weights: Weights | None = None, text: str = "tex
 
     Null and empty texts have none; repeated rows each get their own; clashing columns go."""
     long, string = T.LongType(), T.StringType()
-    fields = [*(T.StructField(f"n_{k}", long) for k in PII_KINDS), T.StructField("base_sha256", string), T.StructField("spans", string)]
+    columns = [*(T.StructField(f"n_{k}", long) for k in PII_KINDS), T.StructField("base_sha256", string), T.StructField("spans", string)]
 
     def make():
         def f(texts):
@@ -194,7 +240,7 @@ def find_spans(docs: DataFrame, weights: Weights | None = None, text: str = "tex
 
         return f
 
-    return map_texts(docs, make, fields, text, keep_text)
+    return map_texts(docs, make, columns, text, keep_text)
 
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:

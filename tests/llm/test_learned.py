@@ -76,6 +76,21 @@ def test_field_adds_repeated_and_spelt_out_mentions():
     assert pii.scan("Version 1.2 of 2024-01-05, 300 pages, id 1234567890123456, at the door.") == ([], [])
 
 
+def test_field_weights_are_learned():
+    rng = random.Random(3)
+    labelled = []
+    for _ in range(60):
+        n = f"{rng.randint(200, 999)}-{rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+        t = f"ask for part {n} in hall 3; order {rng.randint(10**12, 10**13 - 1)} done"  # such numbers are no phones here
+        labelled.append((t, []))
+        t = f"dial +1 {n} today, again {n}."
+        labelled.append((t, [("phone", t.rindex(n), t.rindex(n) + len(n))]))
+    w = pii.fit_weights(labelled)
+    right = lambda w: sum(set(pii.scan(t, w)[1]) == set(find_pii(t)) | set(s) for t, s in labelled)
+    assert right(w) == len(labelled) and pii.fit_weights([]) == pii.Weights()
+    assert right(pii.Weights(none=-3.0)) < right(pii.fit_weights(labelled, pii.Weights(none=-3.0)))
+
+
 def test_loopy_messages_are_exact_on_a_chain():
     rng = np.random.default_rng(2)
     u, pairs = rng.normal(size=(4, 3)), [(0, 1, 1.0), (1, 2, 0.4), (2, 3, 2.0)]
