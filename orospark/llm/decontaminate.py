@@ -165,3 +165,17 @@ def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
     from orospark.llm.common import table
 
     return find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), keep_text=False)
+
+
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP9_SQL = f"""
+with d as (select doc_id, {_SQL_WORDS} as w from documents),
+b as (select item_id, {_SQL_WORDS} as w from benchmark),
+iw as (select distinct item_id, least({WINDOW}, len(w)) as k, array_to_string(w[s : s + {WINDOW - 1}], ' ') as win from b, unnest(range(1, greatest(len(w) - {WINDOW - 1}, 1) + 1)) u(s) where len(w) > 0),
+dw as (select doc_id, i, k, array_to_string(w[i : i + k - 1], ' ') as win from d, (select distinct k from iw) q, unnest(range(1, len(w) - k + 2)) u(i)),
+hit as (select doc_id, i, dw.k, item_id from dw join iw on dw.k = iw.k and dw.win = iw.win),
+n_hit as (select doc_id, count(distinct i + j) as n from hit, unnest(range(k)) u(j) group by doc_id),
+items as (select doc_id, count(*) as n, string_agg(item_id::varchar, ',' order by item_id::varchar) as ids from (select distinct doc_id, item_id from hit) group by doc_id)
+select doc_id, len(w) as n_words, coalesce(h.n, 0) as n_hit, coalesce(i.n, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(h.n, 0) > 0 and {ONE_IN} * coalesce(h.n, 0) >= len(w) as contaminated
+from d left join n_hit h using (doc_id) left join items i using (doc_id)
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orospark.llm.decontaminate import op9_decontaminate
+from orospark.llm.decontaminate import OP9_SQL, op9_decontaminate
 from orospark.llm.hamming import OP2_SQL, op2_hamming_top_k
 from orospark.llm.packing import op8_packing
 from orospark.llm.pii import op1_pii
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_hamming_top_k": OP2_SQL}
+    return {"op2_hamming_top_k": OP2_SQL, "op9_decontaminate": OP9_SQL}
