@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from orospark.llm.common import map_texts, materialise, table
 
 #: Labelled documents that voters and classifier are fitted on, about: a bounded sample chosen by a hash of the key.
-FIT_DOCS = 12_000
+FIT_DOCS = 8_000
 #: Entries of the learned lexicon, and the voters that share them.
 ENTRIES = 96
 LEARNED_VOTERS = 7
@@ -47,23 +47,25 @@ def _prefixes(word: bytes) -> list[bytes]:
 
 def mine_lexicon(texts: list[bytes], labels: np.ndarray, most: int = ENTRIES) -> list[bytes]:
     """Words, and openings of words (with *), that toxic documents have and others hardly do, each adding documents not yet covered."""
-    holders: dict[bytes, list[int]] = {}
-    bad = Counter()
-    n1 = int(labels.sum())
-    sets = [word_set(t)[0] for t in texts]
-    for k in np.flatnonzero(labels == 1).tolist():
-        for f in {x for w in sets[k] for x in (w, *_prefixes(w))}:
-            holders.setdefault(f, []).append(k)
+    n1, toxic = int(labels.sum()), np.flatnonzero(labels == 1).tolist()
     least = max(4, n1 // 400)  # fewer may be chance, or copies of one text
-    holders = {f: h for f, h in holders.items() if len(h) >= least}
-    words = {f for f in holders if not f.endswith(b"*")}
-    starts = {f for f in holders if f.endswith(b"*")}
-    known: dict[bytes, tuple] = {}
+    entries = lambda k: {x for w in word_set(texts[k])[0] for x in (w, *_prefixes(w))}
+    # texts are read as they are needed, never all their words at once
+    counts = Counter(f for k in toxic for f in entries(k))
+    holders: dict[bytes, list[int]] = {f: [] for f, n in counts.items() if n >= least}
+    del counts
+    for k in toxic:
+        for f in entries(k):
+            if f in holders:
+                holders[f].append(k)
+    bad, known = Counter(), {}
     for k in np.flatnonzero(labels == 0).tolist():
         seen = set()
-        for w in sets[k]:
+        for w in word_set(texts[k])[0]:
             if w not in known:
-                known[w] = tuple(x for x in (w, *_prefixes(w)) if x in words or x in starts)
+                if len(known) > 100_000:
+                    known.clear()
+                known[w] = tuple(x for x in (w, *_prefixes(w)) if x in holders)
             seen.update(known[w])
         bad.update(seen)
     n0 = max(1, len(labels) - n1)
@@ -111,7 +113,7 @@ class Lexicon:
     def of_word(self, word: bytes) -> tuple[int, ...]:
         hit = self.known.get(word)
         if hit is None:
-            if len(self.known) > 300_000:
+            if len(self.known) > 150_000:
                 self.known.clear()
             hit = self.known[word] = tuple(self.ids[x] for x in (word, *_prefixes(word)) if x in self.ids)
         return hit
@@ -271,13 +273,14 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, t
     n = rows.count()
     if n > most:
         rows = rows.where(F.pmod(F.xxhash64(key, F.lit(3)), F.lit(1 << 24)) < int((1 << 24) * most / n)).limit(2 * most)
-    return docs.select(key, text).join(rows, key).select(F.col(text).alias("text"), F.col("_y").cast("int").alias("y"))
+    return docs.select(key, text).join(F.broadcast(rows), key).select(F.col(text).alias("text"), F.col("_y").cast("int").alias("y"))
 
 
 def fit_lexicon(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", fit_docs: int = FIT_DOCS) -> tuple[Lexicon, list[bytes], np.ndarray]:
     sample = training_sample(docs, labels, "toxic", fit_docs, text, key).toArrow()
     texts = sample.column("text").cast(pa.large_binary()).to_pylist()
     y = np.asarray(sample.column("y").to_pylist(), np.int64)
+    del sample
     order = sorted(range(len(texts)), key=lambda k: (texts[k] or b"", y[k]))
     texts, y = [texts[k] for k in order], y[order]
     return Lexicon(mine_lexicon(texts, y)), texts, y
@@ -348,7 +351,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, text: str = "text", key:
 def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs without those predicted toxic; the columns stay. The score is computed again from each text, so no key has to be unique."""
     lexicon, texts, y = fit_lexicon(docs, labels, text, key)
-    described = materialise(describe_all(docs.select(text), lexicon, text))
+    described = describe_all(docs.select(text), lexicon, text).select("_votes")
     shared = docs.sparkSession.sparkContext.broadcast(fit(described, lexicon, texts, y))
 
     def make():
