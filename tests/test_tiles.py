@@ -89,3 +89,48 @@ def test_heightmap_bodies(spark):
     t = tiles.heightmap_bytes(tiles.heightmaps(cells, 3, 5)).where("x = 0 and y = 0").first()
     want = [(10 * r + c + 1000) * 5 for r in range(3) for c in range(3)]
     assert t.samples == want and t.body == b"".join(v.to_bytes(2, "little") for v in want) + b"\x0f\0"
+
+
+def decode_mesh(body):
+    import struct
+
+    import numpy as np
+
+    n = struct.unpack_from("<I", body, 88)[0]
+    at, out = 92, []
+    for _ in range(3):
+        z = np.frombuffer(body, "<u2", n, at).astype(int)
+        out.append(np.cumsum((z >> 1) ^ -(z & 1)))
+        at += 2 * n
+    t = struct.unpack_from("<I", body, at)[0]
+    codes, high, indices = np.frombuffer(body, "<u2", 3 * t, at + 4), 0, []
+    for c in codes.tolist():
+        indices.append(high - c)
+        high += c == 0
+    at += 4 + 6 * t
+    edges = []
+    for _ in range(4):
+        k = struct.unpack_from("<I", body, at)[0]
+        edges.append(np.frombuffer(body, "<u2", k, at + 4).tolist())
+        at += 4 + 2 * k
+    assert at == len(body)
+    return struct.unpack_from("<3d2f4d3d", body), out, np.array(indices).reshape(-1, 3), edges
+
+
+def test_quantised_meshes(spark):
+    import numpy as np
+
+    from orospark.operators.encode import mesh_bytes, quantised_mesh
+
+    grid = np.add.outer(np.arange(5) * 10.0, np.arange(5))
+    header, (u, v, h), triangles, edges = decode_mesh(quantised_mesh(grid, 0, 0, 10, 10, 2))
+    assert header[3:5] == (0.0, 44.0) and len(u) == 9 and len(triangles) == 8 and [len(e) for e in edges] == [3] * 4
+    got = {(int(a), int(b)): c / 32767 * 44 for a, b, c in zip(u, v, h)}
+    assert abs(got[0, 32767]) < 0.01 and abs(got[32767, 0] - 44) < 0.01 and abs(got[16383, 16383] - 22) < 0.01
+    x, y = u[triangles], v[triangles]
+    area = (x[:, 1] - x[:, 0]) * (y[:, 2] - y[:, 0]) - (x[:, 2] - x[:, 0]) * (y[:, 1] - y[:, 0])
+    assert (area > 0).all() and abs(area.sum() / 2 - 32767**2) < 1e6
+    assert abs(np.linalg.norm(header[:3]) - 6.37e6) < 5e4 and header[8] > 5e5 and 1 <= np.linalg.norm(header[9:]) < 1.1
+    cells = spark.createDataFrame([(r, c, r + c) for r in range(3) for c in range(3)], "row long, col long, elev long")
+    bodies = mesh_bytes(tiles.heightmaps(cells, 3, 5)).collect()
+    assert len(decode_mesh(bytes(next(b.body for b in bodies if (b.x, b.y) == (0, 0))))[1][0]) == 9
