@@ -84,7 +84,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = TOP, parts: list[tuple[i
         met = F.shiftright("bucket", 40)
         before = [(apart[s] > radius) | (met <= s) for s in range(len(parts))]
         after = [(apart[s] >= radius) | (met >= s) for s in range(len(parts))]
-        near = _probes(left, parts, radius).join(index, "bucket").where(reduce(Column.__and__, before + after))
+        near = _probes(left, parts, radius).hint("merge").join(index.hint("merge"), "bucket").where(reduce(Column.__and__, before + after))
         near = materialise(near.select("q", "code", "n", F.bit_count(x).alias("d")))
         found.append(near)
         tallies.append(near.groupBy("q", "d").agg(F.sum("n").alias("n")))
