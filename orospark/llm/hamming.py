@@ -26,8 +26,9 @@ def sign_code(vector: str) -> Column:
 
 
 def segments(n_codes: int) -> list[tuple[int, int]]:
-    """(first bit, length) of each segment: about log2 of the number of codes long, so a bucket holds about one code."""
-    m = min(8, max(2, round(BITS / max(8.0, math.log2(max(n_codes, 2))))))
+    """(first bit, length) of each segment: a few bits less than log2 of the number of codes, so a bucket holds about six
+    codes, which is less work than probing six times the buckets."""
+    m = min(8, max(2, round(BITS / max(8.0, math.log2(max(n_codes, 2)) - 2.5))))
     cuts = [round(BITS * k / m) for k in range(m + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
 
