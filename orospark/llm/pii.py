@@ -19,7 +19,7 @@ DAMPING = 0.3
 #: Mentions so far apart, in characters, have no chain edge.
 NEAR = 80
 
-_NUMBER = re.compile(r"(?<![0-9A-Za-z])[+(]?[0-9](?:[0-9]|[.()/:_-]+(?=[0-9(])|\x20(?=[(0-9])){5,}")
+_NUMBER = re.compile(r"(?<![0-9A-Za-z])[+(]?[0-9](?:[0-9]|[.()/:_\x20-]{1,3}+(?=[0-9])){5,}")
 _BRACKETED = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\{at\}|@|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\.|\x20dot\x20)\x20?[A-Za-z0-9-]{2,63})+", re.IGNORECASE)
 _HANDLE_PART = re.compile(r"[A-Za-z0-9._%+-]{5,64}")
 _CUE = {
@@ -171,7 +171,7 @@ def scan(text: str, w: Weights | None = None, threshold: float = 0.5) -> tuple[l
         k = int(q[1:].argmax()) + 1
         if m.kind is None and q[k] > threshold and not taken(m.start, m.end):
             added.append((LABELS[k], m.start, m.end))
-            taken = Taken(base + added)
+            taken.add(m.start, m.end)
     return base, by_kind(base + added, PII_KINDS) if added else base
 
 

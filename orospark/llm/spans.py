@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 Span = tuple[str, int, int]
 
@@ -107,3 +107,9 @@ class Taken:
     def __call__(self, start: int, end: int) -> bool:
         k = bisect_right(self.starts, end - 1) - 1
         return k >= 0 and self.ends[k] > start
+
+    def add(self, start: int, end: int) -> None:
+        """A stretch that overlaps none so far."""
+        k = bisect_left(self.starts, start)
+        self.starts.insert(k, start)
+        self.ends.insert(k, end)

@@ -73,6 +73,9 @@ def test_field_adds_repeated_and_spelt_out_mentions():
     base, every = pii.scan(t)
     assert set(base) <= set(every)
     assert {(k, t[a:b]) for k, a, b in set(every) - set(base)} == {("phone", "017-555-7713"), ("email", "joe.b"), ("email", "jane (at) site [dot] com"), ("card", "4111.1111.1111.1111")}
+    assert {(k, t[a:b]) for t in ["dial +1 (017) 555-7713, then (017) 555-7713"] for k, a, b in pii.scan(t)[1]} == {("phone", "+1 (017) 555-7713"), ("phone", "(017) 555-7713")}
+    many = "+1 202-555-0143, " + "202-555-0143, " * 3000 + "1" + "(" * 5000
+    assert len(pii.scan(many)[1]) == 3001
     assert pii.scan("Version 1.2 of 2024-01-05, 300 pages, id 1234567890123456, at the door.") == ([], [])
 
 
