@@ -16,6 +16,8 @@ from orospark.llm.spans import PII_KINDS, Span, Taken, by_kind, digest, find_pii
 LABELS = ("none", *PII_KINDS)
 ROUNDS = 30
 DAMPING = 0.3
+#: Rounds before the leanings of unlabelled mentions count in full; potentials below -HARD rule a label out.
+WARM_ROUNDS, HARD = 6, 6.0
 #: Mentions so far apart, in characters, have no chain edge.
 NEAR = 80
 
@@ -131,8 +133,11 @@ def edges(found: list[Mention], w: Weights) -> list[tuple[int, int, float]]:
     return list(dict.fromkeys(out))
 
 
-def propagate(u: np.ndarray, pairs: list[tuple[int, int, float]], rounds: int = ROUNDS, damping: float = DAMPING) -> np.ndarray:
-    """Marginals by loopy sum-product; each edge multiplies equal labels by the exponential of its weight."""
+def propagate(u: np.ndarray, pairs: list[tuple[int, int, float]], rounds: int = ROUNDS, damping: float = DAMPING, sure: np.ndarray | None = None) -> np.ndarray:
+    """Marginals by loopy sum-product; each edge multiplies equal labels by the exponential of its weight.
+
+    With ``sure`` (rows whose label is known), the others' own leanings come in over the first rounds, so that what
+    is known travels first and a crowd of weakly leaning repeats doesn't talk itself into the wrong label."""
     n, k = u.shape
     if not pairs:
         p = np.exp(u - u.max(1, keepdims=True))
@@ -141,8 +146,9 @@ def propagate(u: np.ndarray, pairs: list[tuple[int, int, float]], rounds: int =
     src, dst, gain = np.concatenate([a, b]), np.concatenate([b, a]), np.expm1(np.concatenate([w, w]))[:, None]
     back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
     m = np.zeros((len(src), k))
-    for _ in range(rounds):
-        belief = u.copy()
+    for r in range(rounds):
+        part = 1.0 if sure is None else min(1.0, r / WARM_ROUNDS)
+        belief = u.copy() if part == 1.0 else np.where(sure[:, None] | (u < -HARD), u, part * u)
         np.add.at(belief, dst, m)
         out = belief[src] - m[back]
         p = np.exp(out - out.max(1, keepdims=True))
@@ -150,7 +156,7 @@ def propagate(u: np.ndarray, pairs: list[tuple[int, int, float]], rounds: int =
         new -= new.max(1, keepdims=True)
         step = np.abs(new - m).max()
         m = damping * m + (1 - damping) * new
-        if step < 1e-4:
+        if step < 1e-4 and part == 1.0:
             break
     belief = u.copy()
     np.add.at(belief, dst, m)
@@ -165,7 +171,7 @@ def scan(text: str, w: Weights | None = None, threshold: float = 0.5) -> tuple[l
     found = mentions(text, base) if base or _DIGIT_RUN.search(text) or _SPELT.search(text) else []
     if not any(m.kind is None for m in found):
         return base, base
-    p = propagate(np.stack([unary(text, m, w) for m in found]), edges(found, w))
+    p = propagate(np.stack([unary(text, m, w) for m in found]), edges(found, w), sure=np.array([m.kind is not None for m in found]))
     added, taken = [], Taken(base)
     for m, q in sorted(zip(found, p, strict=True), key=lambda x: -x[1][1:].max()):
         k = int(q[1:].argmax()) + 1
