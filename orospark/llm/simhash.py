@@ -18,6 +18,8 @@ DISTANCE = 3
 SEED = 42
 #: Homes of an anchor that one task compares; an anchor with more is split, with its replicas sent to each part.
 ANCHOR_HOMES = 4096
+#: Keys that are sent to all executors at most.
+BROADCAST_KEYS = 500_000
 #: Replicated rows in a partition, about.
 PARTITION_ROWS = 400_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -200,8 +202,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", di
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with one document of each group of near-duplicates: that of the least key, one row of it if it is repeated."""
     groups = near_duplicates(docs, text, key)
-    stay = groups.where(F.col(key).eqNullSafe(F.col("component_id"))).select(key).distinct()
-    kept = docs.join(stay, docs[key].eqNullSafe(stay[key]), "left_semi")
+    same = F.col(key).eqNullSafe(F.col("component_id"))
+    keys = materialise(groups.groupBy(key).agg(F.max(same).alias("_stays")))
+    go = keys.where("not _stays").select(key)
+    if go.count() <= BROADCAST_KEYS:
+        kept = docs.join(F.broadcast(go), docs[key].eqNullSafe(go[key]), "left_anti")
+    else:  # beyond the bound, texts are shuffled to meet their keys
+        stay = keys.where("_stays").select(key)
+        kept = docs.join(stay, docs[key].eqNullSafe(stay[key]), "left_semi")
     repeated = docs.groupBy(key).count().where("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates([key])
 

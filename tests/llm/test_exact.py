@@ -331,6 +331,13 @@ def test_near_duplicates_of_odd_rows(spark):
     assert simhash.near_duplicates(odd(spark).limit(0)).count() == 0
 
 
+def test_deduplication_beyond_the_broadcast_bound(spark, monkeypatch):
+    rows = lambda: sorted(map(str, simhash.deduplicate(odd(spark)).collect()))
+    few = rows()
+    monkeypatch.setattr(simhash, "BROADCAST_KEYS", -1)
+    assert few == rows() and len(few) == 5
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(k, k + 1) for k in range(0, 300)] + [(1000 + k, 1000) for k in range(1, 400)] + [(5, 5)]
     random.Random(1).shuffle(path)
