@@ -15,6 +15,9 @@ from pyspark.sql import types as T
 #: Text handed to Python code at once; bounds a worker's memory besides its single longest text.
 SLICE_BYTES = 8 << 20
 
+#: Rows with texts in an Arrow batch.
+BATCH_ROWS = 2500
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,7 +44,25 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and survives lost executors."""
     path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._orospark_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialise() wrote, once all that was made from them is written too."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._orospark_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hand whole texts to Python in smaller Arrow batches than the default of 10,000 rows, unless the session has its own setting.
+
+    A batch is held several times over, in the JVM and in the worker; texts are kilobytes, not numbers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:
@@ -66,6 +87,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[bytes | None]], l
 
     make() runs once in each task and returns the function from texts to columns. Columns of df that clash
     with the new ones go. With ``where``, only rows whose new boolean column of that number is true stay."""
+    bound_batches(df.sparkSession)
     kept = without(df, [f.name for f in fields])
     if text not in kept.columns:
         raise ValueError(f"no column {text}, or it clashes with a new one")
@@ -82,6 +104,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[bytes | None]], l
                 old = [(n, rows.column(i)) for i, n in enumerate(rows.schema.names) if keep_text or n != text]
                 out = pa.RecordBatch.from_arrays([c for _, c in old] + new, names=[n for n, _ in old] + [x.name for x in fields])
                 yield out if where is None else out.filter(new[where])
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return kept.mapInArrow(run, schema)
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orospark.llm.common import global_rank, materialise, slices, table, without
+from orospark.llm.common import bound_batches, global_rank, materialise, slices, table, without
 from orospark.llm.tokens import BATCH_BYTES, encoder, tokenizer_path, with_end
 
 WORD_BPE = "word_bpe_49k.json"
@@ -102,6 +102,7 @@ def cut_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
     """A row for each piece: key, start, length, ids_crc32, doc_tokens (and ids). Documents of over a window are first cut into full windows.
 
     A null text is empty; each document has the end id, so at least one piece."""
+    bound_batches(docs.sparkSession)
     long = T.LongType()
     schema = T.StructType([docs.schema[key], *(T.StructField(n, long) for n in ("start", "length", "ids_crc32", "doc_tokens")), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
     def run(batches):
@@ -121,6 +122,7 @@ def cut_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
                 if with_ids:  # the pieces follow one another in ids
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)), pa.int32()), pa.array(ids.view(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        pa.default_memory_pool().release_unused()
 
     return docs.select(key, text).mapInArrow(run, schema)
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orospark.llm.common import map_texts, slices, table
+from orospark.llm.common import bound_batches, map_texts, slices, table
 from orospark.llm.spans import SECRET_KINDS, Span, Taken, by_start, digest, find_secrets, written
 
 #: A candidate: a run of so many characters that secrets are written in, at least.
@@ -134,7 +134,7 @@ class Scanner:
             if len(word) >= LEAST:
                 for run in _RUN_BYTES.findall(word):
                     if run not in self.known:
-                        if len(self.known) > 200_000:
+                        if len(self.known) > 100_000:
                             self.known.clear()
                         self.known[run] = self.model.is_random(run)
                     if self.known[run]:
@@ -172,6 +172,7 @@ def find_spans(docs: DataFrame, model: MarkovPair, text: str = "text", keep_text
 
 def mask(docs: DataFrame, model: MarkovPair, text: str = "text", with_: str = "[SECRET]") -> DataFrame:
     """docs with each span of secrets replaced; other columns, and documents without, stay as they are."""
+    bound_batches(docs.sparkSession)
     at = docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
