@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orospark.llm.common import materialise
+from orospark.llm.common import discard, materialise
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -21,11 +21,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")))
         maps.append(least)
         a, b = least.toDF("u", "a"), least.toDF("v", "b")
+        before = left
         left = materialise(left.join(a, "u").join(b, "v").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+        discard(before)
     if not maps:
         return left.select(F.col("u").alias("node"), F.col("v").alias("label"))
     labels = maps[-1]
     for earlier in reversed(maps[:-1]):
         later = labels.toDF("label", "_to")
         labels = earlier.join(later, "label", "left").select("node", F.coalesce("_to", "label").alias("label"))
-    return materialise(labels)
+    out = materialise(labels)
+    discard(left, *maps)
+    return out

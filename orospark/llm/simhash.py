@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orospark.llm.common import map_texts, materialise, table
+from orospark.llm.common import discard, map_texts, materialise, table
 from orospark.llm.components import connected_components
 
 SHINGLE = 3
@@ -151,7 +151,15 @@ def _links(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, distance: int,
     return u, v
 
 
-def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, anchor_homes: int = ANCHOR_HOMES) -> DataFrame:
+def fingerprint_components(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(node, label) of the linked fingerprints; the replicas are gone afterwards."""
+    links, scratch = fingerprint_links(fps, distance, keep=False)
+    out = connected_components(links)
+    discard(*scratch)
+    return out
+
+
+def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, anchor_homes: int = ANCHOR_HOMES, keep: bool = True):
     """Links (u, v) that connect all distinct fingerprints within the distance (3 at most), without pairs for all links."""
     if distance > DISTANCE:
         raise ValueError("the halves' radius covers distances up to 3")
@@ -181,7 +189,8 @@ def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, anchor_homes: in
             u, v = _links(*map(np.concatenate, held), distance)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    return dealt.repartition(n, "anchor", "part").mapInArrow(run, "u long, v long")
+    links = dealt.repartition(n, "anchor", "part").mapInArrow(run, "u long, v long")
+    return links if keep else (links, [rows, hot])
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", distance: int = DISTANCE) -> DataFrame:
@@ -192,10 +201,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", di
     no other key is there."""
     prints = materialise(add_fingerprints(docs.select(key, text), text, keep_text=False))
     classes = materialise(prints.groupBy("fp").agg(F.min(key).alias("_least")))
-    labels = connected_components(fingerprint_links(classes, distance))
+    labels = fingerprint_components(classes, distance)
     known = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     least = known.groupBy("label").agg(F.min("_least").alias("component_id"))
     component = materialise(known.join(least, "label").select("fp", "component_id"))
+    discard(classes)
     return prints.join(component, "fp").select(key, "fp", "component_id")
 
 
