@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from orospark.llm.common import map_texts, materialise, table
 
 #: Labelled documents that voters and classifier are fitted on, about: a bounded sample chosen by a hash of the key.
-FIT_DOCS = 8_000
+FIT_DOCS = 12_000
 #: Entries of the learned lexicon, and the voters that share them.
 ENTRIES = 96
 LEARNED_VOTERS = 7

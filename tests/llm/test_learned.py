@@ -165,6 +165,16 @@ def test_held_out_accuracy(spark, query, label, cut, least):
     assert sum(right) > 0.9 * len(right)
 
 
+def test_toxicity_is_fitted_on_all_labels_within_the_bound(spark):
+    free = [k for k in range(14_000) if zlib.crc32(str(k).encode()) % 5]
+    rare = set(free[:4])  # as few holders as an entry may have
+    rows = [(k, f"text number {k}" + " zwrrkl" * (k in rare), int(k in rare or k % 40 == 0)) for k in free]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon, texts, _ = toxicity.fit_lexicon(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert 11_000 < len(texts) == len(rows) < 12_000
+    assert any(b"zwrrkl".startswith(f.rstrip(b"*")) for f in lexicon.entries)
+
+
 def test_held_out_labels_are_never_read(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
