@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from orospark.llm import decontaminate, packing, sharding, simhash, token_files
 from orospark.llm.components import connected_components
-from orospark.llm.tokens import ChunkEncoder, tokenizer_path
+from orospark.llm.tokens import ChunkEncoder, encoder, tokenizer_path
 
 SF = "/root/testdata/sf0.01"
 ODD = [(1, None), (2, ""), (3, "  \n\t "), (4, "one"), (4, "one"), (5, "word " * 30000), (None, "null key"), (7, "a  b\x1cc é日本語 <|endoftext|>")]
@@ -114,6 +114,19 @@ def test_chunks_give_the_ids_of_whole_texts(name, whole):
     assert e.encode([])[1].tolist() == [0] and e.encode([None, b""])[1].tolist() == [0, 0, 0]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_are_those_of_the_library(name):
+    from tokenizers import Tokenizer
+
+    plain, rng = Tokenizer.from_file(tokenizer_path(name)), random.Random(6)
+    texts = ["end of page <|endoftext|> next page", "a<|endoftext|>b", "<|endoftext|>", " <|startoftext|>\n\nx", "<|ENDOFTEXT|> <|endoftext", "no such string"]
+    texts += ["".join(rng.choice(["<|endoftext|>", "<|startoftext|>", " ", "\n", "ab", "It's", ".", "1"]) for _ in range(rng.randint(1, 12))) for _ in range(2000)]
+    e = encoder(tokenizer_path(name))
+    for _ in range(2):  # the second time from the cache
+        ids, ends = e.encode([t.encode() for t in texts])
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def crc(ids):
     return zlib.crc32(np.asarray(ids, "<u4").tobytes())
 
