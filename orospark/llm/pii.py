@@ -168,7 +168,7 @@ def scan(text: str, w: Weights | None = None, threshold: float = 0.5) -> tuple[l
     """(base spans, all spans) by kind and start. A mention joins when its label's marginal is over the threshold."""
     w = w or Weights()
     base = find_pii(text)
-    found = mentions(text, base) if base or _DIGIT_RUN.search(text) or _SPELT.search(text) else []
+    found = mentions(text, base) if base or _DIGIT_RUN.search(text) or _AT.search(text) else []
     if not any(m.kind is None for m in found):
         return base, base
     p = propagate(np.stack([unary(text, m, w) for m in found]), edges(found, w), sure=np.array([m.kind is not None for m in found]))
@@ -227,8 +227,8 @@ def fit_weights(labelled: list[tuple[str, list[Span]]], start: Weights | None =
     return replace(start, **dict(zip(names, w.tolist(), strict=True)))
 
 
+#: Every mention that mentions() can find without a base match holds one of this or _AT.
 _DIGIT_RUN = re.compile(r"[0-9][0-9().\x20/:_-]{5,}")
-_SPELT = re.compile(r"[\[({](?:at|dot)[\])}]", re.I)
 
 
 def find_spans(docs: DataFrame, weights: Weights | None = None, text: str = "text", keep_text: bool = True) -> DataFrame:

@@ -79,6 +79,13 @@ def test_field_adds_repeated_and_spelt_out_mentions():
     assert pii.scan("Version 1.2 of 2024-01-05, 300 pages, id 1234567890123456, at the door.") == ([], [])
 
 
+@pytest.mark.parametrize("text", ["Write to jane.doe @ example.com for help.", "contact me: john at example dot com now", "mail jane[at]example[dot]com", "no address at all"])
+def test_an_unrelated_number_leaves_the_email_spans(text):
+    emails = lambda t: [t[a:b] for k, a, b in pii.scan(t)[1] if k == "email"]
+    assert emails(text) == emails("Order 123456789. " + text)
+    assert bool(emails(text)) == (text != "no address at all")
+
+
 def test_field_weights_are_learned():
     rng = random.Random(3)
     labelled = []
