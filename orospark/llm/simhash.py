@@ -199,29 +199,49 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", di
     A null or empty text has fingerprint 0, linked like any other. Equal fingerprints are one class from the
     start, so copies are never paired. Rows with a null key take part; they are nobody's component_id unless
     no other key is there."""
+    return _grouped(docs, text, key, distance).drop("_chosen")
+
+
+def _grouped(docs: DataFrame, text: str, key: str, distance: int = DISTANCE) -> DataFrame:
+    """near_duplicates() with _chosen, true for the rows of one key and one fingerprint in each component.
+
+    component_id doesn't tell components apart: it is null for all that have only null keys, and a repeated key
+    can be the least of several."""
     prints = materialise(add_fingerprints(docs.select(key, text), text, keep_text=False))
     classes = materialise(prints.groupBy("fp").agg(F.min(key).alias("_least")))
     labels = fingerprint_components(classes, distance)
     known = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    least = known.groupBy("label").agg(F.min("_least").alias("component_id"))
-    component = materialise(known.join(least, "label").select("fp", "component_id"))
+    first = F.min(F.struct(F.col("_least").isNull(), "_least", "fp"))
+    least = known.groupBy("label").agg(F.min("_least").alias("component_id"), first["fp"].alias("_first"))
+    component = materialise(known.join(least, "label").select("fp", "component_id", (F.col("fp") == F.col("_first")).alias("_of_first")))
     discard(classes)
-    return prints.join(component, "fp").select(key, "fp", "component_id")
+    chosen = F.col("_of_first") & F.col(key).eqNullSafe(F.col("component_id"))
+    return prints.join(component, "fp").select(key, "fp", "component_id", chosen.alias("_chosen"))
 
 
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with one document of each group of near-duplicates: that of the least key, one row of it if it is repeated."""
-    groups = near_duplicates(docs, text, key)
-    same = F.col(key).eqNullSafe(F.col("component_id"))
-    keys = materialise(groups.groupBy(key).agg(F.max(same).alias("_stays")))
-    go = keys.where("not _stays").select(key)
+    """docs with one document of each group of near-duplicates: one row of the least key, and of one fingerprint if
+    that key has several in the group. Keys may be null or repeated; each of their rows is judged by itself."""
+    groups = _grouped(docs, text, key)
+    keys = materialise(groups.groupBy(key).agg(F.max("_chosen").alias("_stays"), F.count(F.lit(1)).alias("_rows")))
+    # the rows of a repeated key are told apart by their fingerprints, beyond the bound those of all keys
+    repeated = keys.where("_stays and _rows > 1").select(key)
+    n = repeated.count()
+    if n:
+        some = docs.join(F.broadcast(repeated), docs[key].eqNullSafe(repeated[key]), "left_semi") if n <= BROADCAST_KEYS else docs
+        chosen = materialise(groups.where("_chosen").select(F.col(key).alias("_key"), F.col("fp").alias("_of")).distinct())
+        prints = add_fingerprints(some, text, name="_fp")
+        own = prints.join(chosen, (prints["_fp"] == chosen["_of"]) & prints[key].eqNullSafe(chosen["_key"]), "left_semi")
+        own = own.dropDuplicates([key, "_fp"]).drop("_fp")
+        if n > BROADCAST_KEYS:
+            return own
+    go = keys.where("not _stays or _rows > 1").select(key)
     if go.count() <= BROADCAST_KEYS:
         kept = docs.join(F.broadcast(go), docs[key].eqNullSafe(go[key]), "left_anti")
     else:  # beyond the bound, texts are shuffled to meet their keys
-        stay = keys.where("_stays").select(key)
+        stay = keys.where("_stays and _rows = 1").select(key)
         kept = docs.join(stay, docs[key].eqNullSafe(stay[key]), "left_semi")
-    repeated = docs.groupBy(key).count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates([key])
+    return kept.unionByName(own) if n else kept
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

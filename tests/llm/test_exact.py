@@ -351,6 +351,18 @@ def test_deduplication_beyond_the_broadcast_bound(spark, monkeypatch):
     assert few == rows() and len(few) == 5
 
 
+@pytest.mark.parametrize("bound", [simhash.BROADCAST_KEYS, 3, -1])
+def test_deduplication_judges_each_row(spark, monkeypatch, bound):
+    monkeypatch.setattr(simhash, "BROADCAST_KEYS", bound)
+    rng = random.Random(8)
+    a, b, c, d, e, f = (" ".join(rng.choice("abcdefghij") * 4 for _ in range(60)) for _ in range(6))
+    # null keys with unrelated texts, two texts under key 1, key 2 alone in one group and a copy in another, exact copies
+    rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (2, c), (2, e), (2, e), (3, f), (4, f), (None, f)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.text) for r in simhash.deduplicate(df).collect())
+    assert got == Counter([(None, a), (None, b), (1, c), (1, d), (2, e), (3, f)])
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(k, k + 1) for k in range(0, 300)] + [(1000 + k, 1000) for k in range(1, 400)] + [(5, 5)]
     random.Random(1).shuffle(path)
