@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,15 @@ def shared_dir(spark: SparkSession) -> str:
     return here
 
 
+#: Paths of tables written within an open scratch(), innermost last.
+_open: list[list[str]] = []
+
+
 def new_path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/orospark-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/orospark-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
+    return path
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -49,20 +57,67 @@ def materialise(df: DataFrame) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that materialise() wrote, once all that was made from them is written too."""
     for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._orospark_path)
-        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        if path := getattr(t, "_orospark_path", None):
+            delete(t.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete at its end all that operators wrote to the shared folder within, results not yet read included.
 
+    Operators discard their own steps; what stays is the table that their result is read from. So write the result
+    inside, and nothing else stays."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            delete(spark, path)
 
-def bound_batches(spark: SparkSession) -> None:
-    """Hand whole texts to Python in smaller Arrow batches than the default of 10,000 rows, unless the session has its own setting.
+
+@contextmanager
+def smaller_batches(spark: SparkSession) -> Iterator[None]:
+    """While a step with whole texts is written, hand them to Python in smaller Arrow batches than the default of 10,000
+    rows, unless the session has its own setting; afterwards the session is as it was.
 
     A batch is held several times over, in the JVM and in the worker; texts are kilobytes, not numbers."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
+    before = spark.conf.get(key, "10000")
+    try:
+        if before == "10000":
+            spark.conf.set(key, str(BATCH_ROWS))
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+#: A key with over one in so many of the rows counts as hot; there can't be more of them than this.
+HOT_KEYS = 50_000
+#: and it has at least so many rows.
+HOT_ROWS = 20_000
+
+
+def lookup(rows: DataFrame, found: DataFrame, key: str, hot_keys: int = HOT_KEYS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """rows.join(found, key, "left") for a table ``found`` with one row a key, whatever share of rows one key has.
+
+    Rows of hot keys meet their row of found by a broadcast of at most hot_keys rows, the others by a shuffle. rows is
+    read three times: write it before. Null keys find nothing."""
+    n = rows.count()
+    hot = rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > max(hot_rows, n // hot_keys)).select(key)
+    if n <= hot_rows or not (keys := [r[0] for r in hot.collect()]):  # at most hot_keys numbers or strings
+        return rows.join(found, key, "left")
+    few = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in keys], T.StructType([rows.schema[key]])))
+    warm = rows.join(few, key, "left_semi").join(F.broadcast(found.join(few, key, "left_semi")), key, "left")
+    cold = rows.join(few, key, "left_anti").join(found, key, "left")
+    return cold.unionByName(warm)
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:
@@ -87,7 +142,6 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[bytes | None]], l
 
     make() runs once in each task and returns the function from texts to columns. Columns of df that clash
     with the new ones go. With ``where``, only rows whose new boolean column of that number is true stay."""
-    bound_batches(df.sparkSession)
     kept = without(df, [f.name for f in fields])
     if text not in kept.columns:
         raise ValueError(f"no column {text}, or it clashes with a new one")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orospark.llm.common import bound_batches, global_rank, materialise, slices, table, without
+from orospark.llm.common import discard, global_rank, materialise, slices, smaller_batches, table, without
 from orospark.llm.tokens import BATCH_BYTES, encoder, tokenizer_path, with_end
 
 WORD_BPE = "word_bpe_49k.json"
@@ -102,7 +102,6 @@ def cut_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
     """A row for each piece: key, start, length, ids_crc32, doc_tokens (and ids). Documents of over a window are first cut into full windows.
 
     A null text is empty; each document has the end id, so at least one piece."""
-    bound_batches(docs.sparkSession)
     long = T.LongType()
     schema = T.StructType([docs.schema[key], *(T.StructField(n, long) for n in ("start", "length", "ids_crc32", "doc_tokens")), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
     def run(batches):
@@ -153,7 +152,11 @@ def pack(pieces: DataFrame, window: int = WINDOW, key: str = "doc_id") -> DataFr
 
 def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The pieces of docs with their places; the texts are encoded once."""
-    return pack(materialise(cut_documents(docs, path, window, end_id, text, key)), window, key)
+    with smaller_batches(docs.sparkSession):
+        pieces = materialise(cut_documents(docs, path, window, end_id, text, key))
+    placed = pack(pieces, window, key)
+    discard(pieces)
+    return placed
 
 
 def sequences(pieces: DataFrame, placed: DataFrame, window: int = WINDOW, pad_id: int = 0, key: str = "doc_id") -> DataFrame:

@@ -10,16 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orospark.llm.common import discard, map_texts, materialise, table
+from orospark.llm.common import HOT_KEYS, HOT_ROWS, discard, lookup, map_texts, materialise, smaller_batches, table
 from orospark.llm.components import connected_components
 
 SHINGLE = 3
 DISTANCE = 3
 SEED = 42
-#: Homes of an anchor that one task compares; an anchor with more is split, with its replicas sent to each part.
-ANCHOR_HOMES = 4096
-#: Keys that are sent to all executors at most.
-BROADCAST_KEYS = 500_000
+#: Homes and rows of an anchor in one part of it; an anchor with more is split in a grid of such parts.
+ANCHOR_HOMES, ANCHOR_ROWS = 4096, 1 << 17
+#: Rows to drop that are told to all executors at most, by 16 bytes each; beyond it they meet their texts by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Replicated rows in a partition, about.
 PARTITION_ROWS = 400_000
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -80,8 +80,9 @@ _PAIRS = [np.zeros(15, np.uint32)] + [_pairs_to(s) for s in range(1, 32)]
 def replica_anchors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, anchor): all anchors within covering radius plus one of each half, but for its home.
 
-    Two fingerprints at distance 3 or less agree up to one bit in a half, so there one lies within radius plus
-    one of the other's home."""
+    Two fingerprints at distance 3 or less differ in at most one bit of one of their halves. There the home of one, at
+    most the radius from it, is at most radius plus one from the other. So with halves radius plus *one* finds every
+    link, where whole fingerprints would need radius plus threshold."""
     s, home = _syndromes(x), home_anchor(x)
     free = np.uint32(1) << np.uint32(31)
     rows, anchors = [np.arange(len(x))], [home ^ free]  # the free bit differs
@@ -126,25 +127,23 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[label[own]]
 
 
-def _links(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, distance: int, most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs, as a spanning forest, of the rows of whole anchor parts. Work is cut into blocks of about most comparisons."""
-    order = np.lexsort((~home, anchor))
-    anchor, fp, home = anchor[order], fp[order], home[order]
-    first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, int)
-    size = np.diff(np.concatenate([first, [len(anchor)]]))
-    homes = np.add.reduceat(home.astype(np.int64), first) if len(first) else size
+_HOME, _ROW = 1, 2
+
+
+def _links(anchor: np.ndarray, fp: np.ndarray, side: np.ndarray, distance: int, most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs, as a spanning forest: each home meets all rows of its anchor. Work is cut into blocks of about most comparisons."""
+    of = lambda bit: (k := np.flatnonzero(side & bit))[np.argsort(anchor[k], kind="stable")]
+    homes, rows = of(_HOME), of(_ROW)
+    at = anchor[rows]
+    start = np.searchsorted(at, anchor[homes], "left")
+    n = np.searchsorted(at, anchor[homes], "right") - start
     u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    use = np.flatnonzero((size > 1) & (homes > 0))
-    # a task for each home: it meets all rows of its part
-    left = np.repeat(first[use], homes[use]) + (np.arange(homes[use].sum()) - np.repeat(np.cumsum(homes[use]) - homes[use], homes[use]))
-    start, n = np.repeat(first[use], homes[use]), np.repeat(size[use], homes[use])
     done, ends = 0, np.cumsum(n)
-    while done < len(left):
+    while done < len(homes):
         to = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + most, "right")))
         k = n[done:to]
-        i = np.repeat(left[done:to], k)
-        j = np.repeat(start[done:to], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-        x, y = fp[i], fp[j]
+        x = fp[np.repeat(homes[done:to], k)]
+        y = fp[rows[np.repeat(start[done:to], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)]]
         near = (np.bitwise_count(x.view(np.uint64) ^ y.view(np.uint64)) <= distance) & (x != y)
         u, v = _forest(np.concatenate([u, x[near]]), np.concatenate([v, y[near]]))
         done = to
@@ -153,38 +152,48 @@ def _links(anchor: np.ndarray, fp: np.ndarray, home: np.ndarray, distance: int,
 
 def fingerprint_components(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(node, label) of the linked fingerprints; the replicas are gone afterwards."""
-    links, scratch = fingerprint_links(fps, distance, keep=False)
+    links, steps = fingerprint_links(fps, distance, keep=False)
     out = connected_components(links)
-    discard(*scratch)
+    discard(*steps)
     return out
 
 
-def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, anchor_homes: int = ANCHOR_HOMES, keep: bool = True):
-    """Links (u, v) that connect all distinct fingerprints within the distance (3 at most), without pairs for all links."""
+def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, anchor_homes: int = ANCHOR_HOMES, anchor_rows: int = ANCHOR_ROWS, keep: bool = True):
+    """Links (u, v) that connect all distinct fingerprints within the distance (3 at most), without pairs for all links.
+
+    An anchor with more homes or rows than one part may hold is split in a grid: its homes in p lots, its rows in q, and
+    each of the p q parts gets one lot of either, so neither a part's rows nor its comparisons grow with the anchor."""
     if distance > DISTANCE:
         raise ValueError("the halves' radius covers distances up to 3")
     spark = fps.sparkSession
     rows = materialise(_replicate(fps))
     total = rows.count()
-    # anchors with many homes are split in parts; each part gets all their replicas
-    hot = materialise(rows.where("home").groupBy("anchor").count().where(F.col("count") > anchor_homes).select("anchor", F.ceil(F.col("count") / anchor_homes).cast("int").alias("parts")))
+    sizes = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("rows"), F.count_if("home").alias("homes"))
+    lots = lambda c, most: F.ceil(F.col(c) / most).cast("int")
+    hot = materialise(sizes.where((F.col("homes") > anchor_homes) | (F.col("rows") > anchor_rows)).where("homes > 0").select("anchor", lots("homes", anchor_homes).alias("p"), lots("rows", anchor_rows).alias("q")))
+    side = lambda bit: F.lit(bit).cast("byte")
+    whole = F.when(F.col("home"), side(_HOME | _ROW)).otherwise(side(_ROW))
     if hot.isEmpty():
-        dealt = rows.withColumn("part", F.lit(0))
+        dealt = rows.select("anchor", "fp", whole.alias("side"), F.lit(0).alias("part"))
     else:
-        every = F.sequence(F.lit(0), F.col("parts") - 1)
-        cold = rows.join(hot, "anchor", "left_anti").withColumn("part", F.lit(0))
-        split = rows.join(hot, "anchor").select("anchor", "fp", "home", "parts", F.explode(every).alias("part"))
-        split = split.withColumn("home", F.col("home") & (F.pmod(F.xxhash64("fp"), F.col("parts")) == F.col("part"))).drop("parts")
+        met = lookup(rows, hot, "anchor")
+        lot = lambda seed, n: F.pmod(F.xxhash64("fp", F.lit(seed)), F.col(n)).cast("int")
+        spot = lambda i, bit: F.struct(i.cast("int").alias("part"), side(bit).alias("side"))
+        upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        as_row = F.transform(upto("p"), lambda i: spot(i * F.col("q") + lot(1, "q"), _ROW))
+        as_home = F.when(F.col("home"), F.transform(upto("q"), lambda j: spot(lot(2, "p") * F.col("q") + j, _HOME))).otherwise(F.array().cast(T.ArrayType(T.StructType([T.StructField("part", T.IntegerType()), T.StructField("side", T.ByteType())]))))
+        cold = met.where("p is null").select("anchor", "fp", whole.alias("side"), F.lit(0).alias("part"))
+        split = met.where("p is not null").select("anchor", "fp", F.explode(F.concat(as_row, as_home)).alias("s")).select("anchor", "fp", "s.side", "s.part")
         dealt = cold.unionByName(split)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_ROWS))
 
     def run(batches):
         held = [[], [], []]
         for b in batches:
-            for x, k in zip(held, ("anchor", "fp", "home"), strict=True):
-                x.append(b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False))
-            part = b.column(b.schema.get_field_index("part")).to_numpy()
-            held[0][-1] = held[0][-1] ^ (part.astype(np.int64) << 33)
+            get = lambda k: b.column(b.schema.get_field_index(k)).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+            held[0].append(get("anchor") ^ (get("part").astype(np.int64) << 33))
+            held[1].append(get("fp"))
+            held[2].append(get("side"))
         if held[0]:
             u, v = _links(*map(np.concatenate, held), distance)
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
@@ -198,52 +207,65 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", di
 
     A null or empty text has fingerprint 0, linked like any other. Equal fingerprints are one class from the
     start, so copies are never paired. Rows with a null key take part; they are nobody's component_id unless
-    no other key is there."""
-    return _grouped(docs, text, key, distance).drop("_chosen")
-
+    no other key is there. Very long texts are read whole, repeated rows each get their row, an empty table stays
+    empty, and other columns of docs go, so none can clash."""
+    with smaller_batches(docs.sparkSession):
+        prints = materialise(add_fingerprints(docs.select(key, text), text, keep_text=False))
+    classes = materialise(prints.groupBy("fp").agg(F.min(key).alias("_least")))
+    component = materialise(_components(classes, distance).select("fp", F.col("_first._least").alias("component_id")))
+    discard(classes)
+    return lookup(prints, component, "fp").select(key, "fp", "component_id")
 
-def _grouped(docs: DataFrame, text: str, key: str, distance: int = DISTANCE) -> DataFrame:
-    """near_duplicates() with _chosen, true for the rows of one key and one fingerprint in each component.
 
-    component_id doesn't tell components apart: it is null for all that have only null keys, and a repeated key
-    can be the least of several."""
-    prints = materialise(add_fingerprints(docs.select(key, text), text, keep_text=False))
-    classes = materialise(prints.groupBy("fp").agg(F.min(key).alias("_least")))
+def _components(classes: DataFrame, distance: int) -> DataFrame:
+    """(fp, label, _first) of classes (fp, and further columns): _first is the least of its component, by (whether _least is null, _least, fp)."""
     labels = fingerprint_components(classes, distance)
-    known = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    first = F.min(F.struct(F.col("_least").isNull(), "_least", "fp"))
-    least = known.groupBy("label").agg(F.min("_least").alias("component_id"), first["fp"].alias("_first"))
-    component = materialise(known.join(least, "label").select("fp", "component_id", (F.col("fp") == F.col("_first")).alias("_of_first")))
-    discard(classes)
-    chosen = F.col("_of_first") & F.col(key).eqNullSafe(F.col("component_id"))
-    return prints.join(component, "fp").select(key, "fp", "component_id", chosen.alias("_chosen"))
+    known = materialise(classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+    rest = [c for c in classes.columns if c not in ("fp", "_least")]
+    first = known.groupBy("label").agg(F.min(F.struct(F.col("_least").isNull().alias("_none"), "_least", "fp", *rest)).alias("_first"))
+    out = materialise(lookup(known, first, "label").select("fp", "label", "_first"))
+    discard(labels, known)
+    return out
 
 
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with one document of each group of near-duplicates: one row of the least key, and of one fingerprint if
-    that key has several in the group. Keys may be null or repeated; each of their rows is judged by itself."""
-    groups = _grouped(docs, text, key)
-    keys = materialise(groups.groupBy(key).agg(F.max("_chosen").alias("_stays"), F.count(F.lit(1)).alias("_rows")))
-    # the rows of a repeated key are told apart by their fingerprints, beyond the bound those of all keys
-    repeated = keys.where("_stays and _rows > 1").select(key)
-    n = repeated.count()
-    if n:
-        some = docs.join(F.broadcast(repeated), docs[key].eqNullSafe(repeated[key]), "left_semi") if n <= BROADCAST_KEYS else docs
-        chosen = materialise(groups.where("_chosen").select(F.col(key).alias("_key"), F.col("fp").alias("_of")).distinct())
-        prints = add_fingerprints(some, text, name="_fp")
-        own = prints.join(chosen, (prints["_fp"] == chosen["_of"]) & prints[key].eqNullSafe(chosen["_key"]), "left_semi")
-        own = own.dropDuplicates([key, "_fp"]).drop("_fp")
-        if n > BROADCAST_KEYS:
-            return own
-    go = keys.where("not _stays or _rows > 1").select(key)
-    if go.count() <= BROADCAST_KEYS:
-        kept = docs.join(F.broadcast(go), docs[key].eqNullSafe(go[key]), "left_anti")
-    else:  # beyond the bound, texts are shuffled to meet their keys
-        stay = keys.where("_stays and _rows = 1").select(key)
-        kept = docs.join(stay, docs[key].eqNullSafe(stay[key]), "left_semi")
-    return kept.unionByName(own) if n else kept
+    """docs with one row of each group of near-duplicates, the columns as they were.
+
+    It is a row of the least key (null only if all are), of those the one with the least fingerprint and the least hash.
+    Rows are told apart by two 64-bit hashes of key and text, never by the key alone: rows of one key with unrelated texts
+    lie in different groups, and each group keeps its row. Of rows equal in key and text one stays, any if other columns
+    differ. Null and empty texts are one group, very long texts are read whole, an empty table stays empty; no column
+    name clashes but _orospark_a and _orospark_b.
+
+    Texts aren't shuffled, but for those of rows repeated as a whole: the rows to drop are told to all executors if they are
+    at most BROADCAST_ROWS. Beyond it, all rows meet the list of those that stay by a shuffle on the hashes."""
+    a, b = "_orospark_a", "_orospark_b"
+    marked = docs.withColumn(a, F.xxhash64(key, text)).withColumn(b, F.xxhash64(F.lit(1), text, key))
+    with smaller_batches(docs.sparkSession):
+        prints = materialise(add_fingerprints(marked.select(F.col(key).alias("_key"), text, a, b), text, keep_text=False))
+    least = F.min(F.struct(F.col("_key").isNull().alias("_none"), F.col("_key"), F.col(a), F.col(b)))
+    classes = materialise(prints.groupBy("fp").agg(least.alias("_l")).select("fp", F.col("_l._key").alias("_least"), f"_l.{a}", f"_l.{b}"))
+    component = _components(classes, DISTANCE)
+    stays = component.groupBy("label").agg(F.first("_first").alias("_first")).select(f"_first.{a}", f"_first.{b}")
+    stays = materialise(stays)
+    total = prints.count()
+    counts = prints.groupBy(a, b).agg(F.count(F.lit(1)).alias("_rows"))
+    rows = materialise(counts.join(stays.withColumn("_stays", F.lit(True)), [a, b], "left"))
+    discard(prints, classes, component, stays)
+    once = rows.where("_stays and _rows = 1").select(a, b)
+    repeated, go = rows.where("_stays and _rows > 1").select(a, b), rows.where("_stays is null or _rows > 1").select(a, b)
+    if go.count() <= BROADCAST_ROWS:
+        one_each = marked.join(F.broadcast(repeated), [a, b], "left_semi").dropDuplicates([a, b])
+        kept = marked.join(F.broadcast(go), [a, b], "left_anti").unionByName(one_each)
+    else:
+        hot = rows.where(F.col("_rows") > max(HOT_ROWS, total // HOT_KEYS))  # at most HOT_KEYS: a row repeated so often isn't shuffled
+        cold = marked.join(F.broadcast(hot.select(a, b)), [a, b], "left_anti")
+        kept = cold.join(once, [a, b], "left_semi").unionByName(cold.join(repeated, [a, b], "left_semi").dropDuplicates([a, b]))
+        kept = kept.unionByName(marked.join(F.broadcast(hot.where("_stays").select(a, b)), [a, b], "left_semi").dropDuplicates([a, b]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of each document; odd rows as in near_duplicates()."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

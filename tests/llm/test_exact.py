@@ -1,6 +1,7 @@
 """Operators with exact contracts, against plain single-machine versions."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -12,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from orospark.llm import decontaminate, packing, sharding, simhash, token_files
+from orospark.llm.common import lookup, scratch
 from orospark.llm.components import connected_components
 from orospark.llm.tokens import ChunkEncoder, encoder, tokenizer_path
 
@@ -316,8 +318,8 @@ def test_anchors_cover_all_near_pairs():
         assert set(simhash.home_anchor(flips).tolist()) <= near[k] | {int(home[k])}
 
 
-@pytest.mark.parametrize("homes", [4096, 3])
-def test_links_connect_clusters(spark, homes):
+@pytest.mark.parametrize(("homes", "most"), [(4096, 1 << 17), (3, 1 << 17), (2, 5)])
+def test_links_connect_clusters(spark, homes, most):
     rng = random.Random(7)
     prints = set()
     for _ in range(40):
@@ -329,7 +331,7 @@ def test_links_connect_clusters(spark, homes):
             prints.add(c)
     prints = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
     fps = spark.createDataFrame([(p,) for p in prints], "fp long")
-    links = simhash.fingerprint_links(fps, anchor_homes=homes)
+    links = simhash.fingerprint_links(fps, anchor_homes=homes, anchor_rows=most)
     got = {r.node: r.label for r in connected_components(links).collect()}
     want = brute_components({p: p % (1 << 64) for p in prints})
     assert {p: got.get(p, p) for p in prints} == want
@@ -347,13 +349,15 @@ def test_near_duplicates_of_odd_rows(spark):
 def test_deduplication_beyond_the_broadcast_bound(spark, monkeypatch):
     rows = lambda: sorted(map(str, simhash.deduplicate(odd(spark)).collect()))
     few = rows()
-    monkeypatch.setattr(simhash, "BROADCAST_KEYS", -1)
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", -1)
     assert few == rows() and len(few) == 5
 
 
-@pytest.mark.parametrize("bound", [simhash.BROADCAST_KEYS, 3, -1])
-def test_deduplication_judges_each_row(spark, monkeypatch, bound):
-    monkeypatch.setattr(simhash, "BROADCAST_KEYS", bound)
+@pytest.mark.parametrize("bound", [simhash.BROADCAST_ROWS, 3, -1])
+@pytest.mark.parametrize("hot", [simhash.HOT_ROWS, 1])
+def test_deduplication_judges_each_row(spark, monkeypatch, bound, hot):
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", bound)
+    monkeypatch.setattr(simhash, "HOT_ROWS", hot)
     rng = random.Random(8)
     a, b, c, d, e, f = (" ".join(rng.choice("abcdefghij") * 4 for _ in range(60)) for _ in range(6))
     # null keys with unrelated texts, two texts under key 1, key 2 alone in one group and a copy in another, exact copies
@@ -363,6 +367,36 @@ def test_deduplication_judges_each_row(spark, monkeypatch, bound):
     assert got == Counter([(None, a), (None, b), (1, c), (1, d), (2, e), (3, f)])
 
 
+@pytest.mark.parametrize("turn", [1, -1])
+def test_components_of_long_paths_take_few_rounds(spark, turn):
+    n, rounds = 10_000, []
+    edges = spark.range(n).select((F.col("id") * turn).alias("u"), ((F.col("id") + 1) * turn).alias("v"))
+    labels = connected_components(edges, rounds).groupBy("label").count().collect()
+    assert [tuple(r) for r in labels] == [(min(0, n * turn), n + 1)] and len(rounds) <= 22 and rounds == sorted(rounds, reverse=True)
+
+
+def test_lookup_of_hot_keys(spark):
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.lit(7)).when(F.col("id") % 2 == 0, F.col("id")).alias("k"), "id")
+    found = spark.range(2000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    want = {(r.id, r.v) for r in rows.join(found, "k", "left").collect()}
+    got = lookup(rows, found, "k", hot_keys=10, hot_rows=100)
+    assert {(r.id, r.v) for r in got.collect()} == want and got.count() == 3000
+
+
+def test_nothing_but_the_result_stays(spark, tmp_path):
+    from orospark.llm.common import shared_dir
+
+    left = lambda: set(os.listdir(shared_dir(spark).removeprefix("file://")))
+    key, before = "spark.sql.execution.arrow.maxRecordsPerBatch", left()
+    at = spark.conf.get(key)
+    with scratch(spark):
+        simhash.deduplicate(odd(spark)).write.parquet(f"file://{tmp_path}/d")
+        simhash.op10_simhash(spark, "/root/testdata/sf0.001").write.parquet(f"file://{tmp_path}/s")
+        packing.pack_documents(odd(spark), tokenizer_path("word_bpe_49k.json")).write.parquet(f"file://{tmp_path}/p")
+    assert left() == before and spark.conf.get(key) == at
+    assert spark.read.parquet(f"file://{tmp_path}/d").count() == 5
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(k, k + 1) for k in range(0, 300)] + [(1000 + k, 1000) for k in range(1, 400)] + [(5, 5)]
     random.Random(1).shuffle(path)
