@@ -43,7 +43,7 @@ def brute_contamination(texts, items):
     for i, t in items:
         w = WORD.findall(low(t))
         for k in range(max(1, len(w) - 12) if w else 0):
-            windows[tuple(w[k : k + 13])].add(str(i))
+            windows[tuple(w[k : k + 13])].add(i if i is None else str(i))
     sizes = {len(p) for p in windows}
     out = []
     for t in texts:
@@ -54,7 +54,7 @@ def brute_contamination(texts, items):
                 if (p := tuple(w[k : k + n])) in windows:
                     hit.update(range(k, k + len(p)))
                     got |= windows[p]
-        out.append((len(w), len(hit), len(got), hashlib.sha256(",".join(sorted(got)).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)))
+        out.append((len(w), len(hit), len(got), hashlib.sha256(",".join(sorted(got - {None})).encode()).hexdigest(), len(hit) > 0 and 20 * len(hit) >= len(w)))
     return out
 
 
@@ -70,13 +70,27 @@ def test_contamination_matches_brute_force(spark):
 def test_contamination_small_words(spark, seed):
     rng = random.Random(seed)
     text = lambda n: " ".join(rng.choice("ab cd É x1".split()) for _ in range(n))
-    items = [(k, text(rng.choice([0, 1, 2, 3, 5, 8, 13, 14, 30]) if k else 0)) for k in range(12)] + [(99, None), (None, "ab")]
+    items = [(k, text(rng.choice([0, 1, 2, 3, 5, 8, 13, 14, 30]) if k else 0)) for k in range(12)] + [(99, None), (None, "ab"), (None, "cd ab ab")]
     texts = [text(rng.randint(0, 80)) for _ in range(60)]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
     for block in (1 << 20, 60):
-        got = decontaminate.find_contamination(rows, bench, block_bytes=block).orderBy("doc_id").collect()
-        assert [tuple(r)[2:] for r in got] == brute_contamination(texts, [i for i in items if i[0] is not None])
+        n = decontaminate.benchmark_blocks(bench, block_bytes=block)[1]
+        assert n == 1 or n >= 3
+        for clean in (False, True):
+            got = decontaminate.find_contamination(rows, bench, block_bytes=block, only_clean=clean).orderBy("doc_id").collect()
+            assert [tuple(r)[2:] for r in got] == [x for x in brute_contamination(texts, items) if not (clean and x[4])]
+
+
+def test_a_worker_builds_each_block_once(spark, monkeypatch):
+    bench = spark.createDataFrame([(k, f"w{k} " * 20) for k in range(40)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"w{k % 50} " * 30) for k in range(400)], "doc_id long, text string")
+    one = sorted(map(tuple, decontaminate.find_contamination(docs, bench).collect()))
+    assert decontaminate.benchmark_blocks(bench, block_bytes=250)[1] >= 10
+    assert sorted(map(tuple, decontaminate.find_contamination(docs, bench, block_bytes=250).collect())) == one
+    made, block = [], ("x", type("B", (), {"value": [("a", b"one two")]}))
+    monkeypatch.setattr(decontaminate, "Matcher", lambda items, window: made.append(items) or "matcher")
+    assert [decontaminate._matcher(block, 13) for _ in range(5)] == ["matcher"] * 5 and len(made) == 1
 
 
 def test_contamination_odd_rows(spark):
@@ -87,6 +101,8 @@ def test_contamination_odd_rows(spark):
     none = decontaminate.find_contamination(odd(spark), bench.limit(0))
     assert none.where("n_hit > 0").count() == 0
     assert decontaminate.find_contamination(odd(spark).limit(0), bench).count() == 0
+    many = decontaminate.find_contamination(odd(spark), bench.union(spark.createDataFrame([(2, "x y z")], bench.schema)), keep_text=False, block_bytes=2)
+    assert many.columns == got.columns and sorted(map(str, many.collect())) == sorted(map(str, got.collect()))
 
 
 # tokens
