@@ -126,9 +126,9 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+def slices(batch: pa.RecordBatch, column: str | int, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     """Runs of rows of about limit bytes of text, with their texts as UTF-8 (None for null)."""
-    texts = batch.column(batch.schema.get_field_index(column)).cast(pa.large_binary())
+    texts = batch.column(column if isinstance(column, int) else batch.schema.get_field_index(column)).cast(pa.large_binary())
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     at = 0
     while at < len(texts):

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from orospark.llm.common import map_texts, table
 from orospark.llm.toxicity import is_held_out, training_sample
 
-#: Labelled documents that the trees are fitted on, about: a bounded sample chosen by a hash of the key.
+#: Labelled documents that the trees are fitted on at most: a sample chosen by a hash of the key.
 FIT_DOCS = 30_000
 TREES, DEPTH, BINS, RATE = 120, 4, 64, 0.1
 LEAST_ROWS, RIDGE = 20, 1.0
@@ -118,8 +118,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
 
 def score_documents(docs: DataFrame, trees: Trees, text: str = "text", keep_text: bool = False, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score and predicted, from whole texts. Null and empty texts have statistics too; repeated rows are
-    scored each; clashing columns go; without training labels all scores are one half."""
+    """docs with score and predicted, from whole texts however long. Null and empty texts have statistics too; repeated
+    rows are scored each; clashing columns go; without training labels all scores are one half; an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def make():
@@ -135,6 +135,7 @@ def score_documents(docs: DataFrame, trees: Trees, text: str = "text", keep_text
 
 
 def op7_quality(spark, sf_dir: str) -> DataFrame:
+    """Quality score of each document; odd rows as in score_documents()."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", is_held_out().alias("held_out"), "score", "predicted")

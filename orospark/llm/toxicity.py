@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orospark.llm.common import map_texts, materialise, table
+from orospark.llm.common import discard, map_texts, materialise, slices, table
 
-#: Labelled documents that voters and classifier are fitted on, about: a bounded sample chosen by a hash of the key.
+#: Labelled documents that voters and classifier are fitted on at most: a sample chosen by a hash of the key.
 FIT_DOCS = 12_000
-#: Entries of the learned lexicon, and the voters that share them.
+#: Entries of the learned lexicon, the candidates that they are chosen from, and the voters that share them.
 ENTRIES = 96
+CANDIDATES = 4000
 LEARNED_VOTERS = 7
 #: Documents that an entry has to add, those already covered counting less.
 FRESH = 3.0
@@ -45,34 +46,67 @@ def _prefixes(word: bytes) -> list[bytes]:
     return [w[:k].encode() + b"*" for k in range(4, min(9, len(w)))]
 
 
-def mine_lexicon(texts: list[bytes], labels: np.ndarray, most: int = ENTRIES) -> list[bytes]:
-    """Words, and openings of words (with *), that toxic documents have and others hardly do, each adding documents not yet covered."""
-    n1, toxic = int(labels.sum()), np.flatnonzero(labels == 1).tolist()
+#: Word and opening counts that a task gathers before it sends them on.
+FLUSH = 200_000
+
+
+def _entries(text: bytes | None) -> set[bytes]:
+    return {x for w in word_set(text)[0] for x in (w, *_prefixes(w))}
+
+
+def entry_counts(sample: DataFrame) -> DataFrame:
+    """(entry, pos, neg): how many toxic and other texts of the sample have each word and opening, added up in the tasks first."""
+
+    def run(batches):
+        held: list[Counter] = [Counter(), Counter()]
+
+        def out():
+            names = list(held[0].keys() | held[1].keys())
+            columns = [pa.array(names, pa.binary()), *(pa.array([c[n] for n in names], pa.int64()) for c in (held[1], held[0]))]
+            for c in held:
+                c.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["entry", "pos", "neg"])
+
+        for batch in batches:
+            for text, y in zip(batch.column(0).cast(pa.large_binary()).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held[y].update(_entries(text))
+                if len(held[0]) + len(held[1]) > FLUSH:
+                    yield out()
+        yield out()
+
+    return sample.select("text", "y").mapInArrow(run, "entry binary, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def mine_lexicon(sample: DataFrame, most: int = ENTRIES, candidates: int = CANDIDATES) -> list[bytes]:
+    """Words, and openings of words (with *), that toxic texts have and others hardly do, each adding texts not yet covered.
+
+    sample: (text, y). Counting is Spark's; the driver sees the best candidates, and which toxic texts have which."""
+    n0, n1 = (sample.agg(F.count_if(F.col("y") == 0), F.count_if(F.col("y") == 1)).first()) or (0, 0)
     least = max(4, n1 // 400)  # fewer may be chance, or copies of one text
-    entries = lambda k: {x for w in word_set(texts[k])[0] for x in (w, *_prefixes(w))}
-    # texts are read as they are needed, never all their words at once
-    counts = Counter(f for k in toxic for f in entries(k))
-    holders: dict[bytes, list[int]] = {f: [] for f, n in counts.items() if n >= least}
-    del counts
-    for k in toxic:
-        for f in entries(k):
-            if f in holders:
-                holders[f].append(k)
-    bad, known = Counter(), {}
-    for k in np.flatnonzero(labels == 0).tolist():
-        seen = set()
-        for w in word_set(texts[k])[0]:
-            if w not in known:
-                if len(known) > 100_000:
-                    known.clear()
-                known[w] = tuple(x for x in (w, *_prefixes(w)) if x in holders)
-            seen.update(known[w])
-        bad.update(seen)
-    n0 = max(1, len(labels) - n1)
-    odds = {f: math.log((len(h) + 0.5) / (n1 + 1)) - math.log((bad[f] + 0.5) / (n0 + 1)) for f, h in holders.items()}
-    left = sorted((f for f in holders if odds[f] > 2.5 and bad[f] <= 0.25 * len(holders[f])), key=lambda f: (-len(holders[f]) * odds[f], f))[:4000]
-    taken, times = [], np.zeros(len(texts))
-    rows = {f: np.array(holders[f]) for f in left}
+    odds = F.log((F.col("pos") + 0.5) / (n1 + 1)) - F.log((F.col("neg") + 0.5) / (max(1, n0) + 1))
+    good = entry_counts(sample).where(F.col("pos") >= least).withColumn("odds", odds).where("odds > 2.5 and neg <= 0.25 * pos")
+    best = good.orderBy(F.desc(F.col("pos") * F.col("odds")), "entry").limit(candidates).collect()
+    odds_of = {bytes(r.entry): r.odds for r in best}
+    if not best:
+        return []
+
+    def held(batches):
+        for batch in batches:
+            found = [[x for x in _entries(t) if x in odds_of] for t in batch.column(0).cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.binary()))], names=["found"])
+
+    found = sample.where("y = 1").select("text").mapInArrow(held, "found array<binary>").toArrow().column("found").to_pylist()
+    holders: dict[bytes, list[int]] = {f: [] for f in odds_of}
+    for k, f in enumerate(found):
+        for x in f:
+            holders[x].append(k)
+    return cover(odds_of, {f: np.array(h, np.intp) for f, h in holders.items()}, len(found), most)
+
+
+def cover(odds: dict[bytes, float], rows: dict[bytes, np.ndarray], n: int, most: int = ENTRIES) -> list[bytes]:
+    """Entries, best first, each by its odds times the texts that it adds; texts that entries already cover count less."""
+    left = sorted(odds, key=lambda f: (-len(rows[f]) * odds[f], f))
+    taken, times = [], np.zeros(n)
     while left and len(taken) < most:
         best, gain = None, 0.0
         for f in left:  # by falling bound on the gain
@@ -268,22 +302,20 @@ def is_held_out(key: str = "doc_id"):
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(text, label) of about ``most`` labelled documents, at most twice that, that are not held out; chosen by a hash of the key."""
-    rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~is_held_out(key)).groupBy(key).agg(F.max(label).alias("_y"))
-    n = rows.count()
-    if n > most:
-        rows = rows.where(F.pmod(F.xxhash64(key, F.lit(3)), F.lit(1 << 24)) < int((1 << 24) * most / n)).limit(2 * most)
-    return docs.select(key, text).join(F.broadcast(rows), key).select(F.col(text).alias("text"), F.col("_y").cast("int").alias("y"))
+    """(text, y) of at most ``most`` labelled documents that are not held out: those with the least hashes of the key.
+
+    A key with several labels has the highest, one with several texts the least of them; null keys and labels other than 0
+    and 1 are left out."""
+    rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~is_held_out(key)).groupBy(key).agg(F.max(label).cast("int").alias("_y"))
+    rows = rows.orderBy(F.xxhash64(key, F.lit(3)), key).limit(most)
+    found = docs.select(F.col(key), F.col(text).alias("_text")).join(F.broadcast(rows), key)
+    return found.groupBy(key).agg(F.min("_text").alias("text"), F.first("_y").alias("y")).select("text", "y")
 
 
-def fit_lexicon(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", fit_docs: int = FIT_DOCS) -> tuple[Lexicon, list[bytes], np.ndarray]:
-    sample = training_sample(docs, labels, "toxic", fit_docs, text, key).toArrow()
-    texts = sample.column("text").cast(pa.large_binary()).to_pylist()
-    y = np.asarray(sample.column("y").to_pylist(), np.int64)
-    del sample
-    order = sorted(range(len(texts)), key=lambda k: (texts[k] or b"", y[k]))
-    texts, y = [texts[k] for k in order], y[order]
-    return Lexicon(mine_lexicon(texts, y)), texts, y
+def fit_lexicon(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", fit_docs: int = FIT_DOCS) -> tuple[Lexicon, DataFrame]:
+    """The lexicon, and the sample (text, y) that it was mined from, written to the shared folder."""
+    sample = materialise(training_sample(docs, labels, "toxic", fit_docs, text, key))
+    return Lexicon(mine_lexicon(sample)), sample
 
 
 def describe_all(docs: DataFrame, lexicon: Lexicon, text: str = "text", keep_text: bool = False) -> DataFrame:
@@ -303,14 +335,16 @@ def describe_all(docs: DataFrame, lexicon: Lexicon, text: str = "text", keep_tex
     return map_texts(docs, make, fields, text, keep_text)
 
 
-def fit(described: DataFrame, lexicon: Lexicon, texts: list[bytes], y: np.ndarray) -> LinearModel:
-    """Label model on the vote patterns of all documents, of which at most 2^voters kinds reach the driver; classifier on its posterior."""
+def fit(described: DataFrame, lexicon: Lexicon, sample: DataFrame) -> LinearModel:
+    """Label model on the vote patterns of all documents, of which at most 2^voters kinds reach the driver; classifier on its
+    posterior. Of the sample only hits, numbers and votes reach the driver; it is deleted."""
     counts = np.zeros(1 << N_VOTERS)
     for r in described.groupBy("_votes").count().collect():
         counts[r[0]] = r[1]
-    found = [describe(t, lexicon) for t in texts]
-    hits, stats = [h for h, _ in found], np.array([s for _, s in found]).reshape(-1, 5)
-    masks = np.array([votes(h, s, lexicon) for h, s in found], np.int64)
+    found = sorted(map(tuple, describe_all(sample, lexicon).select("_hits", "_stats", "_votes", "y").collect()))
+    discard(sample)
+    hits, stats = [f[0] for f in found], np.array([f[1] for f in found]).reshape(-1, 5)
+    masks, y = np.array([f[2] for f in found], np.int64), np.array([f[3] for f in found], np.int64)
     labelled = np.zeros((2, len(counts)))
     np.add.at(labelled, (y, masks), 1.0)
     counts = np.maximum(counts, labelled.sum(0))
@@ -340,33 +374,35 @@ def with_scores(described: DataFrame, model: LinearModel) -> DataFrame:
 def score_documents(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, score and predicted of all docs, learned from the labels of documents that are not held out.
 
-    A null or empty text has no words and a low score; repeated rows each get the score of their text; labels
-    other than 0 and 1 are left out, an empty label table leaves the built-in lexicon without training (scores
-    under 0.5)."""
-    lexicon, texts, y = fit_lexicon(docs, labels, text, key)
+    A null or empty text has no words and a low score; very long texts are read whole; repeated rows each get the score of
+    their text; labels other than 0 and 1 are left out, an empty label table leaves the built-in lexicon without training
+    (scores under 0.5); other columns of docs go, so none can clash; an empty table stays empty."""
+    lexicon, sample = fit_lexicon(docs, labels, text, key)
     described = materialise(describe_all(docs.select(key, text), lexicon, text))
-    return with_scores(described, fit(described, lexicon, texts, y))
+    return with_scores(described, fit(described, lexicon, sample))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs without those predicted toxic; the columns stay. The score is computed again from each text, so no key has to be unique."""
-    lexicon, texts, y = fit_lexicon(docs, labels, text, key)
+    """docs without those predicted toxic; all columns stay, whatever their names. The score is computed again from each text,
+    so no key has to be unique; odd rows are scored as in score_documents(), so null and empty texts stay."""
+    lexicon, sample = fit_lexicon(docs, labels, text, key)
     described = describe_all(docs.select(text), lexicon, text).select("_votes")
-    shared = docs.sparkSession.sparkContext.broadcast(fit(described, lexicon, texts, y))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(described, lexicon, sample))
+    at = docs.columns.index(text)
 
-    def make():
+    def run(batches):
         model = shared.value
+        for batch in batches:
+            for rows, texts in slices(batch, at):
+                found = [describe(t, model.lexicon) for t in texts]
+                score = model.score([h for h, _ in found], np.array([s for _, s in found]).reshape(-1, 5))
+                yield rows.filter(pa.array(score < 0.5))
+        pa.default_memory_pool().release_unused()
 
-        def f(texts):
-            found = [describe(t, model.lexicon) for t in texts]
-            score = model.score([h for h, _ in found], np.array([s for _, s in found]).reshape(-1, 5))
-            return [pa.array(score < 0.5)]
-
-        return f
-
-    return map_texts(docs, make, [T.StructField("_clean", T.BooleanType())], text, where=0).drop("_clean")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Toxicity score of each document; odd rows as in score_documents()."""
     found = score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", is_held_out().alias("held_out"), "score", "predicted")

@@ -177,17 +177,21 @@ def test_toxicity_is_fitted_on_all_labels_within_the_bound(spark):
     rare = set(free[:4])  # as few holders as an entry may have
     rows = [(k, f"text number {k}" + " zwrrkl" * (k in rare), int(k in rare or k % 40 == 0)) for k in free]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    lexicon, texts, _ = toxicity.fit_lexicon(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
-    assert 11_000 < len(texts) == len(rows) < 12_000
+    lexicon, sample = toxicity.fit_lexicon(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert 11_000 < sample.count() == len(rows) < 12_000
+    few = toxicity.training_sample(df.union(df), df.select("doc_id", "toxic"), "toxic", 100)
+    assert few.count() == 100 and few.exceptAll(toxicity.training_sample(df, df.select("doc_id", "toxic"), "toxic", 100)).count() == 0
     assert any(b"zwrrkl".startswith(f.rstrip(b"*")) for f in lexicon.entries)
 
 
 def test_held_out_labels_are_never_read(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    turned = labels.withColumn("quality", F.when(is_held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
+    turned = labels.withColumns({k: F.when(is_held_out(), 1 - F.col(k)).otherwise(F.col(k)) for k in ("quality", "toxic")})
     a, b = quality.fit(d, labels), quality.fit(d, turned)
     assert np.array_equal(a.value, b.value) and np.array_equal(a.cut, b.cut)
+    a, b = ({tuple(r) for r in toxicity.score_documents(d, x).collect()} for x in (labels, turned))
+    assert a == b
 
 
 def test_trees_walk_like_plain_trees():
@@ -206,6 +210,62 @@ def test_trees_walk_like_plain_trees():
         assert np.isclose(s, t.margin(row[None])[0])
 
 
+def test_splits_are_those_of_a_plain_search():
+    rng = np.random.default_rng(1)
+    x = np.round(rng.normal(size=(300, 4)), 1)  # few values, so every cut is a bin's edge
+    y = (x[:, 1] + 0.5 * x[:, 3] + rng.normal(size=300) > 0.4).astype(float)
+    t = quality.fit_trees(x, y, trees=3, depth=2, bins=256, rate=0.5)
+    margin = np.full(300, t.bias)
+    for k in range(3):
+        p = 1 / (1 + np.exp(-margin))
+        g, h = y - p, p * (1 - p)
+        node = np.zeros(300, int)
+        for n in range(3):  # the root and its two children
+            at = np.flatnonzero(node == n)
+            best = (0.0, None, None)
+            score = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + quality.RIDGE)  # noqa: B023, E731
+            for f in range(4):
+                for c in np.unique(x[:, f]):
+                    a, b = at[x[at, f] <= c], at[x[at, f] > c]
+                    if min(len(a), len(b)) >= quality.LEAST_ROWS and (gain := score(a) + score(b) - score(at)) > best[0] + 1e-9:
+                        best = (gain, f, c)
+            a, b = at[x[at, t.feature[k, n]] <= t.cut[k, n]], at[x[at, t.feature[k, n]] > t.cut[k, n]]
+            got = score(a) + score(b) - score(at) if len(a) and len(b) else 0.0
+            assert got >= best[0] * (1 - 1e-6)
+            node[a], node[b] = 2 * n + 1, 2 * n + 2
+        for leaf in range(4):
+            at = np.flatnonzero(node == 3 + leaf)
+            want = 0.5 * g[at].sum() / (h[at].sum() + quality.RIDGE)
+            assert np.isclose(t.value[k, leaf], want)
+            margin[at] += want
+
+
+def test_label_model_against_enumeration():
+    """Posteriors by the weights that were found, pattern by pattern, and EM's moments, all by plain sums."""
+    rng = np.random.default_rng(5)
+    n = 4
+    counts = rng.integers(1, 200, 1 << n).astype(float)
+    labelled = np.zeros((2, 1 << n))
+    labelled[0, :6], labelled[1, 9:] = 5.0, 3.0
+    counts = np.maximum(counts, labelled.sum(0))
+    model = toxicity.LabelModel(n)
+    post = model.fit(counts, labelled, n_pairs=2, rounds=200, steps=200)
+
+    def weight(v, y):
+        bits = [v >> k & 1 for k in range(n)]
+        every = bits + [bits[a] * bits[b] for a, b in model.pairs]
+        return np.exp(sum(w * b for w, b in zip(model.weights[y], every, strict=True)))
+
+    z = [sum(weight(v, y) for v in range(1 << n)) for y in (0, 1)]
+    p1 = np.array([model.prior * weight(v, 1) / z[1] for v in range(1 << n)])
+    p0 = np.array([(1 - model.prior) * weight(v, 0) / z[0] for v in range(1 << n)])
+    assert np.allclose(post, p1 / (p0 + p1), atol=0.02)
+    fit = -sum(c * np.log(a + b) for c, a, b in zip(counts, p0, p1, strict=True))
+    r = np.array([(counts * [v >> k & 1 for v in range(1 << n)]).sum() / counts.sum() for k in range(n)])
+    alone = -sum(c * np.log(np.prod([r[k] if v >> k & 1 else 1 - r[k] for k in range(n)])) for v, c in enumerate(counts))
+    assert fit < alone  # two classes with pairs explain the patterns better than voters that know nothing
+
+
 def test_label_model_recovers_accuracies():
     rng = np.random.default_rng(4)
     n, m = 40_000, 6
