@@ -17,11 +17,10 @@ from orospark.llm.spans import SECRET_KINDS, Span, Taken, by_start, digest, find
 
 #: A candidate: a run of so many characters that secrets are written in, at least.
 LEAST = 16
-#: Documents from whose words ordinary identifiers are made, about.
-FIT_DOCS = 2000
+#: Labelled samples of random strings (all kinds) and of ordinary identifiers.
 FIT_SAMPLES = 12_000
-#: Above the highest ratio per character of an ordinary sample.
-MARGIN = 0.05
+#: Log-likelihood ratio per character over which a run is taken for random; see the README for both sides' distances from it.
+THRESHOLD = 0.7
 ADDED = "random"
 
 _RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
@@ -49,7 +48,7 @@ def random_samples(n: int, seed: int = 11) -> list[tuple[str, str]]:
 
 
 def ordinary_samples(words: list[str], n: int, seed: int = 12) -> list[str]:
-    """n identifiers: single words, words run together, and the usual ways of joining them, with numbers, dates and paths."""
+    """n labelled identifiers: single words, words run together, and the usual ways of joining them, with numbers, dates and paths."""
     rng = random.Random(seed)
     words, out = [w for w in words if w] or IDENTIFIER_WORDS, []
     for k in range(n):
@@ -78,39 +77,84 @@ class MarkovPair:
         return run.translate(None, b"0123456789+/_=-") != b"" and self.score(run) > self.threshold
 
 
-def _log_model(samples: list[str], smooth: float) -> np.ndarray:
+def _pair_counts(samples: list[str]) -> np.ndarray:
     k = len(_ALPHABET) + 1
     counts = np.zeros(k * k)
     for s in samples:
         c = _CODE[np.frombuffer(s.encode("latin-1", "replace"), np.uint8)]
         counts += np.bincount(np.concatenate([[k - 1], c[:-1]]) * k + c, minlength=k * k)
-    p = counts.reshape(k, k)
-    unigram = (p.sum(0) + 0.5) / (p.sum() + 0.5 * k)
+    return counts.reshape(k, k)
+
+
+def _log_model(p: np.ndarray, smooth: float) -> np.ndarray:
+    """Log probability of each character after each, from counts; rare ones lean on how common the character is."""
+    unigram = (p.sum(0) + 0.5) / (p.sum() + 0.5 * len(p))
     return np.log((p + smooth * unigram) / (p.sum(1, keepdims=True) + smooth))
 
 
-def fit(random_strings: list[tuple[str, str]], ordinary: list[str]) -> MarkovPair:
-    """Both models from labelled samples; the threshold lies above all ordinary samples that could be candidates."""
-    common = _log_model(ordinary, 20.0).ravel()
+def corpus_letters(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """How often each letter follows each in the ASCII words of all docs, in lower case; the last row and column stand for a
+    word's start and end. Tasks add up 27 x 27 numbers each, whatever the texts."""
+
+    def run(batches):
+        total = np.zeros(27 * 27, np.int64)
+        for batch in batches:
+            for _, texts in slices(batch, 0):
+                c = _LETTER[np.frombuffer(b"\n".join([b"", *(t or b"" for t in texts), b""]), np.uint8)]
+                total += np.bincount(c[:-1] * 27 + c[1:], minlength=27 * 27)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total), pa.int32()), pa.array(total[total > 0])], names=["pair", "n"])
+
+    out = np.zeros(27 * 27)
+    for r in docs.select(text).mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        out[r.pair] = r.n
+    out[-1] = 0  # what isn't a word
+    return out.reshape(27, 27)
+
+
+_LETTER = np.full(256, 26, np.intp)
+_LETTER[97:123] = _LETTER[65:91] = np.arange(26)
+
+
+def corpus_identifiers(letters: np.ndarray) -> np.ndarray:
+    """Expected character pairs, a word, of identifiers made of the corpus's words in the ways of ordinary_samples()."""
+    k = len(_ALPHABET) + 1
+    out, words = np.zeros((k, k)), max(letters[26].sum(), 1.0)
+    start, end, inner = letters[26, :26] / words, letters[:26, 26] / words, letters[:26, :26] / words
+    low, up, more = np.arange(26), np.arange(26, 52), 2 / 3  # three words an identifier: one first, two more
+    second = inner / np.maximum(inner.sum(1, keepdims=True), 1e-9)
+    for case, join in ((low, "_"), (low, "-"), (low, "/"), (up, "_"), (low, None), (low, "")):
+        out[np.ix_(case, case)] += inner
+        out[k - 1, case] += start * (1 if join is None else 1 / 3)
+        if join:
+            j = _ALPHABET.index(join)
+            out[j, case] += more * start
+            out[case, j] += more * end
+        elif join == "":
+            out[np.ix_(case, case)] += more * np.outer(end, start)
+    # words run together with a capital each but the first
+    out[np.ix_(low, low)] += inner
+    out[k - 1, low] += start / 3
+    out[np.ix_(low, up)] += more * np.outer(end, start)
+    out[np.ix_(up, low)] += more * start[:, None] * second
+    return out
+
+
+def fit(random_strings: list[tuple[str, str]], ordinary: list[str], letters: np.ndarray | None = None, threshold: float = THRESHOLD) -> MarkovPair:
+    """Both models from labelled samples; that of ordinary identifiers counts the corpus's words as much as its samples."""
+    pairs = _pair_counts(ordinary)
+    if letters is not None and letters.sum():
+        own = corpus_identifiers(letters)
+        pairs = pairs + own * (pairs.sum() / own.sum() if pairs.sum() else 1e5)
+    common = _log_model(pairs, 20.0).ravel()
     kinds: dict[str, list[str]] = {}
     for kind, s in random_strings:
         kinds.setdefault(kind, []).append(s)
-    model = MarkovPair(np.stack([_log_model(s, 400.0).ravel() - common for s in kinds.values()]), 0.0)
-    top = max((model.score(s.encode("latin-1", "replace")) for s in ordinary if len(s) >= LEAST), default=0.0)
-    model.threshold = max(0.0, top) + MARGIN
-    return model
-
-
-def corpus_words(docs: DataFrame, text: str = "text", n_docs: int = FIT_DOCS) -> list[str]:
-    """Distinct ASCII words of about n_docs documents, chosen by a hash of the text; bounded whatever the corpus."""
-    total = docs.count()
-    part = F.pmod(F.xxhash64(text), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, n_docs / max(total, 1))) or 1)
-    words = docs.where(part & F.col(text).isNotNull()).select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit("[A-Za-z]{3,40}"), F.lit(0)))).alias("w"))
-    return [r.w for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(20_000).collect()]
+    return MarkovPair(np.stack([_log_model(_pair_counts(s), 400.0).ravel() - common for s in kinds.values()]), threshold)
 
 
 def fit_on(docs: DataFrame, text: str = "text") -> MarkovPair:
-    return fit(random_samples(FIT_SAMPLES // len(RANDOM_KINDS)), ordinary_samples(corpus_words(docs, text), FIT_SAMPLES))
+    """Models for docs: the labelled samples are made here, the letters are counted over all texts."""
+    return fit(random_samples(FIT_SAMPLES // len(RANDOM_KINDS)), ordinary_samples([], FIT_SAMPLES), corpus_letters(docs, text))
 
 
 def scan(text: str, model: MarkovPair) -> tuple[list[Span], list[Span]]:
@@ -152,7 +196,8 @@ class Scanner:
 def find_spans(docs: DataFrame, model: MarkovPair, text: str = "text", keep_text: bool = True) -> DataFrame:
     """docs with n_assign, n_access, n_hex, base_sha256 and spans (base ones and those of the models).
 
-    Null and empty texts have none; repeated rows each get their own; clashing columns go."""
+    Null and empty texts have none; very long ones are read whole; repeated rows each get their own; clashing columns go;
+    an empty table stays empty."""
     long, string = T.LongType(), T.StringType()
     fields = [*(T.StructField(f"n_{k}", long) for k in SECRET_KINDS), T.StructField("base_sha256", string), T.StructField("spans", string)]
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -171,14 +216,15 @@ def find_spans(docs: DataFrame, model: MarkovPair, text: str = "text", keep_text
 
 
 def mask(docs: DataFrame, model: MarkovPair, text: str = "text", with_: str = "[SECRET]") -> DataFrame:
-    """docs with each span of secrets replaced; other columns, and documents without, stay as they are."""
+    """docs with each span of secrets replaced, spans that overlap by one mark; all rows stay, null and empty texts, texts
+    without secrets and other columns, whatever their names, as they are."""
     at = docs.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         scanner = Scanner(shared.value)
         for batch in batches:
-            for rows, texts in slices(batch, text):
+            for rows, texts in slices(batch, at):
                 new = []
                 for t in texts:
                     s, _, spans = scanner(t)
@@ -194,5 +240,6 @@ def mask(docs: DataFrame, model: MarkovPair, text: str = "text", with_: str = "[
 
 
 def op6_secrets(spark, sf_dir: str) -> DataFrame:
+    """Secrets in each document; odd rows as in find_spans()."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return find_spans(docs, fit_on(docs), keep_text=False)
