@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from orospark.llm.common import map_texts, table
-from orospark.llm.spans import PII_KINDS, Span, Taken, by_kind, digest, find_pii, luhn, written
+from orospark.llm.spans import PII_KINDS, Span, Taken, LOCAL, by_kind, digest, find_pii, luhn, written
 
 LABELS = ("none", *PII_KINDS)
 ROUNDS = 30
@@ -22,8 +22,9 @@ WARM_ROUNDS, HARD = 6, 6.0
 NEAR = 80
 
 _NUMBER = re.compile(r"(?<![0-9A-Za-z])[+(]?[0-9](?:[0-9]|[.()/:_\x20-]{1,3}+(?=[0-9])){5,}")
-_BRACKETED = re.compile(r"[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\{at\}|@|\x20at\x20)\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\.|\x20dot\x20)\x20?[A-Za-z0-9-]{2,63})+", re.IGNORECASE)
-_HANDLE_PART = re.compile(r"[A-Za-z0-9._%+-]{5,64}")
+_AT = re.compile(r"[(\[{]at[)\]}]|@|\x20at\x20", re.I)
+_DOMAIN = re.compile(r"\x20?[A-Za-z0-9-]++(?:\x20?(?:\(dot\)|\[dot\]|\{dot\}|\.|\x20dot\x20)\x20?[A-Za-z0-9-]{2,}+)+", re.I)
+_HANDLE_PART = re.compile(r"[A-Za-z0-9._%+-]{5,}")
 _CUE = {
     "email": re.compile(r"e-?mail|mail|contact|write to|reach", re.I),
     "ip": re.compile(r"\bip\b|host|server|address", re.I),
@@ -59,12 +60,26 @@ class Mention:
     form: str  # digits, or lower case letters and digits
 
 
+def spelt_out(text: str) -> list[tuple[int, int]]:
+    """Addresses with marks or words for @ and dots, or spaces around them, from each sign for @: linear, of any length."""
+    out, end = [], 0
+    for m in _AT.finditer(text):
+        at = m.start() - (text[max(end, m.start() - 1) : m.start()] == " ")
+        start = at
+        while start > end and text[start - 1] in LOCAL:
+            start -= 1
+        if start < at and (d := _DOMAIN.match(text, m.end())):
+            out.append((start, d.end()))
+            end = d.end()
+    return out
+
+
 def mentions(text: str, base: list[Span]) -> list[Mention]:
     """Base matches, other runs of digits, spelt-out addresses, and later uses of a base address's local part."""
     out = [Mention(a, b, k, _form(text[a:b], k)) for k, a, b in base]
     taken = Taken(base)
-    more = list(_NUMBER.finditer(text)) + ([m for m in _BRACKETED.finditer(text)] if _AT.search(text) else [])
-    out += [Mention(m.start(), m.end(), None, _form(m[0], "email" if m.re is _BRACKETED else None)) for m in more if not taken(m.start(), m.end())]
+    more = [(m.start(), m.end(), None) for m in _NUMBER.finditer(text)] + [(a, b, "email") for a, b in spelt_out(text)]
+    out += [Mention(a, b, None, _form(text[a:b], k)) for a, b, k in more if not taken(a, b)]
     handles = {text[a:b].partition("@")[0] for k, a, b in base if k == "email"}
     handles = {h for h in handles if _HANDLE_PART.fullmatch(h) and any(c.isdigit() or c in "._" for c in h.strip("._"))}
     if handles:
@@ -76,9 +91,6 @@ def mentions(text: str, base: list[Span]) -> list[Mention]:
     return sorted(out, key=lambda m: (m.start, m.end))
 
 
-_AT = re.compile(r"@|\bat\b|[\[({]at", re.I)
-
-
 def _form(s: str, kind: str | None) -> str:
     if kind == "email":
         s = re.sub(r"\x20?(?:\(at\)|\[at\]|\{at\}|\x20at\x20)\x20?", "@", s.lower())
@@ -117,8 +129,8 @@ def unary(text: str, m: Mention, w: Weights) -> np.ndarray:
 
 
 def edges(found: list[Mention], w: Weights) -> list[tuple[int, int, float]]:
-    """Chain edges between neighbours, and skip edges: equal or similar mentions are tied to the one before and to
-    the first, so a mention repeated n times costs 2n edges, not all pairs."""
+    """Chain edges between neighbours, and skip edges: equal or similar mentions (numbers that end in the same nine
+    digits, addresses with the same local part) are tied to the one before and to the first, so a mention repeated n times costs 2n edges, not all pairs."""
     out = [(k, k + 1, w.chain) for k in range(len(found) - 1) if found[k + 1].start - found[k].end <= NEAR]
     for weight, key in ((w.same, lambda m: (m.form, "")), (w.similar, lambda m: ("", m.form[-9:]) if len(m.form) >= 9 and m.form.isdigit() else None), (w.same, lambda m: ("@", m.form.lstrip("@").partition("@")[0]) if "@" in m.form else None)):
         groups: dict = defaultdict(list)
@@ -234,7 +246,8 @@ _DIGIT_RUN = re.compile(r"[0-9][0-9().\x20/:_-]{5,}")
 def find_spans(docs: DataFrame, weights: Weights | None = None, text: str = "text", keep_text: bool = True) -> DataFrame:
     """docs with n_email, n_ip, n_card, n_phone, base_sha256 and spans (base ones and those of the field).
 
-    Null and empty texts have none; repeated rows each get their own; clashing columns go."""
+    Null and empty texts have none; very long ones are read whole; repeated rows each get their own; clashing columns go;
+    an empty table stays empty."""
     long, string = T.LongType(), T.StringType()
     columns = [*(T.StructField(f"n_{k}", long) for k in PII_KINDS), T.StructField("base_sha256", string), T.StructField("spans", string)]
 
@@ -250,4 +263,5 @@ def find_spans(docs: DataFrame, weights: Weights | None = None, text: str = "tex
 
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:
+    """Personal data in each document; odd rows as in find_spans()."""
     return find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)

@@ -11,7 +11,7 @@ Span = tuple[str, int, int]
 PII_KINDS = ("email", "ip", "card", "phone")
 SECRET_KINDS = ("assign", "access", "hex")
 
-_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")  # a match starts where digits start; no way back
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -37,7 +37,7 @@ def emails(text: str) -> list[Span]:
     out, end, at = [], 0, text.find("@")
     while at >= 0:
         start = at
-        while start > end and text[start - 1] in _LOCAL:
+        while start > end and text[start - 1] in LOCAL:
             start -= 1
         if start < at and (m := _DOMAIN.match(text, at + 1)):
             out.append(("email", start, m.end()))
