@@ -163,13 +163,30 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[bytes | None]], l
     return kept.mapInArrow(run, schema)
 
 
-def global_rank(df: DataFrame, order: list, name: str = "rank") -> DataFrame:
+def parts_for(spark: SparkSession, amount: int, each: int) -> int | None:
+    """So many partitions that none has more than about ``each`` of an amount; None where the session's number will do, which
+    adaptive execution may lower."""
+    n = -(-amount // each)
+    return n if n > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def dealt_by_range(df: DataFrame, order: list, parts: int | None) -> DataFrame:
+    """df in ranges of the order, sorted in each."""
+    dealt = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    return dealt.sortWithinPartitions(*order)
+
+
+#: Rows of a partition in a global sort, about.
+RANGE_ROWS = 4_000_000
+
+
+def global_rank(df: DataFrame, order: list, name: str = "rank", parts: int | None = None) -> DataFrame:
     """df with a gapless rank from 0 in the total order given, without a single-task sort.
 
     Rows are dealt by range and sorted in their partitions; the rank is the place in the partition plus the
     counts of those before it. Only one count for each partition reaches the driver."""
     spark = df.sparkSession
-    dealt = materialise(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()))
+    dealt = materialise(dealt_by_range(df, order, parts).withColumn("_place", F.monotonically_increasing_id()))
     counts = {r[0]: r[1] for r in dealt.groupBy(F.shiftright("_place", 33).alias("p")).count().collect()}
     before, rows = 0, []
     for p in sorted(counts):

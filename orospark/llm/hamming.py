@@ -11,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orospark.llm.common import materialise, table
+from orospark.llm.common import discard, materialise, table
 
 BITS = 64
 TOP = 10
 #: Every so many ids are queries.
 EVERY = 50
+#: Entries of a bucket, at least, over which it is split; and there are at most so many split buckets.
+BUCKET_ROWS, HOT_BUCKETS = 50_000, 20_000
 
 
 def sign_code(vector: str) -> Column:
@@ -58,15 +60,26 @@ def _probes(queries: DataFrame, parts: list[tuple[int, int]], radius: int) -> Da
     return queries.select("q").mapInArrow(run, "bucket long, q long")
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = TOP, parts: list[tuple[int, int]] | None = None) -> DataFrame:
+def _split(index: DataFrame, n_entries: int, bucket_rows: int) -> DataFrame | None:
+    """(bucket, parts) of the buckets with so many entries that one task shouldn't meet them alone: HOT_BUCKETS at most."""
+    most = max(bucket_rows, n_entries // HOT_BUCKETS)
+    hot = index.groupBy("bucket").count().where(F.col("count") > most).select("bucket", F.ceil(F.col("count") / most).cast("int").alias("parts")).collect()
+    return index.sparkSession.createDataFrame([tuple(r) for r in hot], "bucket long, parts int") if hot else None
+
+
+def top_k(rows: DataFrame, queries: DataFrame, k: int = TOP, parts: list[tuple[int, int]] | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, distance): the k nearest of rows (vec_id, code) for each of queries (query_id, code), ties by vec_id.
 
-    Equal codes are one entry of the index, with their number and k least ids; equal queries are searched for
-    once. In round r the buckets at radius r of every segment are probed; each candidate counts in the first
-    (radius, segment) that meets it, so none comes twice. A code not met by then differs from the query in
-    r + 1 bits of each segment; a query is done when its kth verified distance is below that sum. Rows and
-    queries with a null code are left out; with fewer than k rows all are returned."""
-    rows, queries = rows.where("code is not null"), queries.where("code is not null")
+    Equal codes are one entry of the index, with their number and k least ids (kept in each task before any meet, so a code
+    that a third of all rows have is no burden); equal queries are searched for once. In round r the buckets at radius r of
+    every segment are probed; each candidate counts in the first (radius, segment) that meets it, so none comes twice. A
+    code not met by then differs from the query in r + 1 bits of each segment; a query is done when its kth verified
+    distance is below that sum. A bucket with very many codes is split, and its probes go to all parts.
+
+    Rows and queries with a null code are left out, a null id counts as the least; repeated rows count each, repeated
+    queries get rows each; with fewer than k rows all are returned, of empty tables none; further columns are ignored."""
+    rows = rows.where("code is not null").select("vec_id", "code")
+    queries = queries.where("code is not null").select("query_id", "code")
     counts = rows.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
     first_ids = rows.withColumn("_r", F.row_number().over(Window.partitionBy("code").orderBy("vec_id"))).where(F.col("_r") <= k).select("code", "vec_id")
     codes = materialise(counts)
@@ -74,9 +87,14 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = TOP, parts: list[tuple[i
     parts = parts or segments(n_codes)
     buckets = F.explode(F.array(*[_segment(F.col("code"), a, b).bitwiseOR(F.lit(s << 40)) for s, (a, b) in enumerate(parts)]))
     index = materialise(codes.select(buckets.alias("bucket"), "code", "n"))
+    hot = _split(index, n_codes * len(parts), bucket_rows)
+    on = ["bucket"]
+    if hot is not None:
+        on, one = ["bucket", "part"], F.coalesce("parts", F.lit(1))
+        index = index.join(F.broadcast(hot), "bucket", "left").withColumn("part", F.pmod(F.xxhash64("code"), one).cast("int")).drop("parts")
     asked = queries.groupBy("code").count().select(F.col("code").alias("q"))
     left = materialise(asked)
-    want, found, tallies, done = min(k, n_rows), [], [], []
+    want, found, tallies, done, steps = min(k, n_rows), [], [], [], [codes]
     for radius in range(max(b for _, b in parts) + 1):
         if not want or left.isEmpty():
             break
@@ -85,7 +103,10 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = TOP, parts: list[tuple[i
         met = F.shiftright("bucket", 40)
         before = [(apart[s] > radius) | (met <= s) for s in range(len(parts))]
         after = [(apart[s] >= radius) | (met >= s) for s in range(len(parts))]
-        near = _probes(left, parts, radius).hint("merge").join(index.hint("merge"), "bucket").where(reduce(Column.__and__, before + after))
+        probes = _probes(left, parts, radius)
+        if hot is not None:
+            probes = probes.join(F.broadcast(hot), "bucket", "left").withColumn("part", F.explode(F.sequence(F.lit(0), one - 1))).drop("parts")
+        near = probes.hint("merge").join(index.hint("merge"), on).where(reduce(Column.__and__, before + after))
         near = materialise(near.select("q", "code", "n", F.bit_count(x).alias("d")))
         found.append(near)
         tallies.append(near.groupBy("q", "d").agg(F.sum("n").alias("n")))
@@ -94,6 +115,7 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = TOP, parts: list[tuple[i
         kth = tally.withColumn("upto", upto).where(F.col("upto") >= want).groupBy("q").agg(F.min("d").alias("kth"))
         sure = materialise(kth.where(F.col("kth") < len(parts) * (radius + 1)).join(left, "q", "left_semi"))
         done.append(sure)
+        steps.append(left)
         left = materialise(left.join(sure, "q", "left_anti"))
     if not found:
         return queries.select("query_id", F.lit(1).alias("rank"), F.lit(0).cast("long").alias("vec_id"), F.lit(0).alias("distance")).where("false")
@@ -101,10 +123,13 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = TOP, parts: list[tuple[i
     near = reduce(DataFrame.union, found).join(bound, "q").where("d <= kth").select("q", "code", "d")
     order = Window.partitionBy("q").orderBy("d", "vec_id")
     best = near.join(first_ids, "code").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q", "rank", "vec_id", F.col("d").alias("distance"))
-    return queries.withColumnRenamed("code", "q").join(materialise(best), "q").select("query_id", "rank", "vec_id", "distance")
+    best = materialise(best)
+    discard(left, *steps, *found, *done)
+    return queries.withColumnRenamed("code", "q").join(best, "q").select("query_id", "rank", "vec_id", "distance")
 
 
 def op2_hamming_top_k(spark, sf_dir: str) -> DataFrame:
+    """The ten nearest codes of each embedding whose id is divisible by 50; odd rows as in top_k(); a null embedding has no code."""
     rows = materialise(table(spark, sf_dir, "embeddings").select("vec_id", sign_code("embedding").alias("code")))
     queries = rows.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"), "code")
     return top_k(rows, queries)

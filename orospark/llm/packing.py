@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orospark.llm.common import discard, global_rank, materialise, slices, smaller_batches, table, without
+from orospark.llm.common import RANGE_ROWS, discard, global_rank, materialise, parts_for, slices, smaller_batches, table, without
 from orospark.llm.tokens import BATCH_BYTES, encoder, tokenizer_path, with_end
 
 WORD_BPE = "word_bpe_49k.json"
@@ -101,7 +101,8 @@ def best_fit_decreasing(counts: dict[int, int], window: int = WINDOW) -> tuple[n
 def cut_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """A row for each piece: key, start, length, ids_crc32, doc_tokens (and ids). Documents of over a window are first cut into full windows.
 
-    A null text is empty; each document has the end id, so at least one piece."""
+    A null or empty text has the end id only, so each document has at least one piece; repeated rows have theirs each, null
+    keys stay null; other columns of docs go."""
     long = T.LongType()
     schema = T.StructType([docs.schema[key], *(T.StructField(n, long) for n in ("start", "length", "ids_crc32", "doc_tokens")), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
     def run(batches):
@@ -134,7 +135,8 @@ def pack(pieces: DataFrame, window: int = WINDOW, key: str = "doc_id") -> DataFr
     pieces = without(pieces, ["sequence_id", "offset", "rank", "_falling"])
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     plan, _ = best_fit_decreasing(counts, window)
-    ranked = global_rank(pieces.withColumn("_falling", -F.col("length")), ["_falling", key, "start", "ids_crc32"], "rank").drop("_falling")
+    parts = parts_for(pieces.sparkSession, sum(counts.values()), RANGE_ROWS if "ids" not in pieces.columns else RANGE_ROWS // 100)
+    ranked = global_rank(pieces.withColumn("_falling", -F.col("length")), ["_falling", key, "start", "ids_crc32"], "rank", parts).drop("_falling")
     shared = pieces.sparkSession.sparkContext.broadcast(plan)  # bounded by the window: see best_fit_decreasing
     long = T.LongType()
     schema = T.StructType([f for f in ranked.schema.fields if f.name != "rank"] + [T.StructField("sequence_id", long), T.StructField("offset", long)])
@@ -151,7 +153,7 @@ def pack(pieces: DataFrame, window: int = WINDOW, key: str = "doc_id") -> DataFr
 
 
 def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The pieces of docs with their places; the texts are encoded once."""
+    """The pieces of docs with their places; the texts are encoded once. Odd rows as in cut_documents() and pack()."""
     with smaller_batches(docs.sparkSession):
         pieces = materialise(cut_documents(docs, path, window, end_id, text, key))
     placed = pack(pieces, window, key)
@@ -159,16 +161,17 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
     return placed
 
 
-def sequences(pieces: DataFrame, placed: DataFrame, window: int = WINDOW, pad_id: int = 0, key: str = "doc_id") -> DataFrame:
-    """Token ids of each sequence, padded to the window (not where its length is a power of two).
+def sequences(placed: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataFrame:
+    """(sequence_id, ids, n_tokens): token ids of each sequence, padded to the window (not where its length is a power of two).
 
-    pieces has ids (see cut_documents); a sequence holds at most window pieces, so no group is unbounded."""
-    joined = without(placed, ["ids"]).join(pieces.select(key, "start", "ids"), [key, "start"])
+    placed comes from pack() of pieces with ids (see cut_documents): pieces carry their ids along, so null and repeated keys
+    are as good as any. A sequence holds at most window pieces, so no group is unbounded."""
     ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("offset", "ids"))), lambda x: x["ids"]))
-    whole = joined.groupBy("sequence_id").agg(ids.alias("ids"), F.sum("length").alias("n_tokens"))
+    whole = placed.groupBy("sequence_id").agg(ids.alias("ids"), F.sum("length").alias("n_tokens"))
     exact = F.bit_count("n_tokens") == 1
     return whole.withColumn("ids", F.when(exact, F.col("ids")).otherwise(F.concat("ids", F.array_repeat(F.lit(pad_id), F.lit(window) - F.col("n_tokens").cast("int")))))
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:
+    """Pieces of each document with their places; odd rows as in cut_documents() and pack()."""
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(WORD_BPE)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

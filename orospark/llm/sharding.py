@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orospark.llm.common import global_rank, materialise, table, without
+from orospark.llm.common import RANGE_ROWS, discard, global_rank, materialise, parts_for, table, without
 
 SHARDS = 16
 #: Bits of each quantised dimension.
@@ -45,7 +45,8 @@ def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _number(df: DataFrame, name: str, least, most) -> Column:
-    """A dimension as a double that keeps its order: strings by six bytes after the prefix common to all."""
+    """A dimension as a double that keeps its order: strings by six bytes after the prefix common to all, what a double
+    holds exactly. Strings equal so far share a cell; the ties of cut_runs() put them in order, nothing is lost."""
     kind = df.schema[name].dataType
     if isinstance(kind, T.StringType):
         skip = len(os.path.commonprefix([(least or "").encode(), (most or "").encode()]))
@@ -81,36 +82,52 @@ def with_hilbert(df: DataFrame, dims: list[str], bits: int = BITS, log_dims: tup
     return wide.mapInArrow(run, schema)
 
 
-def cut_runs(df: DataFrame, shards: int = SHARDS, curve: str = "hilbert", ties: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def cut_runs(df: DataFrame, shards: int = SHARDS, curve: str = "hilbert", ties: tuple[str, ...] = ("doc_id",), parts: int | None = None) -> DataFrame:
     """df with shard and slot: the order along the curve is cut into runs whose counts are at most one apart.
 
     Rows of one curve index are ordered by ties, so a hot cell is spread over as many shards as it needs."""
     df = without(df, ["shard", "slot", "_rank"])
-    ranked = global_rank(df, [curve, *ties], "_rank")
+    ranked = global_rank(df, [curve, *ties], "_rank", parts)
     n = ranked.count()
     shard = F.expr(f"_rank * {shards} div {max(n, 1)}")
     start = F.expr(f"(shard * {n} + {shards - 1}) div {shards}")  # the first rank of the shard
     return ranked.withColumn("shard", shard).withColumn("slot", F.col("_rank") - start).withColumn("shard", F.col("shard").cast("int")).drop("_rank")
 
 
+def _described(docs: DataFrame, text: str) -> list[Column]:
+    """size (UTF-8 bytes plus one) and text_crc32; a null text has size 1 and the checksum of nothing."""
+    return [(F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32")]
+
+
 def assign_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Metadata of all docs with curve index, shard and slot, along (lang, source, size, key).
 
-    size: UTF-8 bytes plus one. A null text has size 1 and the checksum of nothing. Equal texts differ in key and
-    maybe source: they go where the curve puts them. Repeated rows are told apart by their place only."""
+    Equal texts differ in key and maybe source: they go where the curve puts them. Repeated rows are told apart by their
+    place only; null keys, langs and sources count as the least; very long texts differ in size only; other columns go; an
+    empty table stays empty."""
     dims = [c for c in ("lang", "source") if c in docs.columns]
-    narrow = materialise(docs.select(key, *dims, (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32")))
-    return cut_runs(with_hilbert(narrow, [*dims, "size", key], bits, log_dims=("size",)), shards, "hilbert", (key, "text_crc32", "size"))
+    narrow = materialise(docs.select(key, *dims, *_described(docs, text)))
+    placed = cut_runs(with_hilbert(narrow, [*dims, "size", key], bits, log_dims=("size",)), shards, "hilbert", (key, "text_crc32", "size"), parts_for(docs.sparkSession, narrow.count(), RANGE_ROWS))
+    discard(narrow)
+    return placed
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, out: str, key: str = "doc_id", dims: tuple[str, ...] = ("lang", "source", "size")) -> DataFrame:
-    """Write docs (unique keys) as one folder for each shard, in slot order, and return each shard's extremes of dims and key for file pruning."""
-    shards = placed.agg(F.max("shard")).first()[0]
-    rows = docs.join(placed.select(key, "shard", "slot", "size"), key)
-    rows.repartitionByRange((shards or 0) + 1, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(out)
-    return placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), *[f(d).alias(f"{n}_{d}") for d in (*dims, key) if d in placed.columns for n, f in (("min", F.min), ("max", F.max))])
+def write_shards(docs: DataFrame, out: str, shards: int = SHARDS, bits: int = BITS, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """Write docs as one folder for each shard, each file in slot order, and return each shard's number of rows and extremes
+    of the dimensions, for file pruning.
+
+    Rows carry their place along, so null, repeated and equal keys are as good as any; size, text_crc32, hilbert, shard and
+    slot replace columns of these names. An empty table writes no shard."""
+    dims = [c for c in ("lang", "source") if c in docs.columns]
+    rows = without(docs, ["size", "text_crc32", "hilbert", "shard", "slot"])
+    rows = rows.select("*", *_described(rows, text))
+    placed = cut_runs(with_hilbert(rows, [*dims, "size", key], bits, log_dims=("size",)), shards, "hilbert", (key, "text_crc32", "size"), parts_for(docs.sparkSession, docs.count(), RANGE_ROWS // 100))
+    placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(out)
+    files = docs.sparkSession.read.schema(placed.schema).parquet(out)
+    return files.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), *[f(d).alias(f"{n}_{d}") for d in (*dims, "size", key) for n, f in (("min", F.min), ("max", F.max))])
 
 
 def op4_sharding(spark, sf_dir: str) -> DataFrame:
+    """Shard and slot of each document; odd rows as in assign_shards()."""
     placed = assign_shards(table(spark, sf_dir, "documents"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orospark.llm.common import map_texts, new_path, table
+from orospark.llm.common import dealt_by_range, map_texts, new_path, parts_for, smaller_batches, table
 from orospark.llm.tokens import BATCH_BYTES, encoder, tokenizer_path, with_end
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -31,13 +31,25 @@ LAYOUT = {
 }
 
 
+#: Text of a range partition, and so of a file, about.
+PART_BYTES = 64 << 20
+
+
+def text_bytes(docs: DataFrame, text: str = "text") -> int:
+    """Bytes of the texts: as planned from the size of the files that they are read from, three times that for compression;
+    counted where the plan doesn't know."""
+    planned = int(str(docs.select(text)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 3 * planned if planned < 1 << 60 else docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+
 def encode_documents(docs: DataFrame, path: str, end_id: int = 0, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs in ascending key order (a null key first, equal keys by text) with ids, n_tokens, part and local_start.
 
-    A null text is empty: it has the end id only. Other columns of docs stay, but those that clash go."""
+    A null or empty text has the end id only; very long texts are encoded whole; repeated rows follow one another; other
+    columns of docs stay, but those that clash go; an empty table stays empty."""
     long = T.LongType()
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", long), T.StructField("part", T.IntegerType()), T.StructField("local_start", long)]
-    dealt = docs.repartitionByRange(key, F.xxhash64(text)).sortWithinPartitions(key, F.xxhash64(text))
+    dealt = dealt_by_range(docs, [key, F.xxhash64(text)], parts_for(docs.sparkSession, text_bytes(docs, text), PART_BYTES))
 
     def make():
         encode, part, before = encoder(path).encode, TaskContext.get().partitionId(), 0
@@ -58,7 +70,8 @@ def encode_documents(docs: DataFrame, path: str, end_id: int = 0, text: str = "t
 
 def write_token_files(docs: DataFrame, out: str, path: str, end_id: int = 0, text: str = "text", key: str = "doc_id", layout: dict[str, str] | None = None) -> None:
     """Encode docs and write them to the folder out; files and their rows are in ascending key order."""
-    encode_documents(docs, path, end_id, text, key).write.options(**(layout or LAYOUT)).parquet(out)
+    with smaller_batches(docs.sparkSession):
+        encode_documents(docs, path, end_id, text, key).write.options(**(layout or LAYOUT)).parquet(out)
 
 
 def read_index(spark, out: str, key: str = "doc_id") -> DataFrame:
@@ -91,30 +104,23 @@ def read_tokens(spark, out: str, keys: list[int] | None = None, key: str = "doc_
 def id_checksums(spark, out: str, key: str = "doc_id") -> DataFrame:
     """key, part, local_start, n_tokens and ids_crc32 (of the ids as little-endian unsigned 32-bit integers), from the files.
 
-    Spark reads each file from whatever store it lies in, and a worker decodes its row groups one by one: ids never
-    pass through rows. A file holds one range partition, so its size is that of a shuffle partition."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(out).select("content")
-    like = spark.read.parquet(out).schema
-    schema = T.StructType([*(like[n] for n in (key, "part", "local_start", "n_tokens")), T.StructField("ids_crc32", T.LongType())])
+    Spark's Parquet reader splits files between row groups and streams their rows, so no file is too large."""
+    rows = spark.read.parquet(out).select(key, "part", "local_start", "n_tokens", "ids")
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("ids_crc32", T.LongType())])
 
     def run(batches):
-        import pyarrow.parquet as pq
-
-        for batch in batches:
-            for content in batch.column(0):
-                f = pq.ParquetFile(pa.BufferReader(content.as_buffer()))
-                for rows in f.iter_batches(batch_size=4096, columns=[*schema.names[:-1], "ids"]):
-                    lists = rows.column(rows.schema.get_field_index("ids"))
-                    ends = lists.offsets.to_numpy()
-                    data = memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), "<i4")).cast("B")
-                    crc = [zlib.crc32(data[4 * x : 4 * y]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                    old = [rows.column(rows.schema.get_field_index(n)) for n in schema.names[:-1]]
-                    yield pa.RecordBatch.from_arrays([*old, pa.array(crc, pa.int64())], names=schema.names)
+        for rows in batches:
+            lists = rows.column(4)
+            ends = lists.offsets.to_numpy()
+            data = memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), "<i4")).cast("B")
+            crc = [zlib.crc32(data[4 * x : 4 * y]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*rows.columns[:4], pa.array(crc, pa.int64())], names=schema.names)
 
-    return files.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def op5_token_files(spark, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of each document's ids, read back from the files; odd rows as in encode_documents()."""
     out = new_path(spark)
     write_token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), out, tokenizer_path(BYTE_BPE))
     files = spark.read.parquet(out)

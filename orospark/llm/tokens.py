@@ -27,16 +27,15 @@ class ChunkEncoder:
     Byte-level files: pre-tokens never cross a single space or line feed between two other characters, so a text
     is cut at each. A chunk that starts or ends with other white space, or an empty one, betrays a run of white
     space: such a text is encoded whole. Word files: white space only separates. Either way the ids are those of
-    the whole text. Texts with an added token's string, such as <|endoftext|>, are encoded whole too; with
-    ``encode_special_tokens`` such strings are ordinary text, otherwise they are that token, the library's default. Cutting, counting distinct chunks and gathering their ids are array operations; Python sees
-    each distinct chunk of a batch once."""
+    the whole text. Texts with an added token's string, such as <|endoftext|>, are encoded whole too, so that it becomes
+    that token, as the library has it. Cutting, counting distinct chunks and gathering their ids are array operations;
+    Python sees each distinct chunk of a batch once."""
 
-    def __init__(self, path: str, encode_special_tokens: bool = True):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = encode_special_tokens
         self.word = self.tokenizer.normalizer is not None
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.separator = " \x01 " if self.word else "\n"
@@ -161,9 +160,9 @@ _encoders: dict[str, ChunkEncoder] = {}
 
 
 def encoder(path: str) -> ChunkEncoder:
-    """One encoder for each path in a worker process, with the library's default for added tokens."""
+    """One encoder for each path in a worker process."""
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path, encode_special_tokens=False)
+        _encoders[path] = ChunkEncoder(path)
     return _encoders[path]
 
 

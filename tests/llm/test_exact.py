@@ -114,7 +114,6 @@ def whole():
 
     def load(name):
         t = Tokenizer.from_file(tokenizer_path(name))
-        t.encode_special_tokens = True
         return lambda text: t.encode(text, add_special_tokens=False).ids
 
     return load
@@ -167,11 +166,15 @@ def test_token_files_round_trip(spark, whole, tmp_path):
     assert col.has_offset_index and col.has_column_index and "DELTA_BINARY_PACKED" in col.encodings
 
 
-def test_token_files_odd_rows(spark, tmp_path):
+def test_token_files_odd_rows(spark, whole, tmp_path):
     out = f"file://{tmp_path}/t"
     token_files.write_token_files(odd(spark), out, tokenizer_path("byte_bpe_50k.json"))
     rows = sorted(((r.start, r.n_tokens) for r in token_files.read_index(spark, out).collect()))
     assert len(rows) == len(ODD) and all(a + n == b for (a, n), (b, _) in zip(rows, rows[1:]))
+    one = whole("byte_bpe_50k.json")
+    want = Counter((k, len(one(t or "")) + 1, crc([*one(t or ""), 0])) for k, t in ODD)
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.id_checksums(spark, out).collect()) == want
+    assert [r.doc_id for r in token_files.read_index(spark, out).orderBy("start").collect()] == sorted((k for k, _ in ODD), key=lambda k: -1 if k is None else k)
     empty = f"file://{tmp_path}/e"
     token_files.write_token_files(odd(spark).limit(0), empty, tokenizer_path("byte_bpe_50k.json"))
     assert token_files.read_index(spark, empty).count() == 0
@@ -232,12 +235,20 @@ def test_packing_places_each_id_once(spark, whole):
     assert sorted(by_seq) == list(range(len(by_seq))) and len(by_seq) <= -(-total // 4096) + 1
 
 
-def test_packed_sequences_and_odd_rows(spark):
-    pieces = packing.cut_documents(odd(spark).where("doc_id is not null").distinct(), tokenizer_path("word_bpe_49k.json"), with_ids=True)
+def test_packed_sequences_and_odd_rows(spark, whole):
+    one = whole("word_bpe_49k.json")
+    twice = [(4, "two texts under one key"), (None, "another null key"), (None, "null key")]
+    pieces = packing.cut_documents(odd(spark, [(*r,) for r in twice]), tokenizer_path("word_bpe_49k.json"), with_ids=True)
     placed = packing.pack(pieces)
-    seqs = packing.sequences(pieces, placed, pad_id=9).collect()
-    assert all(len(r.ids) == 4096 or r.n_tokens & (r.n_tokens - 1) == 0 for r in seqs)
+    seqs = packing.sequences(placed, pad_id=9).collect()
+    assert all(len(r.ids) == 4096 or (r.n_tokens & (r.n_tokens - 1) == 0 and len(r.ids) == r.n_tokens) for r in seqs)
     assert sum(r.n_tokens for r in seqs) == pieces.agg(F.sum("length")).first()[0]
+    by = {r.sequence_id: r.ids for r in seqs}
+    got = Counter()
+    for r in placed.where("length = doc_tokens").collect():
+        assert by[r.sequence_id][r.offset : r.offset + r.length] == r.ids
+        got[r.doc_id, tuple(r.ids)] += 1
+    assert got == Counter((k, tuple([*one(t or ""), 2])) for k, t in [*ODD, *twice] if len(t or "") < 100)
     assert packing.pack_documents(odd(spark), tokenizer_path("word_bpe_49k.json")).where("start = 0").count() == len(ODD)
     assert packing.pack_documents(odd(spark).limit(0), tokenizer_path("word_bpe_49k.json")).count() == 0
 
@@ -251,6 +262,25 @@ def test_hilbert_curve_is_continuous():
         order = np.argsort(h := sharding.hilbert_index(grid, bits))
         assert sorted(h) == list(range(len(grid)))
         assert (np.abs(np.diff(grid[order], axis=0)).sum(1) == 1).all()
+        for k in range(1, bits):  # every sub-cube of the grid is one run of the curve
+            cube = (grid >> k) @ (1 << bits * np.arange(d))
+            assert all(np.ptp(h[cube == c]) == (1 << k * d) - 1 for c in np.unique(cube))
+
+
+def plain_hilbert(n):
+    """Places of a curve through an n x n grid, drawn by halves: each quarter is a smaller curve, turned to meet its neighbours."""
+    if n == 1:
+        return [(0, 0)]
+    q, m = plain_hilbert(n // 2), n // 2
+    return [(y, x) for x, y in q] + [(x, y + m) for x, y in q] + [(x + m, y + m) for x, y in q] + [(2 * m - 1 - y, m - 1 - x) for x, y in q]
+
+
+def test_hilbert_curve_is_that_drawn_by_halves():
+    for bits in (1, 2, 3, 5):
+        way = np.array(plain_hilbert(1 << bits))
+        own = sharding.hilbert_index(way, bits)
+        turned = sharding.hilbert_index(way[:, ::-1], bits)
+        assert any(np.array_equal(x, np.arange(len(way))) for x in (own, turned))
 
 
 def test_shards_hold_all_rows(spark):
@@ -276,10 +306,16 @@ def test_shards_of_odd_rows(spark, tmp_path):
     rows = placed.collect()
     assert len(rows) == len(ODD) and Counter(r.shard for r in rows) in ({0: 3, 1: 3, 2: 2}, {0: 3, 1: 2, 2: 3}, {0: 2, 1: 3, 2: 3})
     assert sharding.assign_shards(odd(spark).limit(0)).count() == 0
-    unique = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    placed = sharding.assign_shards(unique)
-    index = sharding.write_shards(unique, placed, f"file://{tmp_path}/s").collect()
-    assert len(index) == 16 and spark.read.parquet(f"file://{tmp_path}/s").count() == unique.count()
+    some = odd(spark).withColumn("size", F.lit("clash")).withColumn("lang", F.lit("en")).unionByName(spark.createDataFrame([(None, None), (4, "two")], "doc_id long, text string"), True)
+    index = sharding.write_shards(some, f"file://{tmp_path}/s", shards=4).collect()
+    files = spark.read.parquet(f"file://{tmp_path}/s")
+    assert files.columns == ["doc_id", "text", "N_Words", "lang", "size", "text_crc32", "hilbert", "slot", "shard"]
+    assert Counter((r.doc_id, r.text) for r in files.collect()) == Counter([*ODD, (None, None), (4, "two")])
+    assert {r.shard: r.n for r in index} == {r.shard: r.n for r in files.groupBy("shard").agg(F.count("*").alias("n")).collect()} and sorted(r.n for r in index) == [2, 2, 3, 3]
+    # shards and slots are those of assign_shards()
+    place = lambda d: Counter((r.doc_id, r["size"], r.text_crc32, r.shard, r.slot) for r in d.collect())
+    assert place(files) == place(sharding.assign_shards(some, shards=4))
+    assert sharding.write_shards(some.limit(0), f"file://{tmp_path}/e").count() == 0
 
 
 # near-duplicates

@@ -430,6 +430,9 @@ def test_top_k_with_copies_and_nulls(spark, n):
             near = sorted((bin((c ^ x) & mask).count("1"), k) for k, x in rows[:-1])[:4]
             want |= {(q, r, k, d) for r, (d, k) in enumerate(near, 1)}
     assert got == want
+    more = df.selectExpr("vec_id", "code", "vec_id as query_id", "code as q", "1 as rank", "2 as d", "3 as bucket")
+    asked = queries.selectExpr("query_id", "code", "code as q", "query_id as vec_id", "1 as distance", "2 as rank", "3 as part")
+    assert {tuple(r) for r in hamming.top_k(more, asked, k=4, bucket_rows=2).collect()} == want
 
 
 # pipeline
