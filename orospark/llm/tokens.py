@@ -78,13 +78,22 @@ class ChunkEncoder:
             ids = self._joined([x[1:] if x[0] in "\n\0" else " " + x for x in names])
             ids = [self.mark + i if x[0] == "\n" else i for x, i in zip(names, ids, strict=True)]
         atoms = dict(zip(names, ids, strict=True))
-        if len(known) < CACHE_CHUNKS:
-            known.update((x, i) for x, i in atoms.items() if len(x) <= CACHE_CHUNK_BYTES)
+        self._remember(names, ids)
+        if not split:
+            return ids
         get = lambda x: atoms[x] if x in atoms else known[x]
-        return [get(x) if x not in split else get(split[x][0]) + get(split[x][1]) for x in chunks]
+        return [atoms[x] if (s := split.get(x)) is None else get(s[0]) + get(s[1]) for x in chunks]
+
+    def _remember(self, chunks: list[str], ids: list[bytes]) -> None:
+        if len(self.cache) < CACHE_CHUNKS:
+            pairs = zip(chunks, ids, strict=True)
+            short = max(map(len, chunks), default=0) <= CACHE_CHUNK_BYTES
+            self.cache.update(pairs if short else [p for p in pairs if len(p[0]) <= CACHE_CHUNK_BYTES])
 
     def _odd(self, chunk: str) -> bool:
         """White space beside white space, or a character that stands for something here."""
+        if self.word:
+            return not chunk or any(c in chunk for c in CONTROLS)
         rest = chunk[1:] if chunk[:1] in ("\n", "\0") else chunk
         return not rest or rest[0].isspace() or rest[-1].isspace() or "\0" in rest or "\n" in rest or "᠎" in rest
 
@@ -109,10 +118,7 @@ class ChunkEncoder:
         codes, chunks = coded.indices.to_numpy(), coded.dictionary.to_pylist()
         ids = list(map(self.cache.get, chunks))
         new = [k for k, i in enumerate(ids) if i is None]
-        if self.word:
-            odd = [k for k in new if not chunks[k] or any(c in chunks[k] for c in CONTROLS)]
-        else:
-            odd = [k for k in new if self._odd(chunks[k])]
+        odd = [k for k in new if not chunks[k].isalnum() and self._odd(chunks[k])]  # no letter or digit is odd
         if odd:
             strange = np.zeros(len(chunks), bool)
             strange[odd] = True
@@ -126,8 +132,7 @@ class ChunkEncoder:
         fresh = self._ids(names)
         for k, i in zip(new, fresh, strict=True):
             ids[k] = i
-        if len(self.cache) < CACHE_CHUNKS:
-            self.cache.update((x, i) for x, i in zip(names, fresh, strict=True) if len(x) <= CACHE_CHUNK_BYTES)
+        self._remember(names, fresh)
         flat = np.frombuffer(b"".join(ids), "<u4")
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         starts = np.cumsum(sizes) - sizes
