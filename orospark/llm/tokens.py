@@ -9,9 +9,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text encoded at once, about: the more, the fewer distinct chunks to look up.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 6 << 20
 #: Chunks that a worker remembers; others are encoded again when they come in a later batch.
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 450_000
 CACHE_CHUNK_BYTES = 32
 #: Chunks encoded in one call, with separators whose ids are known.
 JOINED = 512
