@@ -1,6 +1,7 @@
 """Operators that are fitted: base spans against plain regular expressions, held-out accuracy, and odd rows."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -11,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orospark.llm import hamming, pii, quality, secrets, toxicity
+from orospark.llm.common import materialise, scratch, shared_dir
 from orospark.llm.spans import find_pii, find_secrets, luhn
 from orospark.llm.toxicity import is_held_out
 
@@ -444,7 +446,7 @@ def test_pipeline_stages(spark):
     start = spark.read.parquet(f"{SF}/documents.parquet")
     frame, kept = start, {}
     for name, stage in p.STAGES[:-1]:
-        frame = p.materialise(stage(spark, frame, SF))
+        frame = materialise(stage(spark, frame, SF))
         assert frame.columns == start.columns
         kept[name] = {r.doc_id: r.text for r in frame.select("doc_id", "text").collect()}
     texts = docs(spark)
@@ -457,3 +459,48 @@ def test_pipeline_stages(spark):
     assert changed == {k for k in kept["secret_scans"] if plain_secrets(texts[k])}
     packed = p.run(spark, SF)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == set(kept["secret_scans"])
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and keys, clashing columns; against plain versions, stage by stage."""
+    import corpus_pipeline as p
+    from tests.llm.test_exact import brute_components, brute_contamination, brute_fingerprint
+
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    item, secret = prose(30), "password = hunter2hunter2"
+    some, two = prose(60), prose(50)
+    rows = [(1, None), (2, ""), (3, some), (4, some), (4, some), (5, two), (5, prose(40)), (None, prose(45)), (None, prose(45)), (6, item), (7, prose(300) + " " + item + " " + prose(200)), (8, prose(20) + " " + item), (9, prose(30) + " " + secret + " é end"), (10, prose(30_000)), (11, "one"), (11, "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit(None).cast("string")).withColumn("n_words", F.lit("clash")).withColumn("_clean", F.lit(7)).withColumn("size", F.lit(1.5))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, None), (None, 1), (4, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None), (None, "zzz yyy")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    sf, frame, kept = f"file://{tmp_path}", spark.read.parquet(f"file://{tmp_path}/documents.parquet"), []
+    schema = frame.schema
+    for _, stage in p.STAGES[:-1]:
+        frame = materialise(stage(spark, frame, sf))
+        assert frame.schema == schema
+        kept.append(Counter((r.doc_id, r.text) for r in frame.collect()))
+    assert kept[0] == Counter(rows)
+    root = brute_components({k: brute_fingerprint(t) for k, (_, t) in enumerate(rows)})
+    groups = {}
+    for k, r in enumerate(rows):
+        groups.setdefault(root[k], []).append(r)
+    assert sum(kept[1].values()) == len(groups)
+    for g in groups.values():
+        least = min(g, key=lambda r: (r[0] is None, r[0] or 0))[0]
+        assert sum(n for r, n in kept[1].items() if r in g) >= 1 and any(r[0] == least and kept[1][r] for r in g)
+    bad = brute_contamination([t for _, t in kept[1]], [(1, item), (None, "zzz yyy")])
+    assert kept[2] == Counter({r: kept[1][r] for r, x in zip(kept[1], bad, strict=True) if not x[4]}) and sum(x[4] for x in bad) == 3
+    assert kept[3] == Counter((k, t and t.replace(secret, "[SECRET]")) for k, t in kept[2].elements())
+    left = lambda: set(os.listdir(shared_dir(spark).removeprefix("file://")))
+    before = left()
+    with scratch(spark):
+        packed = p.run(spark, sf).collect()
+        assert len(left() - before) == 1  # what the result is read from
+    assert left() == before
+    assert Counter(r.doc_id for r in packed if r.start == 0) == Counter(k for k, _ in kept[3].elements())
+    spark.read.parquet(f"file://{tmp_path}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/e/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"file://{tmp_path}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/e/{t}.parquet")
+    assert p.run(spark, f"file://{tmp_path}/e").count() == 0
