@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import struct
 
 import numpy as np
@@ -40,8 +41,23 @@ def _zigzag(values: np.ndarray) -> bytes:
     return ((d << 1) ^ (d >> 31)).astype("<u2").tobytes()
 
 
-def quantised_mesh(heights: np.ndarray, west: float, south: float, east: float, north: float, step: int = 1) -> bytes:
-    """A regular mesh over a square grid of heights, rows from the north, every step-th row and column and the last."""
+def _normals(points: np.ndarray, triangles: np.ndarray) -> bytes:
+    """Unit normals of the vertices, from the triangles around each by area, in two bytes: the octahedron's faces unfolded."""
+    t = triangles.reshape(-1, 3)
+    flat = np.cross(points[t[:, 1]] - points[t[:, 0]], points[t[:, 2]] - points[t[:, 0]])
+    n = np.zeros_like(points)
+    for k in range(3):
+        np.add.at(n, t[:, k], flat)
+    n /= np.maximum(np.abs(n).sum(1, keepdims=True), 1e-30)
+    sign = np.where(n[:, :2] < 0, -1.0, 1.0)
+    xy = np.where(n[:, 2:] < 0, (1 - np.abs(n[:, 1::-1])) * sign, n[:, :2])
+    return np.floor((np.clip(xy, -1, 1) * 0.5 + 0.5) * 255 + 0.5).astype(np.uint8).tobytes()
+
+
+def quantised_mesh(heights: np.ndarray, west: float, south: float, east: float, north: float, step: int = 1, normals: bool = False, mercator: bool = False) -> bytes:
+    """A regular mesh over a square grid of heights, rows from the north, every step-th row and column and the last.
+
+    With normals, the extension of that kind follows the edges. With mercator, south and north are in Mercator's y."""
     n = heights.shape[0]
     keep = np.unique(np.append(np.arange(0, n, step), n - 1))
     if len(keep) ** 2 > 1 << 16:
@@ -60,7 +76,10 @@ def quantised_mesh(heights: np.ndarray, west: float, south: float, east: float,
     place[order] = np.arange(m * m)
     triangles, u, v, q, h = place[triangles], u[order], v[order], q[order], h[order]
     seen = np.maximum.accumulate(np.concatenate([[-1], triangles[:-1]])) + 1
-    points = ecef(west + (east - west) * u / MOST, south + (north - south) * v / MOST, h)
+    lat = south + (north - south) * v / MOST
+    if mercator:
+        lat = np.degrees(2 * np.arctan(np.exp(lat))) - 90
+    points = ecef(west + (east - west) * u / MOST, lat, h)
     centre = (points.min(0) + points.max(0)) / 2
     radius = float(np.linalg.norm(points - centre, axis=1).max())
     body = struct.pack("<3d2f4d3d", *centre, low, high, *centre, radius, *_occlusion(points, centre))
@@ -70,20 +89,26 @@ def quantised_mesh(heights: np.ndarray, west: float, south: float, east: float,
         at = np.flatnonzero(edge)
         at = at[np.argsort(by[at], kind="stable")]
         body += struct.pack("<I", len(at)) + at.astype("<u2").tobytes()
+    if normals:
+        body += struct.pack("<BI", 1, 2 * m * m) + _normals(points, triangles)
     return body
 
 
-def mesh_bytes(tiles: DataFrame, samples: str = "samples", step: int = 1, name: str = "body") -> DataFrame:
-    """Geodetic tiles (z, x, y, samples as in heightmaps) with the body of a quantized-mesh-1.0 file."""
+def mesh_bytes(tiles: DataFrame, samples: str = "samples", step: int = 1, name: str = "body", normals: bool = False, profile: str = "geodetic") -> DataFrame:
+    """Tiles (z, x, y, samples as in heightmaps) with the body of a quantized-mesh-1.0 file."""
+    mercator = profile == "mercator"
 
     def pack(batches):
         for b in batches:
-            get = lambda n: b.column(b.schema.get_field_index(n)).to_pylist()  # noqa: B023, E731
-            body = []
-            for z, x, y, s in zip(get("z"), get("x"), get("y"), get(samples), strict=True):
-                n, size = int(len(s) ** 0.5), 180.0 / (1 << z)
-                grid = np.asarray(s, float).reshape(n, n) / 5 - 1000
-                body.append(quantised_mesh(grid, x * size - 180, y * size - 90, (x + 1) * size - 180, (y + 1) * size - 90, step))
+            get = lambda n: b.column(b.schema.get_field_index(n))  # noqa: B023, E731
+            lists, body = get(samples), []
+            ends, data = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            for z, x, y, p, q in zip(get("z").to_pylist(), get("x").to_pylist(), get("y").to_pylist(), ends[:-1], ends[1:], strict=True):
+                n = math.isqrt(q - p)
+                wide, high = (360.0 / (1 << z), 2 * math.pi / (1 << z)) if mercator else (180.0 / (1 << z), 180.0 / (1 << z))
+                foot = y * high - (math.pi if mercator else 90)
+                grid = data[p:q].reshape(n, n) / 5.0 - 1000
+                body.append(quantised_mesh(grid, x * wide - 180, foot, (x + 1) * wide - 180, foot + high, step, normals, mercator))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(body, pa.binary())], names=[*b.schema.names, name])
 
     return tiles.mapInArrow(pack, T.StructType([*tiles.schema.fields, T.StructField(name, T.BinaryType())]))

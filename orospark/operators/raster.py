@@ -115,6 +115,63 @@ def resample(cells: DataFrame, factor: int, method: str = "average", keys: tuple
     raise ValueError(f"no resampling method {method}")
 
 
+#: Half-widths, in samples, of the kernels of resample_onto().
+SUPPORT = {"bilinear": 1.0, "cubic": 2.0, "cubicspline": 2.0, "lanczos": 3.0}
+
+
+def _kernel(t: Column, method: str) -> Column:
+    """Weight at a distance t of up to SUPPORT."""
+    if method == "bilinear":
+        return 1 - t
+    if method == "cubic":
+        return F.when(t < 1, (1.5 * t - 2.5) * t * t + 1).otherwise(((-0.5 * t + 2.5) * t - 4) * t + 2)
+    if method == "cubicspline":
+        return F.when(t < 1, (4 - 6 * t * t + 3 * t * t * t) / 6).otherwise((2 - t) * (2 - t) * (2 - t) / 6)
+    x = t * 3.141592653589793
+    return F.when(t < 1e-9, F.lit(1.0)).otherwise(3 * F.sin(x) * F.sin(x / 3) / (x * x))
+
+
+def _reach(cells: DataFrame, axis: str, first: float, step: float, method: str) -> DataFrame:
+    """cells once for each sample i of an axis that they reach, samples lying at first + step i in cells; _t is how far off."""
+    wide = SUPPORT[method] * max(1.0, step) if method in SUPPORT else max(0.5, step / 2)
+    lo, hi = (F.col(axis) - wide - first) / step, (F.col(axis) + wide - first) / step
+    spots = F.sequence(F.ceil(lo).cast("long"), F.floor(hi).cast("long"))
+    out = cells.where(F.ceil(lo) <= F.floor(hi)).withColumn("_i", F.explode(spots))
+    far = F.lit(float(first)) + F.col("_i") * F.lit(float(step)) - F.col(axis)
+    # a cell half way between two samples, or a sample half way between two cells, belongs to the lower index
+    out = out.withColumn("_t", far).where((F.col("_t") < wide) if method not in SUPPORT else (F.abs("_t") < wide))
+    return out.withColumn(axis, F.col("_i")).drop("_i")
+
+
+def resample_onto(cells: DataFrame, rows: tuple[float, float], cols: tuple[float, float], method: str = "average", keys: tuple[str, ...] = ()) -> DataFrame:
+    """(row, col, elev) of samples (i, j), which lie at cell coordinates (first + step i) of rows and cols, by any of METHODS.
+
+    Samples may be denser or sparser than cells. Kernels are widened by the step where that is over one, and go one axis after
+    the other, with weights of millionths; the other methods work on the cells nearer to the sample than to the next, or on the
+    nearest cell. Each cell is sent to the samples that it reaches: no neighbour is looked up, every aggregate is partial
+    before its shuffle. Nodata cells count for nothing; samples that no valid cell reaches don't appear."""
+    at, flat = [*keys, "row", "col"], cells.where("elev is not null").select(*keys, "row", "col", "elev")
+    if method not in METHODS:
+        raise ValueError(f"no resampling method {method}")
+    if method in SUPPORT:
+        flat = flat.withColumn("w", F.lit(1.0))
+        for axis, (first, step) in (("row", rows), ("col", cols)):
+            weight = F.round(_kernel(F.abs("_t") / max(1.0, step), method) * 1_000_000)
+            near = _reach(flat, axis, first, step, method).withColumn("_w", weight).where("_w <> 0")
+            flat = near.groupBy(*at).agg(F.sum(F.col("elev") * F.col("_w")).alias("elev"), F.sum(F.col("w") * F.col("_w")).alias("w"))
+        return flat.where("w > 0").select(*at, (F.col("elev") / F.col("w")).alias("elev"))
+    near = _reach(flat.withColumn("_r", F.col("row")).withColumn("_c", F.col("col")), "row", *rows, method).withColumn("_d", F.col("_t") * F.col("_t"))
+    near = _reach(near.drop("_t"), "col", *cols, method).withColumn("_d", F.col("_d") + F.col("_t") * F.col("_t"))
+    if method == "mode":
+        counts = near.groupBy(*at, "elev").agg(F.count(F.lit(1)).alias("n"))
+        return counts.groupBy(*at).agg(F.max_by("elev", F.struct("n", -F.col("elev"))).alias("elev"))
+    if method in ("med", "q1", "q3"):
+        share = {"q1": 0.25, "med": 0.5, "q3": 0.75}[method]
+        return near.groupBy(*at).agg(F.expr(f"percentile_disc({share}) within group (order by elev)").alias("elev"))
+    value = F.min_by("elev", F.struct(F.round("_d", 9), "_r", "_c")) if method == "nearest" else {"average": F.avg, "min": F.min, "max": F.max}[method]("elev")
+    return near.groupBy(*at).agg(value.alias("elev"))
+
+
 def fill_nodata(cells: DataFrame, radius: int = FILL_RADIUS, keys: tuple[str, ...] = ()) -> DataFrame:
     """cells with filled: elev, or where it is nodata the mean of the valid cells within radius, weighted by 10^6 div d².
 
@@ -150,15 +207,13 @@ def rescale_bilinear(cells: DataFrame, num: int, den: int, keys: tuple[str, ...]
     return joined.where(inside).select(*keys, "row", "col", (F.col("total") / F.col("w")).alias("elev"))
 
 
-def mercator_rows(north: float, south: float, rows: int, spark) -> DataFrame:
-    """(target, source, weight): rows equally spaced in Mercator y, bilinear over rows equally spaced in latitude.
+def _mercator_y(lat: Column) -> Column:
+    return F.log(F.tan(F.radians(F.lit(45.0) + lat / 2)))
+
 
-    Weights are millionths. Latitudes have to lie within 85.06 degrees."""
-    y = lambda lat: F.log(F.tan(F.radians(F.lit(45.0) + lat / 2)))
+def _between(place: Column, rows: int, spark) -> DataFrame:
+    """(target, source, weight) of rows that lie at a place among source rows: bilinear, weights in millionths."""
     i = F.col("id")
-    at = y(F.lit(north)) + (y(F.lit(south)) - y(F.lit(north))) * i / F.lit(max(rows - 1, 1))
-    lat = F.degrees(F.lit(2.0) * F.atan(F.exp(at))) - 90.0
-    place = (F.lit(north) - lat) / F.lit((north - south) / max(rows - 1, 1))
     place = F.least(F.greatest(F.round(place, 9), F.lit(0.0)), F.lit(float(rows - 1)))
     base = F.floor(place).cast("long")
     part = F.floor((place - base) * 1_000_000).cast("long")
@@ -166,6 +221,22 @@ def mercator_rows(north: float, south: float, rows: int, spark) -> DataFrame:
     return spark.range(rows).select(i.alias("target"), F.explode(pair).alias("p")).select("target", "p.source", "p.weight").where("weight > 0")
 
 
+def mercator_rows(north: float, south: float, rows: int, spark) -> DataFrame:
+    """(target, source, weight): rows equally spaced in Mercator y, from rows equally spaced in latitude, both between the
+    same first and last row. Latitudes have to lie within 85.06 degrees."""
+    top, foot = _mercator_y(F.lit(north)), _mercator_y(F.lit(south))
+    at = top + (foot - top) * F.col("id") / F.lit(max(rows - 1, 1))
+    lat = F.degrees(F.lit(2.0) * F.atan(F.exp(at))) - 90.0
+    return _between((F.lit(north) - lat) / F.lit((north - south) / max(rows - 1, 1)), rows, spark)
+
+
+def latitude_rows(north: float, south: float, rows: int, spark) -> DataFrame:
+    """(target, source, weight) the other way: rows equally spaced in latitude, from rows equally spaced in Mercator y."""
+    top, foot = _mercator_y(F.lit(north)), _mercator_y(F.lit(south))
+    lat = F.lit(north) + F.lit(south - north) * F.col("id") / F.lit(max(rows - 1, 1))
+    return _between((_mercator_y(lat) - top) / (foot - top) * F.lit(max(rows - 1, 1)), rows, spark)
+
+
 def remap_rows(cells: DataFrame, rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """cells resampled along rows by a table like that of mercator_rows: one equi-join, one aggregate."""
     joined = cells.where("elev is not null").join(rows.withColumnRenamed("source", "row"), "row")
@@ -199,16 +270,18 @@ def normals(cells: DataFrame, cell_size: float, keys: tuple[str, ...] = ()) -> D
     return g.withColumn("nx", -x / n).withColumn("ny", -y / n).withColumn("nz", F.lit(1.0) / n)
 
 
-def contours(cells: DataFrame, spacing: int = 150, width: int = 2, keys: tuple[str, ...] = ()) -> DataFrame:
-    """cells with contour: whether a contour runs between the cell and the next in its row or column."""
+def contours(cells: DataFrame, spacing: int = 150, width: int = 1, keys: tuple[str, ...] = ()) -> DataFrame:
+    """cells with contour: whether a contour runs between the cell and the next in its row or column; lines of a greater width
+    also take the width - 1 cells after it."""
     if spacing < 1 or not 1 <= width <= 8:
         raise ValueError("spacing is at least 1, width 1 to 8")
     band = F.floor(F.col("elev") / spacing)
     out, on = cells.withColumn("_b", band), F.lit(False)
     for axis, other in (("col", "row"), ("row", "col")):
         w = Window.partitionBy(*keys, other).orderBy(axis)
-        out = out.withColumn(f"_{axis}", F.when(F.lead(axis).over(w) - F.col(axis) == 1, F.lead("_b").over(w)))
-        on = on | F.coalesce(F.col(f"_{axis}") != F.col("_b"), F.lit(False))
+        crossed = F.when(F.lead(axis).over(w) - F.col(axis) == 1, F.lead("_b").over(w)) != F.col("_b")
+        out = out.withColumn(f"_{axis}", F.coalesce(crossed, F.lit(False)))
+        on = on | F.max(f"_{axis}").over(w.rangeBetween(1 - width, 0))
     return out.withColumn("contour", on).drop("_b", "_col", "_row")
 
 

@@ -38,20 +38,43 @@ def whole_degree_tiles(lon: Column, lat: Column, zoom: int) -> tuple[Column, Col
     return F.floor(lon * (2 << zoom) / 360).cast("long"), F.floor(lat * (1 << zoom) / 180).cast("long")
 
 
-def pyramid(tiles: DataFrame, end_zoom: int = 0, keys: tuple[str, ...] = ()) -> DataFrame:
-    """All zooms of tiles (z, x, y, elev): n, total, least and most elevation of each tile, from the deepest down to end_zoom.
-
-    Rows are aggregated once, at the zoom they come with; only those sums then go to the tiles above, all levels in
-    one shuffle, with partial sums before it. Rows may come at several zooms."""
-    deepest = tiles.agg(F.max("z")).first()[0]
-    sums = tiles.groupBy(*keys, "z", "x", "y").agg(F.count("elev").alias("n"), F.sum("elev").alias("total"), F.min("elev").alias("least"), F.max("elev").alias("most"))
-    if deepest is None:
-        return sums
-    up = sums
-    levels = F.explode(F.sequence(F.lit(0), F.greatest(F.col("z") - end_zoom, F.lit(0)).cast("int")))
-    up = up.withColumn("_up", levels).withColumn("z", F.col("z") - F.col("_up"))
-    up = up.withColumn("x", F.expr("shiftright(x, _up)")).withColumn("y", F.expr("shiftright(y, _up)")).drop("_up")
-    return up.groupBy(*keys, "z", "x", "y").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"))
+#: Levels that a row goes up before it is aggregated again.
+BAND = 4
+
+
+def pyramid(tiles: DataFrame, end_zoom: int = 0, keys: tuple[str, ...] = (), deepest: int = 23) -> DataFrame:
+    """All zooms of tiles (z, x, y, elev; z at most deepest): n, total, least and most elevation of each tile, from the zoom it
+    comes with down to end_zoom.
+
+    Rows are aggregated once, at the zoom they come with. The sums then go up by bands of a few levels, each band from the
+    topmost sums of the one below, so the work falls by the number of tiles in a band's height and not by a row's number of
+    levels. Rows may come at several zooms."""
+    at = [*keys, "z", "x", "y"]
+    added = [F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most")]
+    sums = tiles.groupBy(*at).agg(F.count("elev").alias("n"), F.sum("elev").alias("total"), F.min("elev").alias("least"), F.max("elev").alias("most"))
+    levels, carried = [], None
+    up = lambda d, by: d.withColumn("_up", by).withColumn("z", (F.col("z") - F.col("_up")).cast("int")).withColumn("x", F.expr("shiftright(x, _up)")).withColumn("y", F.expr("shiftright(y, _up)")).drop("_up")
+    sums = sums.withColumn("z", F.col("z").cast("int"))
+    for low in range((deepest - end_zoom) // BAND * BAND + end_zoom, end_zoom - 1, -BAND):
+        own = sums.where(F.col("z").between(low, low + BAND - 1))
+        rows = own if carried is None else own.unionByName(up(carried, F.lit(1)))
+        band = up(rows, F.explode(F.sequence(F.lit(0), F.col("z") - low))).groupBy(*at).agg(*added)
+        levels.append(band)
+        carried = band.where(F.col("z") == low)
+    out = sums.where(F.col("z") < end_zoom)
+    for band in levels:
+        out = out.unionByName(band)
+    return out
+
+
+def pyramid_extents(tiles: DataFrame, end_zoom: int = 0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """extents(pyramid(tiles)) without the pyramid: halving keeps order, so a box's corners go up instead of its tiles. One
+    aggregate over the tiles, the rest over a row for each zoom."""
+    boxes = extents(tiles, keys).withColumn("z", F.col("z").cast("int"))
+    way = boxes.withColumn("_up", F.explode(F.sequence(F.lit(0), F.greatest(F.col("z") - end_zoom, F.lit(0)))))
+    corners = [F.expr(f"shiftright({c}, _up)").alias(c) for c in ("startX", "startY", "endX", "endY")]
+    way = way.select(*keys, (F.col("z") - F.col("_up")).alias("z"), *corners)
+    return way.groupBy(*keys, "z").agg(*[f(c).alias(c) for c, f in (("startX", F.min), ("startY", F.min), ("endX", F.max), ("endY", F.max))])
 
 
 def extents(tiles: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -87,13 +110,15 @@ def zoom_range(available: Column) -> Column:
     return F.struct(F.array_min(zooms).alias("min_zoom"), F.array_max(zooms).alias("max_zoom"))
 
 
-def descriptor(boxes: DataFrame, output_format: str = "Mesh", profile: str = "geodetic", keys: tuple[str, ...] = ()) -> DataFrame:
-    """Layer descriptor of each tileset as JSON text."""
+def descriptor(boxes: DataFrame, output_format: str = "Mesh", profile: str = "geodetic", keys: tuple[str, ...] = (), extensions: tuple[str, ...] = ()) -> DataFrame:
+    """Layer descriptor of each tileset as JSON text, keys in order of their names."""
+    # The descriptor's names, version, scheme and address pattern.
     whole = F.array(*[F.lit(x) for x in (-180.0, -90.0, 180.0, 90.0)])
-    body = F.struct(
-        F.lit("2.1.0").alias("tilejson"), F.lit(FORMATS[output_format]).alias("format"), F.lit("1.0.0").alias("version"), F.lit("tms").alias("scheme"),
-        F.array(F.lit("{z}/{x}/{y}.terrain?v={version}")).alias("tiles"), F.lit(PROJECTIONS[profile]).alias("projection"), whole.alias("bounds"), F.col("available"),
-    )
+    fields = {
+        "tilejson": F.lit("2.1.0"), "format": F.lit(FORMATS[output_format]), "version": F.lit("1.0.0"), "scheme": F.lit("tms"),
+        "tiles": F.array(F.lit("{z}/{x}/{y}.terrain?v={version}")), "projection": F.lit(PROJECTIONS[profile]), "bounds": whole, "available": F.col("available"),
+    } | ({"extensions": F.array(*[F.lit(x) for x in extensions])} if extensions else {})
+    body = F.struct(*[fields[k].alias(k) for k in sorted(fields)])
     return available(boxes, keys).select(*keys, F.to_json(body, {"ignoreNullFields": "false"}).alias("layer_json"))
 
 
@@ -123,48 +148,83 @@ def with_roots(tiles: DataFrame, profile: str = "geodetic") -> DataFrame:
     return own.withColumn("is_added", F.lit(False)).unionByName(added.withColumn("is_added", F.lit(True)))
 
 
-def heightmaps(cells: DataFrame, size: int = 65, zoom: int = 0, keys: tuple[str, ...] = ()) -> DataFrame:
+def _shared(axis: str, step: int) -> Column:
+    """The tiles that a sample lies in: one, or both that share it as their edge."""
+    return F.array_distinct(F.array(F.expr(f"{axis} div {step}"), F.expr(f"case when {axis} % {step} = 0 and {axis} > 0 then {axis} div {step} - 1 else {axis} div {step} end")))
+
+
+def heightmaps(cells: DataFrame, size: int = 65, zoom: int = 0, keys: tuple[str, ...] = (), missing: int = 0, south_up: bool = False) -> DataFrame:
     """(z, x, y, samples, filled): tiles of size x size samples that share their edges with the next, in rows from the north.
 
-    Cell (row, col) is a sample of up to four tiles. A sample is the height in fifths of a metre above -1000, as
-    heightmap-1.0 has it, clamped to 16 bits; nodata and absent cells are 0."""
+    Cell (row, col) is a sample of up to four tiles; rows count from the north, with south_up from the south, as tiles then
+    do. A sample is the height in fifths of a metre above -1000, as heightmap-1.0 has it, clamped to 16 bits; nodata and
+    absent cells are ``missing``. Of two cells at one place the higher counts."""
     step = size - 1
-    spots = lambda a: F.array_distinct(F.array(F.expr(f"{a} div {step}"), F.expr(f"case when {a} % {step} = 0 and {a} > 0 then {a} div {step} - 1 else {a} div {step} end")))
-    t = cells.withColumn("_ty", F.explode(spots("row"))).withColumn("_tx", F.explode(spots("col")))
-    place = (F.col("row") - F.col("_ty") * step) * size + (F.col("col") - F.col("_tx") * step)
+    t = cells.withColumn("_ty", F.explode(_shared("row", step))).withColumn("_tx", F.explode(_shared("col", step)))
+    j = F.col("row") - F.col("_ty") * step
+    place = (F.lit(step) - j if south_up else j) * size + (F.col("col") - F.col("_tx") * step)
     height = F.least(F.greatest(F.floor((F.col("elev") + 1000) * 5), F.lit(0)), F.lit(65535)).cast("int")
-    known = F.map_from_entries(F.collect_list(F.when(F.col("elev").isNotNull(), F.struct(place.cast("int").alias("p"), height.alias("h")))))
-    out = t.groupBy(*keys, F.lit(zoom).alias("z"), F.col("_tx").alias("x"), F.col("_ty").alias("y")).agg(known.alias("_k"))
-    samples = F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda i: F.coalesce(F.try_element_at(F.col("_k"), i), F.lit(0)))
-    return out.select(*keys, "z", "x", "y", samples.alias("samples"), F.size("_k").alias("filled"))
+    spot = F.when(F.col("elev").isNotNull(), (place * 65536 + height).cast("long"))
+    out = t.groupBy(*keys, F.lit(zoom).alias("z"), F.col("_tx").alias("x"), F.col("_ty").alias("y")).agg(F.array_sort(F.collect_list(spot)).alias("_k"))
+    schema = T.StructType([*out.schema.fields[:-1], T.StructField("samples", T.ArrayType(T.IntegerType())), T.StructField("filled", T.IntegerType())])
+
+    def scatter(batches):
+        for b in batches:
+            spots = b.column(b.num_columns - 1)
+            ends = spots.offsets.to_numpy().astype(np.int64)
+            known = spots.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
+            tile = np.repeat(np.arange(b.num_rows), np.diff(ends))
+            grid = np.full(b.num_rows * size * size, missing, np.int32)
+            at = tile * size * size + (known >> 16)
+            grid[at] = known & 65535
+            last = np.append(at[1:] != at[:-1], True) if len(at) else np.zeros(0, bool)
+            filled = np.bincount(tile[last], minlength=b.num_rows).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1) * size * size, pa.int32()), pa.array(grid))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], lists, pa.array(filled)], names=schema.names)
+
+    return out.mapInArrow(scatter, schema)
+
+
+def mesh_step(size: int, quality: float) -> int:
+    """Spacing of a mesh's vertices: the quality factor rounded down to a power of two, a tile's width at most."""
+    every = 1
+    while every * 2 <= min(quality, size - 1):
+        every *= 2
+    return every
 
 
 def mesh_vertices(cells: DataFrame, size: int = 65, quality: float = 1.0, keys: tuple[str, ...] = ()) -> DataFrame:
     """Quantised vertices (tile_x, tile_y, u, v, h from 0 to 32767) of a regular mesh on each tile's grid.
 
-    The spacing of vertices is the quality factor rounded down to a power of two; a tile's edge rows and columns
-    are always kept, so tiles meet. Heights are scaled between each tile's extremes."""
-    step = size - 1
-    every = 1
-    while every * 2 <= min(quality, step):
-        every *= 2
-    t = cells.where("elev is not null").withColumn("tile_x", F.expr(f"col div {step}")).withColumn("tile_y", F.expr(f"row div {step}"))
+    A tile's edge rows and columns are always kept, and a cell on an edge is a vertex of both tiles, so tiles meet.
+    Heights are scaled between the extremes of each tile's cells."""
+    step, every = size - 1, mesh_step(size, quality)
+    t = cells.where("elev is not null").withColumn("tile_y", F.explode(_shared("row", step))).withColumn("tile_x", F.explode(_shared("col", step)))
     i, j = F.col("col") - F.col("tile_x") * step, F.col("row") - F.col("tile_y") * step
-    kept = t.where(((i % every == 0) | (i == step)) & ((j % every == 0) | (j == step)))
-    w = Window.partitionBy(*keys, "tile_x", "tile_y")
-    low, high = F.min("elev").over(w), F.max("elev").over(w)
-    h = F.when(high > low, F.floor((F.col("elev") - low) * 32767 / (high - low))).otherwise(F.lit(0)).cast("int")
+    ends = t.groupBy(*keys, "tile_x", "tile_y").agg(F.min("elev").alias("_low"), F.max("elev").alias("_high"))
+    kept = t.where(((i % every == 0) | (i == step)) & ((j % every == 0) | (j == step))).join(ends, [*keys, "tile_x", "tile_y"])
+    h = F.when(F.col("_high") > F.col("_low"), F.floor((F.col("elev") - F.col("_low")) * 32767 / (F.col("_high") - F.col("_low")))).otherwise(F.lit(0)).cast("int")
     scale = lambda c: F.floor(c * 32767 / F.lit(step)).cast("int")
     return kept.select(*keys, "tile_x", "tile_y", scale(i).alias("u"), scale(F.lit(step) - j).alias("v"), h.alias("h"))
 
 
+def children(finer: DataFrame) -> DataFrame:
+    """(x, y, children) one zoom up: which quarters have tiles, as bits from the south-west, by rows."""
+    bit = F.expr("cast(shiftleft(1, cast((y % 2) * 2 + x % 2 as int)) as int)")
+    return finer.groupBy(F.shiftright("x", 1).alias("x"), F.shiftright("y", 1).alias("y")).agg(F.bit_or(bit).alias("children"))
+
+
 def heightmap_bytes(tiles: DataFrame, samples: str = "samples", name: str = "body") -> DataFrame:
-    """tiles with the body of a heightmap-1.0 file: samples as little-endian 16-bit numbers, all four children, no water."""
+    """tiles with the body of a heightmap-1.0 file: samples as little-endian 16-bit numbers, the column children (all four
+    where there is none), no water."""
 
     def pack(batches):
         for b in batches:
             lists = b.column(b.schema.get_field_index(samples))
-            body = [np.asarray(x, "<u2").tobytes() + b"\x0f\0" for x in lists.to_pylist()]
+            ends = lists.offsets.to_numpy()
+            data = lists.values.to_numpy(zero_copy_only=False).astype("<u2")
+            bits = b.column(b.schema.get_field_index("children")).to_pylist() if "children" in b.schema.names else [15] * b.num_rows
+            body = [data[x:y].tobytes() + bytes([c or 0, 0]) for x, y, c in zip(ends[:-1], ends[1:], bits, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(body, pa.binary())], names=[*b.schema.names, name])
 
     return tiles.mapInArrow(pack, T.StructType([*tiles.schema.fields, T.StructField(name, T.BinaryType())]))

@@ -66,6 +66,70 @@ def test_mercator_rows_spread_towards_the_pole(spark):
     assert max(abs(got[k] - want[k] * 1000) for k in range(81)) < 0.01
 
 
+def plain_samples(grid, rows, cols, method):
+    """resample_onto() sample by sample, from the definition."""
+    wide = {"bilinear": 1, "cubic": 2, "cubicspline": 2, "lanczos": 3}
+    h, w = len(grid), len(grid[0])
+
+    def weight(t):
+        if method == "bilinear":
+            return 1 - t
+        if method == "cubic":
+            return 1.5 * t**3 - 2.5 * t**2 + 1 if t < 1 else -0.5 * t**3 + 2.5 * t**2 - 4 * t + 2
+        if method == "cubicspline":
+            return 2 / 3 - t**2 + t**3 / 2 if t < 1 else (2 - t) ** 3 / 6
+        return np.sinc(t) * np.sinc(t / 3)
+
+    up = lambda k: np.sign(k) * np.floor(abs(k) * 1e6 + 0.5)
+    out = {}
+    for i in range(-9, 4 * h):
+        for j in range(-9, 4 * w):
+            y, x = rows[0] + rows[1] * i, cols[0] + cols[1] * j
+            if method in wide:
+                t, s = 0.0, 0.0
+                for c in range(w):  # rows first, as they are normalised together in the end
+                    for r in range(h):
+                        a, b = abs(y - r) / max(1, rows[1]), abs(x - c) / max(1, cols[1])
+                        if grid[r][c] is not None and a < wide[method] and b < wide[method]:
+                            k = up(weight(a)) * up(weight(b))
+                            t, s = t + k * grid[r][c], s + k
+                if s > 0:
+                    out[i, j] = t / s
+                continue
+            a, b = max(0.5, rows[1] / 2), max(0.5, cols[1] / 2)
+            near = [(round((y - r) ** 2 + (x - c) ** 2, 9), r, c, grid[r][c]) for r in range(h) for c in range(w) if grid[r][c] is not None and -a <= y - r < a and -b <= x - c < b]
+            v = sorted(n[3] for n in near)
+            if near:
+                pick = lambda q: v[max(0, int(np.ceil(q * len(v))) - 1)]  # noqa: B023, E731
+                out[i, j] = {"nearest": min(near)[3], "average": sum(v) / len(v), "min": v[0], "max": v[-1], "med": pick(0.5), "q1": pick(0.25), "q3": pick(0.75), "mode": max(v, key=lambda e: (v.count(e), -e))}[method]
+    return out
+
+
+@pytest.mark.parametrize("method", raster.METHODS)
+def test_resampling_onto_samples(spark, method):
+    rng = np.random.default_rng(3)
+    grid = [[None if rng.random() < 0.1 else int(rng.integers(0, 6)) for _ in range(9)] for _ in range(7)]
+    df = cells(spark, grid)
+    for rows, cols in (((0.25, 1.5), (-0.5, 2.0)), ((0.0, 0.4), (0.3, 1.0))):
+        got = {(r.row, r.col): r.elev for r in raster.resample_onto(df, rows, cols, method).collect()}
+        want = plain_samples(grid, rows, cols, method)
+        assert set(got) == set(want)
+        assert all(abs(got[k] - want[k]) < 1e-6 * (1 + abs(want[k])) for k in got), [(k, got[k], want[k]) for k in got if abs(got[k] - want[k]) > 1e-6][:5]
+
+
+def test_mercator_and_back(spark):
+    ramp = cells(spark, [[k * 1000] for k in range(81)])
+    there = raster.remap_rows(ramp, raster.mercator_rows(80.0, 0.0, 81, spark))
+    back = {r.row: r.elev for r in raster.remap_rows(there, raster.latitude_rows(80.0, 0.0, 81, spark)).collect()}
+    assert max(abs(back[k] - k * 1000) for k in range(81)) < 250  # linear pieces of a curve
+
+
+def test_wider_contours(spark):
+    line = cells(spark, [[0, 0, 200, 200, 200, 200]])
+    on = lambda w: [r.col for r in raster.contours(line, 150, w).where("contour").orderBy("col").collect()]
+    assert on(1) == [1] and on(2) == [1, 2] and on(4) == [1, 2, 3, 4]
+
+
 def test_slope_of_a_plane(spark):
     got = {(r.row, r.col): r for r in raster.slope_aspect(cells(spark, [[100 * c for c in range(3)]] * 3), 100.0).collect()}
     assert abs(got[1, 1].slope - 45) < 1e-9 and abs(got[1, 1].aspect - 270) < 1e-9 and got[0, 0].slope is None

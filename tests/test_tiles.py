@@ -1,4 +1,5 @@
 import json
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,9 +92,50 @@ def test_heightmap_bodies(spark):
     assert t.samples == want and t.body == b"".join(v.to_bytes(2, "little") for v in want) + b"\x0f\0"
 
 
-def decode_mesh(body):
-    import struct
+@pytest.mark.parametrize("size", [33, 129])
+def test_heightmaps_of_a_gappy_grid(spark, size):
+    import numpy as np
+
+    n, step = 140, size - 1
+    grid = np.add.outer(np.arange(n) * 3, np.arange(n)) % 97
+    cells = spark.range(n * n).select((F.col("id") / n).cast("long").alias("row"), (F.col("id") % n).alias("col")).withColumn("elev", F.when((F.col("row") + F.col("col")) % 7 != 0, (F.col("row") * 3 + F.col("col")) % 97))
+    for up in (False, True):
+        got = {(r.x, r.y): r for r in tiles.heightmaps(cells, size, 3, missing=7, south_up=up).collect()}
+        assert set(got) == {(x, y) for x in range(-(-n // step)) for y in range(-(-n // step))}
+        for (x, y), r in got.items():
+            want = np.full((size, size), 7)
+            for j in range(size):
+                for i in range(size):
+                    a, b = y * step + j, x * step + i
+                    if a < n and b < n and (a + b) % 7:
+                        want[size - 1 - j if up else j, i] = (grid[a, b] + 1000) * 5
+            assert r.samples == want.ravel().tolist() and r.filled == (want != 7).sum()
+
+
+def test_children_of_tiles(spark):
+    t = spark.createDataFrame([(4, 6), (5, 6), (4, 7), (1, 1)], "x long, y long")
+    assert {(r.x, r.y): r.children for r in tiles.children(t).collect()} == {(2, 3): 7, (0, 0): 8}
+
+
+def test_meshes_share_their_edges(spark):
+    cells = spark.createDataFrame([(r, c, r * c) for r in range(33) for c in range(33)], "row long, col long, elev long")
+    got = tiles.mesh_vertices(cells, 17).where("tile_x < 2 and tile_y < 2").collect()  # the last row and column also begin further tiles
+    assert len(got) == 4 * 289 and max(r.u for r in got) == max(r.v for r in got) == 32767
+    edge = lambda x, u: {(r.tile_y, r.v) for r in got if r.tile_x == x and r.u == u}
+    assert edge(0, 32767) == edge(1, 0) and len(edge(0, 32767)) == 34
+
+
+def test_pyramid_extents_are_those_of_the_pyramid(spark):
+    rows = [(9, 700, 300, 1), (9, 701, 290, 2), (4, 3, 9, 3), (0, 1, 0, 4), (11, 4000, 17, None)]
+    t = spark.createDataFrame(rows, "z int, x long, y long, elev long")
+    for end in (0, 3, 9):
+        slow = {tuple(r) for r in tiles.extents(tiles.pyramid(t.where(F.col("z") >= end), end)).collect()}
+        assert {tuple(r) for r in tiles.pyramid_extents(t.where(F.col("z") >= end), end).collect()} == slow
+        totals = tiles.pyramid(t.where(F.col("z") >= end), end).groupBy("z").agg(F.sum("n").alias("n")).collect()
+        assert {r.z: r.n for r in totals} == {z: sum(r[0] >= z and r[3] is not None for r in rows if r[0] >= end) for z in range(end, 12)}
 
+
+def decode_mesh(body):
     import numpy as np
 
     n = struct.unpack_from("<I", body, 88)[0]
@@ -120,7 +162,7 @@ def decode_mesh(body):
 def test_quantised_meshes(spark):
     import numpy as np
 
-    from orospark.operators.encode import mesh_bytes, quantised_mesh
+    from orospark.operators.encode import ecef, mesh_bytes, quantised_mesh
 
     grid = np.add.outer(np.arange(5) * 10.0, np.arange(5))
     header, (u, v, h), triangles, edges = decode_mesh(quantised_mesh(grid, 0, 0, 10, 10, 2))
@@ -131,6 +173,16 @@ def test_quantised_meshes(spark):
     area = (x[:, 1] - x[:, 0]) * (y[:, 2] - y[:, 0]) - (x[:, 2] - x[:, 0]) * (y[:, 1] - y[:, 0])
     assert (area > 0).all() and abs(area.sum() / 2 - 32767**2) < 1e6
     assert abs(np.linalg.norm(header[:3]) - 6.37e6) < 5e4 and header[8] > 5e5 and 1 <= np.linalg.norm(header[9:]) < 1.1
+    plain, shaded = quantised_mesh(grid * 0, 0, 0, 10, 10), quantised_mesh(grid * 0, 0, 0, 10, 10, normals=True)
+    assert shaded.startswith(plain) and struct.unpack_from("<BI", shaded, len(plain)) == (1, 50) and len(shaded) == len(plain) + 55
+    header, (u, v, h), _, _ = decode_mesh(plain)
+    packed = np.frombuffer(shaded, np.uint8, 50, len(plain) + 5).reshape(-1, 2) / 255 * 2 - 1
+    z = 1 - np.abs(packed).sum(1)
+    xy = np.where(z[:, None] < 0, (1 - np.abs(packed[:, ::-1])) * np.where(packed < 0, -1, 1), packed)
+    n = np.concatenate([xy, z[:, None]], axis=1)
+    up = ecef(u * 10 / 32767, v * 10 / 32767, h * 0.0)
+    cos = (n * up).sum(1) / np.linalg.norm(n, axis=1) / np.linalg.norm(up, axis=1)
+    assert (cos > 0.99).all()  # flat ground faces away from the earth's middle
     cells = spark.createDataFrame([(r, c, r + c) for r in range(3) for c in range(3)], "row long, col long, elev long")
     bodies = mesh_bytes(tiles.heightmaps(cells, 3, 5)).collect()
     assert len(decode_mesh(bytes(next(b.body for b in bodies if (b.x, b.y) == (0, 0))))[1][0]) == 9
