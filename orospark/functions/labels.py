@@ -19,23 +19,29 @@ DEM_SUFFIXES = (".tif", ".tiff", ".dem", ".img")
 RESERVED_FOLDERS = ("jobs", "uploads", "tilesets")
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
 def trim_to_null(c: Column) -> Column:
-    return F.nullif(F.trim(c), F.lit(""))
+    """Blank is null."""
+    return F.nullif(strip(c), F.lit(""))
 
 
 def format_label(fmt: Column) -> Column:
-    low = F.lower(F.trim(fmt))
+    low = F.lower(strip(fmt))
     return F.when(low.startswith("quantized-mesh"), F.lit(MESH_LABEL)).when(low.startswith("heightmap"), F.lit(HEIGHTMAP_LABEL)).otherwise(F.nullif(fmt, F.lit("")))
 
 
 def crs_label(projection: Column) -> Column:
-    code = F.upper(F.trim(projection))
+    code = F.upper(strip(projection))
     return F.when(code.isin(*GEODETIC_CODES), F.lit(GEODETIC_LABEL)).when(code.isin(*MERCATOR_CODES), F.lit(MERCATOR_LABEL)).otherwise(F.nullif(projection, F.lit("")))
 
 
 def format_hint(fmt: Column) -> Column:
     """Output format that a descriptor's exact format names, else null."""
-    low = F.lower(F.trim(fmt))
+    low = F.lower(strip(fmt))
     out = F.lit(None).cast("string")
     for name, code in FORMATS.items():
         out = F.when(low == code, F.lit(name)).otherwise(out)
@@ -43,7 +49,7 @@ def format_hint(fmt: Column) -> Column:
 
 
 def profile_hint(projection: Column) -> Column:
-    code = F.upper(F.trim(projection))
+    code = F.upper(strip(projection))
     return F.when(code.isin(*GEODETIC_CODES), F.lit("geodetic")).when(code.isin(*MERCATOR_CODES), F.lit("mercator"))
 
 
@@ -57,7 +63,7 @@ def tileset_name(job_id: Column, name: Column) -> Column:
 
     A blank or placeholder name falls back to the job's id. Besides separators and "..", names that start with a
     dot are turned down: they would never be listed, and "." would be the catalogue itself."""
-    trimmed = F.trim(name)
+    trimmed = strip(name)
     chosen = F.when(trimmed.isNull() | (trimmed == "") | F.lower(trimmed).isin(*PLACEHOLDER_NAMES), job_id).otherwise(trimmed)
     bad = (chosen == "") | chosen.contains("/") | chosen.contains("\\") | chosen.contains("..") | chosen.startswith(".")
     return F.when(~bad, chosen)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from orospark.functions.labels import strip
+
 # Stages with their part of the whole job, in percent.
 STAGE_RANGES = {"queued": (0.0, 0.0), "initializing": (0.0, 2.0), "gdal_preprocess": (2.0, 25.0), "ctb_tile": (25.0, 95.0), "register_tileset": (95.0, 99.0), "done": (100.0, 100.0), "failed": (0.0, 100.0)}
 TILING_STAGES = ("ctb_tile", "gdal_raster_tile")
@@ -81,7 +83,7 @@ def flag_unsupported(log: Column) -> Column:
 
 def normal_status(raw: Column) -> Column:
     """Blank is queued, unknown is running."""
-    low = F.lower(F.trim(raw))
+    low = F.lower(strip(raw))
     return F.when(low.isNull() | (low == ""), F.lit("queued")).when(low.isin(*JOB_STATUSES), low).otherwise(F.lit("running"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orospark.functions.labels import crs_label, format_hint, format_label, job_of_tiles, profile_hint, publish_choice, terrain_url, tileset_name
+from orospark.functions.labels import crs_label, format_hint, format_label, job_of_tiles, profile_hint, publish_choice, terrain_url, tileset_name, trim_to_null
 from orospark.operators.tiles import DESCRIPTOR, zoom_range
 
 META = ("format", "format_label", "projection", "crs", "min_zoom", "max_zoom")
@@ -25,7 +25,7 @@ def publish(requests: DataFrame, base_url: str = "http://localhost:8103", base_p
     Exactly one of job_id and tiles_dir; the job is read off a tiles_dir, else the tileset's name stands for it.
     Requests that can't be published have a reason and no name."""
     both, none = F.col("job_id").isNotNull() & F.col("tiles_dir").isNotNull(), F.col("job_id").isNull() & F.col("tiles_dir").isNull()
-    job = F.coalesce("job_id", job_of_tiles(F.col("tiles_dir")), F.nullif(F.trim("tileset_name"), F.lit("")))
+    job = F.coalesce("job_id", job_of_tiles(F.col("tiles_dir")), trim_to_null(F.col("tileset_name")))
     out = requests.withColumn("_j", job).withColumn("_n", tileset_name(F.col("_j"), F.col("tileset_name")))
     reason = F.when(both, F.lit("give a job or a folder, not both")).when(none, F.lit("a job or a folder is needed")).when(F.col("_j").isNull(), F.lit("a name is needed")).when(F.col("_n").isNull(), F.lit("the name isn't allowed"))
     meta = layer_metadata(out)

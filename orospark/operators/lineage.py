@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,5 +99,5 @@ def job_detail(documents: DataFrame, now: Column) -> DataFrame:
 
 def unexpired(changes: DataFrame, key: str, ts: str, now: Column, seconds: int = 604_800) -> DataFrame:
     """Changes of keys whose last change is at most so old: every write sets the clock back."""
-    w = Window.partitionBy(key)
-    return changes.withColumn("_l", F.max(ts).over(w)).where(F.unix_seconds(now) - F.unix_seconds(F.col("_l").cast("timestamp")) <= seconds).drop("_l")
+    last = changes.groupBy(key).agg(F.max(ts).alias("_l"))
+    return changes.join(last.where(F.unix_seconds(now) - F.unix_seconds(F.col("_l").cast("timestamp")) <= seconds), key, "left_semi")

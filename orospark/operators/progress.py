@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orospark.functions.progress import zoom_percent
 
@@ -59,19 +61,22 @@ def stage_ranges(weights: DataFrame, bucket: str, order: str, weight: str = "wei
 
 
 def moving_average(samples: DataFrame, key: str, order: list[str], value: str, start: float | None = None, alpha: float = ALPHA) -> DataFrame:
-    """(key, n, average): (1 - alpha) * average + alpha * value over each key's samples in order.
-
-    The fold is a sum of powers: sample i of n counts alpha (1 - alpha)^(n - i), so each key is a plain aggregate
-    over a rank and needs no list of its samples. Without a start the first sample is the start."""
-    w = Window.partitionBy(key)
-    n = F.count(F.lit(1)).over(w)
+    """(key, n, average): (1 - alpha) * average + alpha * value over each key's samples in order. Without a start the first sample is
+    the start; samples of a null key are a key of their own.
+
+    A run of samples maps the average before it to one after it by a factor and an amount. Samples are dealt by range of key and
+    order, each range's run of a key is one such pair, from powers of its ranks, and the pairs of a key, one a range, are
+    applied in turn. So a key with all samples is spread over all ranges, and no list is longer than their number."""
+    dealt = samples.repartitionByRange(key, *order).withColumn("_p", F.spark_partition_id())
+    w = Window.partitionBy("_p", key)
     i = F.row_number().over(w.orderBy(*order))
-    power = F.pow(F.lit(1.0 - alpha), n - i)
-    share = power * alpha if start is not None else F.when(i == 1, power).otherwise(power * alpha)
-    summed = samples.withColumn("_w", share).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_w") * F.col(value)).alias("average"))
-    if start is None:
-        return summed
-    return summed.withColumn("average", F.col("average") + F.pow(F.lit(1.0 - alpha), F.col("n")) * start)
+    share = F.pow(F.lit(1.0 - alpha), F.count(F.lit(1)).over(w) - i) * alpha
+    runs = dealt.withColumn("_i", i).withColumn("_w", share).groupBy(key, "_p")
+    runs = runs.agg(F.count(F.lit(1)).alias("_m"), F.sum(F.col("_w") * F.col(value)).alias("_s"), F.max(F.when(F.col("_i") == 1, F.col(value).cast("double"))).alias("_first"))
+    listed = F.array_sort(F.collect_list(F.struct("_p", "_m", "_s", "_first")))
+    begin = F.lit(float(start)) if start is not None else F.col("_r")[0]["_first"]
+    fold = F.aggregate("_r", begin, lambda a, r: a * F.pow(F.lit(1.0 - alpha), r["_m"]) + r["_s"])
+    return runs.groupBy(key).agg(F.sum("_m").alias("n"), listed.alias("_r")).select(key, "n", fold.alias("average"))
 
 
 def calibrated(samples: DataFrame, bucket: str, min_samples: int = MIN_SAMPLES) -> DataFrame:
@@ -105,15 +110,31 @@ def bucket_weights(state: Column, with_publish: bool, min_samples: int = MIN_SAM
 def throttled(events: DataFrame, job: str, seconds: str, percent: str, order: list[str], forced: str | None = None, min_seconds: float = MIN_SECONDS, min_points: float = MIN_POINTS) -> DataFrame:
     """(job, emissions): how many updates of each job get through.
 
-    One is held back if it comes within min_seconds of the last one let through and moves by less than min_points.
-    What counts is the last let through, so this is a fold over a job's updates in order, in the JVM. A job's
-    updates are gathered in one array: for jobs with unbounded histories use the streaming operator, which keeps
-    two numbers a job."""
-    row = F.struct(*order, F.col(seconds).cast("double").alias("_s"), F.col(percent).cast("double").alias("_p"), (F.col(forced) if forced else F.lit(False)).alias("_f"))
-    start = F.struct(F.lit(None).cast("double").alias("s"), F.lit(-1.0).alias("p"), F.lit(0).cast("long").alias("n"))
-
-    def step(acc: Column, e: Column) -> Column:
-        held = ~e["_f"] & acc["s"].isNotNull() & (e["_s"] - acc["s"] < min_seconds) & (F.abs(e["_p"] - acc["p"]) < min_points)
-        return F.when(held, acc).otherwise(F.struct(e["_s"].alias("s"), e["_p"].alias("p"), (acc["n"] + 1).alias("n")))
-
-    return events.groupBy(job).agg(F.aggregate(F.array_sort(F.collect_list(row)), start, step)["n"].alias("emissions"))
+    One is held back if it comes within min_seconds of the last one let through and moves by less than min_points. What counts
+    is the last let through, so this is a fold in order: a job's updates stream through one task, sorted, which holds two numbers."""
+    schema = T.StructType([events.schema[job], T.StructField("emissions", T.LongType())])
+    rows = events.select(job, F.col(seconds).cast("double").alias("_s"), F.col(percent).cast("double").alias("_p"), (F.col(forced) if forced else F.lit(False)).alias("_f"), *[F.col(c).alias(f"_o{k}") for k, c in enumerate(order)])
+    rows = rows.repartition(job).sortWithinPartitions(job, *[f"_o{k}" for k in range(len(order))]).select(job, "_s", "_p", "_f")
+
+    def fold(batches):
+        current, n, last_s, last_p = None, 0, None, -1.0
+
+        def out(name):
+            return pa.RecordBatch.from_arrays([name, pa.array([n], pa.int64())], names=schema.names)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            names, s, p, f = b.column(0), *(b.column(k).to_pylist() for k in (1, 2, 3))
+            keys = names.to_pylist()
+            for k in range(b.num_rows):
+                if current is None or keys[k] != current[0]:
+                    if current is not None:
+                        yield out(current[1])
+                    current, n, last_s, last_p = (keys[k], names.slice(k, 1)), 0, None, -1.0
+                if f[k] or last_s is None or not (s[k] - last_s < min_seconds and abs(p[k] - last_p) < min_points):
+                    n, last_s, last_p = n + 1, s[k], p[k]
+        if current is not None:
+            yield out(current[1])
+
+    return rows.mapInArrow(fold, schema)

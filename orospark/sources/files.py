@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import posixpath
+from contextlib import contextmanager
+from urllib.parse import quote, unquote
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +24,39 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def is_inside(spark: SparkSession, path: str, root: str) -> bool:
-    """Whether path, with its dots resolved, is root or lies under it."""
-    norm = lambda p: str(spark._jvm.java.net.URI(str(spark._jvm.org.apache.hadoop.fs.Path(p).toUri().getPath())).normalize().getPath()).rstrip("/")
-    a, b = norm(path), norm(root)
-    return a == b or a.startswith(b + "/")
+    """Whether path, with its dots and, on a local file system, its links resolved, is root or lies under it."""
+
+    def resolved(name: str) -> tuple[str, str]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(name)
+        uri = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri()
+        text = uri.getPath()
+        text = spark._jvm.java.io.File(text).getCanonicalPath() if uri.getScheme() == "file" else posixpath.normpath(text)
+        return f"{uri.getScheme()}://{uri.getAuthority() or ''}", text.rstrip("/")
+
+    (store, a), (other, b) = resolved(path), resolved(root)
+    return store == other and (a == b or a.startswith(b + "/"))
+
+
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length) of the files that a path or pattern names; their contents aren't read."""
+    return spark.read.format("binaryFile").load(path).select("path", "length")
+
+
+@contextmanager
+def open_file(path: str):
+    """In a task: a function that reads n bytes at a place of a file, in any store that Arrow knows. The file is never held whole."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        store, name = fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    elif "://" in path:
+        store, name = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+        name = unquote(name)
+    else:
+        store, name = fs.LocalFileSystem(), path
+    with store.open_input_file(name) as f:
+        size = f.size()
+        yield lambda at, n: f.read_at(min(n, max(0, size - at)), at) if at < size else b""
 
 
 def tile_addresses(paths: DataFrame, path: str = "path") -> DataFrame:
@@ -74,14 +109,31 @@ def entries(names: DataFrame, relative: str = "", root: str = "") -> DataFrame:
     return out.orderBy("entry_type", F.lower("name"), "name")
 
 
+#: Bytes of a file that a task holds while it hashes it.
+PIECE = 8 << 20
+
+
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """(input_path, file_name, size_bytes, sha256) of the files that a path or pattern names; each is hashed where it is read."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(F.col("path").alias("input_path"), base_name(F.col("path")).alias("file_name"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
+    """(input_path, file_name, size_bytes, sha256) of the files that a path or pattern names, each hashed piece by piece in a task."""
+
+    def run(batches):
+        for b in batches:
+            names, sizes, out = b.column(0).to_pylist(), b.column(1).to_pylist(), []
+            for name, size in zip(names, sizes, strict=True):
+                h = hashlib.sha256()
+                with open_file(name) as read:
+                    for at in range(0, size, PIECE):
+                        h.update(read(at, PIECE))
+                out.append(h.hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["input_path", "size_bytes", "sha256"])
+
+    hashed = listed(spark, path).mapInArrow(run, "input_path string, size_bytes long, sha256 string")
+    return hashed.select("input_path", base_name(F.col("input_path")).alias("file_name"), "size_bytes", "sha256")
 
 
 def json_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text) of whole JSON documents; none if there is no such file."""
-    if not any(c in path for c in "*?[{") and not exists(spark, path):
+    """(path, text) of whole JSON documents; none if there is no such file, for a pattern also if it names none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p):
         return spark.createDataFrame([], "path string, text string")
-    return spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))

@@ -102,8 +102,122 @@ def test_mercator_tiles(spark, tmp_path):
     job = terrain.run(spark, space, request, "m")
     rows = spark.read.parquet(f"{space.job(job)}/tiles").where("z = 3").collect()
     assert sum(r.n for r in rows) == 1600 and {(r.x, r.y) for r in rows} == {(4, 4), (4, 5)}
-    layer = json.loads(spark.read.text(f"{space.job(job)}/layer").first().value)
-    assert layer["projection"] == "EPSG:3857"
+    layer = json.loads("".join(r.value for r in spark.read.text(f"{space.job(job)}/layer").collect()))
+    assert layer["projection"] == "EPSG:3857" and layer["extensions"] == ["octvertexnormals"]
+
+
+def world(spark, tmp_path, f, **options):
+    """Tiles, by address, of a job over the whole world in cells of 1.5 degrees, of height f(lon, lat)."""
+    space = terrain.Workspace(f"file://{tmp_path}")
+    lon, lat = np.meshgrid(np.arange(240) * 1.5 - 179.25, 89.25 - np.arange(120) * 1.5)
+    (tmp_path / "my world.tif").write_bytes(tiff(f(lon, lat), None, at=(-180.0, 90.0, 1.5)))
+    job = terrain.run(spark, space, terrain.Request(f"file://{tmp_path}/my world.tif", terrain.PreprocessOptions(build_overviews=False), TileOptions(**options)))
+    return space, job, {(r.z, r.x, r.y): r for r in spark.read.parquet(f"{space.job(job)}/tiles").collect()}
+
+
+def test_heightmaps_of_a_job_show_the_ground(spark, tmp_path):
+    space, job, got = world(spark, tmp_path, lambda lon, lat: 1000 + 4 * lon + 2 * lat, output_format="Terrain", start_zoom=2)
+    assert len(got) == 2 + 8 + 32
+    for (z, x, y), r in got.items():
+        assert len(r.body) == 2 * 65 * 65 + 2 and r.body[-2] == (15 if z < 2 else 0) and r.body[-1] == 0
+        h = np.frombuffer(r.body[:-2], "<u2").reshape(65, 65) / 5 - 1000
+        w = 180 / (1 << z)
+        lon, lat = np.meshgrid(x * w - 180 + np.arange(65) * w / 64, (y + 1) * w - 90 - np.arange(65) * w / 64)
+        inner = (np.abs(lon) < 170) & (np.abs(lat) < 80)  # samples near the edge have cells on one side only
+        assert np.abs(h - (1000 + 4 * lon + 2 * lat))[inner].max() < 4 * 1.5 + 1
+    east = lambda z, x, y, k: np.frombuffer(got[z, x, y].body[:-2], "<u2").reshape(65, 65)[:, k]
+    assert all((east(2, x, y, 64) == east(2, x + 1, y, 0)).all() for x in range(7) for y in range(4))
+    n = terrain.export(spark, space, job, f"file://{tmp_path}/out")
+    assert n == 42 and (tmp_path / "out/2/7/3.terrain").read_bytes() == got[2, 7, 3].body
+    assert json.loads((tmp_path / "out/layer.json").read_text())["available"][2] == [{"startX": 0, "startY": 0, "endX": 7, "endY": 3}]
+    # and a folder of tiles can be published by itself
+    assert terrain.publish(spark, space, tiles_dir=f"file://{tmp_path}/out", name="by hand") == "by hand"
+    assert terrain.tilesets(spark, space).first().max_zoom == 2
+    for bad in (dict(tiles_dir="file:///tmp"), dict(tiles_dir=f"file://{tmp_path}/jobs", name="x"), dict(), dict(job_id="x", tiles_dir="y"), dict(job_id="none")):
+        with pytest.raises((ValueError, FileNotFoundError)):
+            terrain.publish(spark, space, **bad)
+
+
+def test_meshes_of_a_job_by_quality_and_method(spark, tmp_path):
+    from tests.test_tiles import decode_mesh
+
+    ground = lambda lon, lat: np.where((lon > 10) & (lon < 40) & (lat > 10) & (lat < 40), 500.0, 20.0)
+    space, job, got = world(spark, tmp_path, ground, start_zoom=1, mesh_qfactor=9.0, resampling_method="max", vertex_normals=True)
+    for r in got.values():
+        n = 81  # every eighth of 65 rows and columns
+        body, plain = bytes(r.body), bytes(r.body)[: -(5 + 2 * n)]
+        assert decode_mesh(plain)[0][4] == (500.0 if (r.z, r.x, r.y) in {(0, 1, 0), (1, 2, 1)} else 20.0) and body[len(plain)] == 1
+        assert len(decode_mesh(plain)[1][0]) == n
+    manifest = json.loads((tmp_path / f"jobs/{job}/manifest.json").read_text())
+    assert (manifest["status"], manifest["source"]["file_name"], json.loads(manifest["request"])["tile"]["mesh_qfactor"]) == ("completed", "my world.tif", 9.0)
+    assert list(manifest) == sorted(manifest) and len(manifest["source"]["sha256"]) == 64
+    one = terrain.job(spark, space, job).first()
+    assert (one.status, one.stage, one.progress.percent, one.from_disk, one.input_path[-12:]) == ("completed", "done", 100.0, False, "my world.tif")
+    log, layer = terrain.Workspace(space.root), tmp_path / f"jobs/{job}/layer/layer.json"
+    (tmp_path / "logs").rename(tmp_path / "gone")
+    one = terrain.job(spark, log, job).first()
+    assert (one.status, one.from_disk, one.published) == ("completed", True, False)
+    (tmp_path / f"jobs/{job}/manifest.json").unlink()
+    assert terrain.job(spark, log, job).first().status == "completed" and terrain.job(spark, log, "none").first() is None
+    # a descriptor that is there stays when only one is asked for; one that can't be read doesn't
+    kept = json.loads(layer.read_text()) | {"attribution": "kept"}
+    again = lambda: terrain.write_layer(spark, spark.read.parquet(f"{space.job(job)}/tiles"), TileOptions(layer_only=True), space.job(job))
+    layer.write_text(json.dumps(kept))
+    (layer.parent / ".layer.json.crc").unlink(missing_ok=True)
+    again()
+    assert json.loads(layer.read_text()) == kept
+    layer.write_text("no json")
+    (layer.parent / ".layer.json.crc").unlink(missing_ok=True)
+    again()
+    assert len(json.loads(layer.read_text())["available"]) == 2
+
+
+def test_missing_root_tiles_are_made(spark, tmp_path):
+    from tests.test_tiles import decode_mesh
+
+    space = terrain.Workspace(f"file://{tmp_path}")
+    (tmp_path / "d.tif").write_bytes(tiff(np.full((20, 20), 70.0), None, at=(10.0, 50.0, 1.0)))
+    job = terrain.run(spark, space, terrain.Request(f"file://{tmp_path}/d.tif", tile=TileOptions(vertex_normals=False)))
+    got = {(r.z, r.x, r.y): r for r in spark.read.parquet(f"{space.job(job)}/tiles").collect()}
+    assert {(0, 0, 0), (0, 1, 0)} <= set(got) and got[0, 0, 0].n == 0 and got[0, 1, 0].n == 400
+    header, (u, _, h), _, _ = decode_mesh(bytes(got[0, 0, 0].body))
+    assert header[3:5] == (0.0, 0.0) and len(u) == 65 * 65 and not h.any()
+    resumed = terrain.run(spark, space, terrain.Request(f"file://{tmp_path}/d.tif", tile=TileOptions(vertex_normals=False, resume=True)), job)
+    assert spark.read.parquet(f"{space.job(resumed)}/tiles").count() == len(got)
+
+
+def test_reference_systems(spark, tmp_path):
+    from orospark.sources.geotiff import place, crs, tags
+
+    geographic, web, other = (1, 1, 0, 2, 1024, 0, 1, 2, 2048, 0, 1, 4326), (1, 1, 0, 2, 1024, 0, 1, 1, 3072, 0, 1, 3857), (1, 1, 0, 2, 1024, 0, 1, 1, 3072, 0, 1, 32633)
+    space = terrain.Workspace(f"file://{tmp_path}")
+    k = 6378137 * np.pi / 180
+    flat = np.repeat(np.arange(30)[:, None] * 10.0, 20, 1)
+    for name, keys, at in (("g", geographic, (10.0, 50.0, 1.0)), ("w", web, (10.0 * k, 50.0 * k, 1.0 * k)), ("o", other, (5e5, 5e6, 30.0)), ("n", None, (5e5, 5e6, 30.0))):
+        (tmp_path / f"{name}.tif").write_bytes(tiff(flat, None, at=at, keys=keys))
+    assert crs(tags((tmp_path / "w.tif").read_bytes())) == "EPSG:3857" and crs(tags((tmp_path / "g.tif").read_bytes())) == "EPSG:4326"
+    for name, match in (("o", "isn't known"), ("n", "aren't degrees")):
+        with pytest.raises(Exception, match=match):
+            terrain.run(spark, space, terrain.Request(f"file://{tmp_path}/{name}.tif"))
+    g = terrain.Grid.of(*place((tmp_path / "w.tif").read_bytes()), "EPSG:3857")
+    assert g.mercator and abs(g.west - 10) < 1e-9 and abs(g.dx - 1) < 1e-9
+    y = [np.degrees(2 * np.arctan(np.exp(np.radians(50 - (r + 0.5))))) - 90 for r in (0, 29)]
+    assert np.allclose(g.ends, y)
+    cells = spark.createDataFrame([(r, 0, 10.0 * r) for r in range(30)], "row long, col long, elev double")
+    even, to = terrain.reproject(cells, g, "EPSG:4326")
+    assert not to.mercator and to.ends == g.ends
+    want = lambda r: 10 * (50 - 0.5 - np.degrees(np.log(np.tan(np.radians(45 + (y[0] + (y[1] - y[0]) * r / 29) / 2)))))
+    assert all(abs(r.elev - want(r.row)) < 0.05 for r in even.collect())
+    with pytest.raises(ValueError, match="EPSG:2154"):
+        terrain.reproject(cells, g, "EPSG:2154")
+
+
+def test_jobs_side_by_side(spark, tmp_path):
+    space = terrain.Workspace(f"file://{tmp_path}")
+    (tmp_path / "d.tif").write_bytes(tiff(np.full((4, 4), 70.0), None, at=(10.0, 50.0, 1.0)))
+    one = lambda p: terrain.Request(p, terrain.PreprocessOptions(build_overviews=False), TileOptions(start_zoom=0))
+    got = terrain.run_all(spark, space, [one(f"file://{tmp_path}/d.tif"), one(f"file://{tmp_path}/none.tif"), one(f"file://{tmp_path}/d.tif")])
+    assert isinstance(got[1], FileNotFoundError) and {r.job_id for r in terrain.jobs(spark, space).where("status = 'completed'").collect()} == {got[0], got[2]}
 
 
 def test_calibration_state(spark):

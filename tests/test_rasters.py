@@ -148,7 +148,7 @@ def test_preprocessing_fills_before_overviews(spark):
     assert sorted(r.elev for r in out.collect()) == [1.0] * 4 and levels[2].first().elev == 1.0
 
 
-def tiff(grid, nodata=None, tiled=False, deflate=True, at=None):
+def tiff(grid, nodata=None, tiled=False, deflate=True, at=None, keys=None):
     g = np.asarray(grid, "<f4")
     h, w = g.shape
     if tiled:
@@ -194,6 +194,8 @@ def tiff(grid, nodata=None, tiled=False, deflate=True, at=None):
         west, north, size = at
         add(33550, 12, [size, size, 0.0])
         add(33922, 12, [0.0, 0.0, 0.0, west, north, 0.0])
+    if keys:
+        add(34735, 3, keys)
     if nodata is not None:
         add(42113, 2, str(nodata))
     return b"II*\0" + struct.pack("<I", base + len(extra)) + body + extra + struct.pack("<H", len(entries)) + b"".join(entries) + b"\0" * 4

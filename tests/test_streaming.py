@@ -48,6 +48,33 @@ def test_latest_documents(run):
     assert last == {"a": ("completed", 100.0), "b": ("queued", 0.0)}
 
 
+def test_documents_expire_a_week_after_their_last_change(run):
+    day = timedelta(days=1)
+    rows = [("a", START, 9, "tiling", 30.0), ("b", START, 1, "queued", 0.0), ("b", START + 6 * day, 2, "tiling", 5.0), ("z", START + 9 * day, 1, "queued", 0.0), ("z", START + 9 * day, 2, "queued", 0.0), ("a", START + 9 * day, 3, "running", 1.0), ("b", START + 9 * day, 1, "old", 0.0)]
+    got = run(jobs.latest_documents, rows, "job_id string, ts timestamp, seq long, status string, percent double", 7, "update")
+    last = {r.job_id: r.status for r in got}
+    assert last == {"a": "running", "b": "tiling", "z": "queued"}  # a's state was gone, so an earlier number counts; b's wasn't
+
+
+def test_following_a_job(spark, tmp_path):
+    import threading
+
+    path, schema = f"file://{tmp_path}/log", "job_id string, seq long, status string"
+    add = lambda *rows: append_events(spark.createDataFrame(list(rows), schema).coalesce(1), path)
+    add(("a", 1, "queued"), ("a", 2, "running"), ("b", 1, "completed"))
+    got = []
+    late = threading.Timer(3, lambda: (add(("a", 3, "tiling"), ("b", 2, "x")), add(("a", 4, "completed"), ("a", 5, "behind the end"))))
+    late.start()
+    assert jobs.follow(spark, path, schema, "a", lambda r: got.append((r.seq, r.status)), seconds=90)
+    late.join()
+    assert got == [(2, "running"), (3, "tiling"), (4, "completed")]
+    over = []
+    assert jobs.follow(spark, path, schema, "b", over.append, seconds=5) is False and [r.seq for r in over] == [2]
+    assert jobs.follow(spark, path, schema, "a", over.append, seconds=5) is False and over[-1].seq == 5
+    add(("c", 1, "failed"))
+    assert jobs.follow(spark, path, schema, "c", over.append) and over[-1].status == "failed"
+
+
 def test_subscription_ends_with_the_job(run):
     rows = [("a", START, "queued"), ("b", START, "failed"), ("a", START, "completed")]
     got = run(lambda s: jobs.until_terminal(s, "a"), rows, "job_id string, ts timestamp, status string", 1)
