@@ -44,9 +44,9 @@ def exaggeration(c: Column) -> Column:
 
 
 def ramp_step(value: Column, low: Column, high: Column, steps: int = RAMP_STEPS) -> Column:
-    """The step of the ramp, from 0, that a value falls in; ends are clamped. high has to be over low."""
+    """The step of the ramp, from 0, that a value falls in; ends are clamped, null stays null. high has to be over low."""
     t = F.floor((value - low) * steps / (high - low))
-    return F.least(F.greatest(t, F.lit(0)), F.lit(steps - 1)).cast("int")
+    return F.when(value.isNotNull(), F.least(F.greatest(t, F.lit(0)), F.lit(steps - 1))).cast("int")
 
 
 def ramp_colour(step: Column, ramp: str = "hypsometric", steps: int = RAMP_STEPS) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from orospark.functions import display, labels, progress
 from orospark.operators import catalog, lineage, raster, tiles
 from orospark.operators import progress as jobs
-from orospark.sources.files import entries, table
+from orospark.sources.files import entries, table, tile_addresses
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -174,6 +174,50 @@ def elevation_sample_grid(spark, d):
     return raster.sample_grid(dem(spark, d))
 
 
+_SAMPLES = GAPPY + """, ends as (select max(r) as mr, max(c) as mc from gappy),
+t as (select i, j, 0.25::double + 1.5::double * i as y, -0.5::double + 2.0::double * j as x from ends, unnest(range(-2, mr::bigint + 3)) u(i), unnest(range(-2, mc::bigint + 3)) v(j))"""
+
+
+@query(f"""with {_SAMPLES} select i as "row", j as "col", round(avg(e), 6) as elev from t join gappy on y - r >= -0.75 and y - r < 0.75 and x - c >= -1 and x - c < 1 where e is not null group by all""")
+def samples_average(spark, d):
+    s = raster.resample_onto(gappy(spark, d), (0.25, 1.5), (-0.5, 2.0), "average")
+    return s.select("row", "col", F.round("elev", 6).alias("elev"))
+
+
+@query(f"""with {_SAMPLES}, k as (select i, j, e, floor((1 - abs(y - r) / 1.5) * 1000000 + 0.5) as a, floor((1 - abs(x - c) / 2) * 1000000 + 0.5) as b from t join gappy on abs(y - r) < 1.5 and abs(x - c) < 2 where e is not null)
+select i as "row", j as "col", round(sum(a * b * e) / sum(a * b), 8) as elev from k where a > 0 and b > 0 group by all""")
+def samples_bilinear(spark, d):
+    s = raster.resample_onto(gappy(spark, d), (0.25, 1.5), (-0.5, 2.0), "bilinear")
+    return s.select("row", "col", F.round("elev", 8).alias("elev"))
+
+
+#: Columns of the grid as rows from 60 degrees north to the equator.
+TURNED = "g as (select c as r, r as c, e from gappy)"
+
+
+def _turned(spark, d) -> DataFrame:
+    return gappy(spark, d).select(F.col("col").alias("row"), F.col("row").alias("col"), "elev")
+
+
+def _remap_sql(place: str) -> str:
+    return f"""with {GAPPY}, {TURNED}, m as (select ln(tan(radians(75.0::double))) as top, ln(tan(radians(45.0::double))) as foot),
+p as (select i, least(63.0::double, greatest(0.0::double, round({place}, 9))) as p from m, unnest(range(64)) u(i)), b as (select i, floor(p)::bigint as s, floor((p - floor(p)) * 1000000)::bigint as w from p),
+k as (select i, s, 1000000 - w as w from b union all select i, s + 1, w from b)
+select i as "row", c as "col", round(sum(e * w)::double / sum(w), 6) as elev from k join g on g.r = k.s where w > 0 and e is not null group by all"""
+
+
+@query(_remap_sql("(60.0::double - (degrees(2 * atan(exp(top + (foot - top) * i / 63))) - 90)) / (60.0::double / 63)"))
+def reproject_mercator(spark, d):
+    rows = raster.remap_rows(_turned(spark, d), raster.mercator_rows(60.0, 0.0, 64, spark))
+    return rows.select("row", "col", F.round("elev", 6).alias("elev"))
+
+
+@query(_remap_sql("(ln(tan(radians(45.0::double + (60.0::double - 60.0::double * i / 63) / 2))) - top) / (foot - top) * 63"))
+def reproject_geographic(spark, d):
+    rows = raster.remap_rows(_turned(spark, d), raster.latitude_rows(60.0, 0.0, 64, spark))
+    return rows.select("row", "col", F.round("elev", 6).alias("elev"))
+
+
 # tiles
 
 DEEPEST = 8
@@ -189,18 +233,18 @@ def soundings(spark, d) -> DataFrame:
 
 @query(f'with {SOUNDINGS} select z, min(x) as "startX", min(y) as "startY", max(x) as "endX", max(y) as "endY" from t group by z')
 def tile_extents(spark, d):
-    return tiles.extents(tiles.pyramid(soundings(spark, d)))
+    return tiles.pyramid_extents(soundings(spark, d))
 
 
 @query(f"with {SOUNDINGS} select z, x, y, count(elev) as n, sum(elev)::bigint as total, min(elev) as least, max(elev) as most from t group by all")
 def tile_pyramid(spark, d):
-    return tiles.pyramid(soundings(spark, d))
+    return tiles.pyramid(soundings(spark, d), deepest=DEEPEST)
 
 
 @query(f"""with {SOUNDINGS}, b as (select z, min(x) as sx, min(y) as sy, max(x) as ex, max(y) as ey from t where z not in (1, 3) group by z)
 select q.z::int as z, sx as "startX", sy as "startY", ex as "endX", ey as "endY", sx is null as is_empty from unnest(range({DEEPEST + 1})) q(z) left join b on b.z = q.z""")
 def layer_available(spark, d):
-    return tiles.available_levels(tiles.extents(tiles.pyramid(soundings(spark, d)).where("z not in (1, 3)")))
+    return tiles.available_levels(tiles.pyramid_extents(soundings(spark, d)).where("z not in (1, 3)"))
 
 
 _KEPT = "(z % 2 = 0 or l_returnflag = 'R') and z >= case l_returnflag when 'A' then 2 else 0 end"
@@ -209,7 +253,7 @@ _KEPT = "(z % 2 = 0 or l_returnflag = 'R') and z >= case l_returnflag when 'A' t
 @query(f"with {SOUNDINGS} select l_returnflag, min(z) as min_zoom, max(z) as max_zoom from t where {_KEPT} group by all")
 def layer_zoom_range(spark, d):
     keys = ("l_returnflag",)
-    boxes = tiles.extents(tiles.pyramid(soundings(spark, d), keys=keys), keys).where(_KEPT)
+    boxes = tiles.pyramid_extents(soundings(spark, d), keys=keys).where(_KEPT)
     return tiles.available(boxes, keys).withColumn("_z", tiles.zoom_range(F.col("available"))).select("l_returnflag", "_z.min_zoom", "_z.max_zoom")
 
 
@@ -224,7 +268,7 @@ def tile_rectangles(spark, d):
 select l_returnflag, z, min(x)::int as start_x, max(y)::int as end_y from t join m using (l_returnflag, z) group by all""")
 def tile_coverage(spark, d):
     keys = ("l_returnflag",)
-    layers = tiles.available(tiles.extents(tiles.pyramid(soundings(spark, d), keys=keys), keys).where(_KEPT), keys)
+    layers = tiles.available(tiles.pyramid_extents(soundings(spark, d), keys=keys).where(_KEPT), keys)
     layers = layers.withColumn("projection", F.lit("epsg:4326")).withColumn("bounds", F.array(*[F.lit(0.0)] * 4))
     return tiles.coverage(layers).select("l_returnflag", F.col("cover.z").alias("z"), F.col("cover.box.startX").alias("start_x"), F.col("cover.box.endY").alias("end_y"))
 
@@ -232,20 +276,20 @@ def tile_coverage(spark, d):
 @query(f"""with {SOUNDINGS}, u as (select distinct z, x, y from t), g as (select *, x - row_number() over (partition by z, y order by x) as g from u)
 select z, min(x) as "startX", y as "startY", max(x) as "endX", y as "endY" from g group by z, y, g""")
 def tile_runs(spark, d):
-    return tiles.runs(tiles.pyramid(soundings(spark, d)))
+    return tiles.runs(tiles.pyramid(soundings(spark, d), deepest=DEEPEST))
 
 
 @query(f"with {SOUNDINGS} select distinct z, x, y from t where (z, x, y) not in (select (z, x, y) from t where l_returnflag = 'R')")
 def tile_resume_antijoin(spark, d):
     keys = ("l_returnflag",)
-    every = tiles.pyramid(soundings(spark, d), keys=keys)
+    every = tiles.pyramid(soundings(spark, d), keys=keys, deepest=DEEPEST)
     return tiles.missing_tiles(every.select("z", "x", "y").distinct(), every.where("l_returnflag = 'R'"))
 
 
 @query(f"""with {SOUNDINGS}, u as (select distinct z, x, y from t where x > 0) select z, x, y, false as is_added from u
 union all select 0, x, 0, true from unnest(range(2)) r(x) where (0, x, 0) not in (select (z, x, y) from u)""")
 def root_tiles(spark, d):
-    return tiles.with_roots(tiles.pyramid(soundings(spark, d)).where("x > 0"))
+    return tiles.with_roots(tiles.pyramid(soundings(spark, d), deepest=DEEPEST).where("x > 0"))
 
 
 @query(f"""with {GAPPY}, t as (select *, unnest(case when r % 16 = 0 and r > 0 then [r // 16, r // 16 - 1] else [r // 16] end) as y from gappy),
@@ -256,8 +300,10 @@ def tile_heightmaps(spark, d):
     return h.select("z", "x", "y", "filled", F.aggregate("samples", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
 
 
-@query(f"""with {GAPPY}, t as (select c // 16 as tile_x, r // 16 as tile_y, c % 16 as i, r % 16 as j, e, min(e) over w as lo, max(e) over w as hi from gappy where e is not null and (c % 16) % 2 = 0 and (r % 16) % 2 = 0 window w as (partition by c // 16, r // 16))
-select tile_x, tile_y, i * 32767 // 16 as u, (16 - j) * 32767 // 16 as v, case when hi > lo then floor((e - lo)::double * 32767 / (hi - lo)) else 0 end as h from t""".replace("i * 32767 // 16 as u, (16 - j) * 32767 // 16 as v, case", "(i * 32767 // 16)::int as u, ((16 - j) * 32767 // 16)::int as v, (case").replace("else 0 end as h", "else 0 end)::int as h"))
+@query(f"""with {GAPPY}, n as (select max(r) // 16 as my, max(c) // 16 as mx from gappy), t as (select x as tile_x, y as tile_y from n, unnest(range(mx + 1)) u(x), unnest(range(my + 1)) v(y)),
+m as (select tile_x, tile_y, c - tile_x * 16 as i, r - tile_y * 16 as j, e from t join gappy on c between tile_x * 16 and tile_x * 16 + 16 and r between tile_y * 16 and tile_y * 16 + 16 where e is not null),
+ends as (select tile_x, tile_y, min(e) as lo, max(e) as hi from m group by all)
+select tile_x, tile_y, (i * 32767 // 16)::int as u, ((16 - j) * 32767 // 16)::int as v, (case when hi > lo then floor((e - lo)::double * 32767 / (hi - lo)) else 0 end)::int as h from m join ends using (tile_x, tile_y) where i % 2 = 0 and j % 2 = 0""")
 def mesh_vertices(spark, d):
     return tiles.mesh_vertices(gappy(spark, d), 17, 2.5)
 
@@ -424,6 +470,43 @@ def job_elapsed(spark, d):
     return o.select("o_orderkey", progress.elapsed_seconds(made, done, F.col("s"), upd, F.lit(NOW)).alias("elapsed_seconds"), progress.normal_status(F.col("s")).alias("status"))
 
 
+_STAGE = ("queued", "gdal_preprocess", "ctb_tile", "register_tileset", "failed", "odd")
+
+
+@query(f"""with e as (select event_id, {_choice_sql(_STAGE, "event_id")} as s, (event_id % 121 - 10)::double as p from events), r as (select *, case s when 'gdal_preprocess' then 2 when 'ctb_tile' then 25 when 'register_tileset' then 95 else 0 end as a,
+case s when 'queued' then 0 when 'gdal_preprocess' then 25 when 'ctb_tile' then 95 when 'register_tileset' then 99 else 100 end as b from e)
+select event_id, round(a + (b - a) * least(100, greatest(0, p)) / 100.0::double, 2) as percent, least(round(a + (b - a) * least(100, greatest(0, p)) / 100.0::double, 2), case when s = 'failed' then 99.99::double else 100 end) as shown from r""")
+def overall_progress(spark, d):
+    e = table(spark, d, "events").select("event_id", F.coalesce(_choice(_STAGE, "event_id"), F.lit("none")).alias("s"), (F.col("event_id") % 121 - 10).cast("double").alias("p"))
+    return e.select("event_id", progress.overall_percent(F.col("s"), F.col("p")).alias("percent"), progress.shown_percent(F.col("s"), F.col("p")).alias("shown"))
+
+
+@query("""with e as (select event_id, case when event_id % 2 = 0 then 0.15::double else 0 end as f, case when event_id % 3 = 0 then 0.15::double else 0 end as o, (event_id % 130)::double as p from events)
+select event_id, round(1 - f - o, 6) as reproject, f as fill, o as overview, round(least(100, 60 + p * (1 - f - o)), 6) as emitted from e""")
+def step_progress(spark, d):
+    k = F.col("event_id")
+    w = progress.step_weights(k % 2 == 0, k % 3 == 0)
+    e = table(spark, d, "events").select("event_id", w.alias("w"), (k % 130).cast("double").alias("p"))
+    return e.select("event_id", F.round("w.reproject", 6).alias("reproject"), "w.fill", "w.overview", F.round(progress.step_percent(F.lit(60.0), F.col("p"), F.col("w.reproject")), 6).alias("emitted"))
+
+
+_LOGS = ("ERROR: Unknown argument: --progress", "unknown argument: -progress", "Unknown option x for progress", "unknown option -x", "progress 5 %")
+
+
+@query(f"""with e as (select event_id, {_choice_sql(_LOGS, "event_id")} as t, event_id % 9 + 1 as k from events)
+select event_id, lower(t) like '%unknown argument: -progress%' or lower(t) like '%unknown argument: --progress%' or (lower(t) like '%unknown option%' and lower(t) like '%progress%') as unsupported, least(15000, 1000 * power(2, k - 1))::int as wait_millis from e""")
+def tool_and_retry(spark, d):
+    e = table(spark, d, "events").select("event_id", _choice(_LOGS, "event_id").alias("t"), (F.col("event_id") % 9 + 1).alias("k"))
+    return e.select("event_id", progress.flag_unsupported(F.col("t")).alias("unsupported"), progress.retry_millis(F.col("k")).alias("wait_millis"))
+
+
+@query("""with w as (select c_mktsegment, c_custkey, case when c_mktsegment = 'BUILDING' then 0 else c_custkey % 10 end::double as w from customer), t as (select *, sum(w) over (partition by c_mktsegment) as t from w)
+select c_custkey, round(case when t > 0 then w / t else w end, 12) as weight from t""")
+def normalised_weights(spark, d):
+    c = table(spark, d, "customer").select("c_mktsegment", "c_custkey", F.when(F.col("c_mktsegment") == "BUILDING", F.lit(0)).otherwise(F.col("c_custkey") % 10).cast("double").alias("weight"))
+    return jobs.normalise(c, "c_mktsegment").select("c_custkey", F.round("weight", 12).alias("weight"))
+
+
 # lineage
 
 
@@ -452,9 +535,10 @@ def job_detail_residual(spark, d):
     return fields.select(m["event_id"].cast("long").alias("event_id"), "job_id", "status", F.array_join(F.array_sort(F.array_remove(F.map_keys(m), "event_id")), ",").alias("metadata_keys"), m["k"].alias("k"), "elapsed_seconds")
 
 
-@query("""select o_orderkey, 'set-' || o_orderkey as tileset_name, c_name as file_name, '/w/' || c_name as input_path, 1 as schema_version from orders left join customer on o_custkey = c_custkey and c_custkey % 2 = 0 where o_orderstatus = 'F'""")
+@query("""select o_orderkey, 'set-' || o_orderkey as tileset_name, c_name as file_name, '/w/' || c_name as input_path, 1 as schema_version from orders left join customer on o_custkey = c_custkey and c_custkey % 2 = 0""")
 def provenance_lineage(spark, d):
-    o = table(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", F.col("o_custkey").cast("string").alias("job_id"), F.concat(F.lit("set-"), "o_orderkey").alias("tileset_name"))
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("job_id"), F.concat(F.lit("set-"), "o_orderkey").alias("tileset_name"))
+    # every other customer has no manifest: those tilesets have no known source
     m = table(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("job_id"), F.concat(F.lit("/w/"), "c_name").alias("input_path"), F.lit("o").alias("output_dir"), F.lit("t").alias("at"), F.lit(None).cast("string").alias("request"))
     return lineage.provenance(o, lineage.created(m)).select("o_orderkey", "tileset_name", F.col("source.file_name").alias("file_name"), F.col("source.input_path").alias("input_path"), "schema_version")
 
@@ -467,10 +551,38 @@ def manifest_merge(spark, d):
     return lineage.merge_changes(e, "user_id", "event_id", ["status", "error"])
 
 
-@query("""with l as (select *, max(ts) over (partition by user_id) as l from events where event_id % 40 = user_id % 40) select event_id, user_id from l where floor(epoch_us(timestamp '2024-02-01 00:00:00') / 1000000) - floor(epoch_us(l) / 1000000) <= 604800""")
+@query("""with l as (select *, max(ts) over (partition by user_id) as l from events) select event_id, user_id from l where floor(epoch_us(timestamp '2024-02-06 02:00:00') / 1000000) - floor(epoch_us(l) / 1000000) <= 604800""")
 def job_expiry(spark, d):
-    e = table(spark, d, "events").where("event_id % 40 = user_id % 40").withColumn("ts", F.col("ts").cast("timestamp"))
-    return lineage.unexpired(e, "user_id", "ts", F.lit("2024-02-01 00:00:00").cast("timestamp")).select("event_id", "user_id")
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return lineage.unexpired(e, "user_id", "ts", F.lit("2024-02-06 02:00:00").cast("timestamp")).select("event_id", "user_id")
+
+
+@query("""select c_custkey, case when c_custkey % 3 = 0 then 'queued' when c_custkey % 2 = 0 then 'failed' else 'completed' end as status, case when c_custkey % 3 = 0 then 't0' else 't1' end as updated_at,
+case when c_custkey % 3 <> 0 then 't1' end as completed_at, case when c_custkey % 3 <> 0 and c_custkey % 2 = 0 then 'broke' end as error, c_custkey % 6 in (1, 5) and c_custkey % 5 <> 0 as published,
+case when c_custkey % 6 in (1, 5) and c_custkey % 5 <> 0 then 'set' || c_custkey end as tileset_name, c_name as file_name from customer""")
+def manifest_endings(spark, d):
+    k, none = F.col("c_custkey"), F.lit(None).cast("string")
+    c = table(spark, d, "customer").select("c_custkey", k.cast("string").alias("job_id"), F.concat(F.lit("/in/"), "c_name").alias("input_path"), F.lit("o").alias("output_dir"), F.lit("t0").alias("at"), none.alias("request"))
+    ends = c.where("c_custkey % 3 <> 0").select("job_id", F.lit("t1").alias("at"), F.when(k % 2 == 0, F.lit("broke")).alias("error"), F.when(k % 5 != 0, F.lit("http://h")).alias("terrain_url"), F.concat(F.lit("set"), k).alias("tileset_name"))
+    m = lineage.finished(lineage.created(c), ends)
+    return m.select(F.col("job_id").cast("long").alias("c_custkey"), "status", "updated_at", "completed_at", "error", "publish.published", "publish.tileset_name", "source.file_name")
+
+
+@query("""with j as (select o_orderkey, case o_orderkey % 5 when 0 then 'completed' when 1 then 'publishing' when 2 then 'failed' when 3 then 'running' else 'completed' end as status, case when o_orderkey % 7 <> 0 then 'd' end as output_dir from orders)
+select * from j where status in ('completed', 'publishing') and output_dir is not null""")
+def publishable_jobs(spark, d):
+    k = F.col("o_orderkey")
+    status = F.element_at(F.array(*[F.lit(x) for x in ("completed", "publishing", "failed", "running", "completed")]), (k % 5 + 1).cast("int"))
+    return catalog.publishable(table(spark, d, "orders").select("o_orderkey", status.alias("status"), F.when(k % 7 != 0, F.lit("d")).alias("output_dir")))
+
+
+@query("""select 'n' || c_custkey as name, case when c_custkey % 2 = 0 then 'cache' when c_custkey % 3 = 0 then 'sidecar' when c_custkey % 5 = 0 then 'layer' end as format, case when c_custkey % 2 = 0 or c_custkey % 3 = 0 or c_custkey % 5 = 0 then (c_custkey % 4)::int end as min_zoom from customer""")
+def display_priority(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("n"), "c_custkey").alias("name"))
+    none = F.lit(None).cast("string")
+    meta = lambda rows, what: rows.select("name", F.lit(what).alias("format"), none.alias("format_label"), none.alias("projection"), none.alias("crs"), (F.col("c_custkey") % 4).cast("int").alias("min_zoom"), F.lit(9).alias("max_zoom"))
+    found = catalog.display_metadata(c.select("name"), meta(c.where("c_custkey % 2 = 0"), "cache"), meta(c.where("c_custkey % 3 = 0"), "sidecar"), meta(c.where("c_custkey % 5 = 0"), "layer"))
+    return found.select("name", "format", "min_zoom")
 
 
 # display
@@ -485,3 +597,47 @@ def display_numbers(spark, d):
     s = table(spark, d, "lineitem").select((F.col("l_orderkey") * 7 + F.col("l_linenumber")).alias("id"), b.alias("b"), ((F.col("l_partkey") * 37) % 100000).alias("e"))
     least, most = F.when(F.col("e") % 5 != 0, F.col("e") % 20), F.when(F.col("e") % 7 == 0, F.col("e") % 20).otherwise(F.col("e") % 20 + 2)
     return s.select("id", display.show_size(F.col("b")).alias("size"), display.show_elapsed(F.col("e")).alias("elapsed"), display.show_zooms(least, most).alias("zooms"))
+
+
+@query(f"""with {SOUNDINGS}, b as (select z, min(x) as sx, min(y) as sy, max(x) as ex, max(y) as ey from t group by z),
+r as (select z, -180.0::double + sx * (360.0::double / (2 << z)) as w, -90.0::double + sy * (180.0::double / (1 << z)) as s, -180.0::double + (ex + 1) * (360.0::double / (2 << z)) as e, -90.0::double + (ey + 1) * (180.0::double / (1 << z)) as n from b),
+m as (select z, greatest(abs(radians(e - w) * 6378137 * cos(radians((s + n) / 2))), abs(radians(n - s) * 6378137)) / (1 << (2 * z)) as span from r)
+select z, round(span, 3) as span, round(least(120000, greatest(3000, span * 0.55)), 3) as height, least(50.0, greatest(1.0, (case when z % 3 <> 0 then z * z end)::double)) as exaggeration from m""".replace("least(50.0, greatest(1.0, (case when z % 3 <> 0 then z * z end)::double))", "least(50.0::double, greatest(1.0::double, coalesce((case when z % 3 <> 0 then z * z end)::double, 1)))"))
+def view_of_tiles(spark, d):
+    b = tile_rectangles(spark, d)
+    m = b.select("z", (display.span_metres(F.col("west"), F.col("south"), F.col("east"), F.col("north")) / F.expr("shiftleft(1L, 2 * z)")).alias("m"))
+    factor = F.when(F.col("z") % 3 != 0, (F.col("z") * F.col("z")).cast("double"))
+    return m.select("z", F.round("m", 3).alias("span"), F.round(display.camera_height(F.col("m")), 3).alias("height"), display.exaggeration(factor).alias("exaggeration"))
+
+
+@query(f"""with {GAPPY}, b as (select r, c, e, floor(e::double / 150) as b from gappy),
+k as (select a.e, coalesce(x.b <> a.b, false) or coalesce(y.b <> a.b, false) as contour from b a left join b x on x.r = a.r and x.c = a.c + 1 left join b y on y.c = a.c and y.r = a.r + 1),
+s as (select contour, greatest(0, least(255, floor((e + 500.0::double) * 256 / 3500)))::int as s from k where e is not null union all select contour, null from k where e is null)
+select case when contour then '#ffffff' when s is not null then {_ramp_sql("ocean")} end as colour, count(*) as n from s group by 1""")
+def shaded_cells(spark, d):
+    low, high = display.checked_range(display.MIN_HEIGHT, display.MAX_HEIGHT)
+    c = raster.contours(gappy(spark, d), 150)
+    return c.select(display.shade(F.col("elev"), "ocean", low, high, F.col("contour")).alias("colour")).groupBy("colour").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""with p as (select 'job' || (l_partkey % 3) || case l_suppkey % 4 when 0 then '/x/' when 1 then '/' else '/tiles/' end || (l_linenumber % 3) || '/' || (l_partkey % 5) || '/' || (l_suppkey % 7) || case l_quantity::int % 3 when 0 then '.terrain' when 1 then '.terrain.gz' else '.TERRAIN' end as path from lineitem)
+select regexp_extract(path, '([0-9]+)/([0-9]+)/([0-9]+)[.]terrain$', 1)::int as z, regexp_extract(path, '([0-9]+)/([0-9]+)/([0-9]+)[.]terrain$', 2)::bigint as x, regexp_extract(path, '([0-9]+)/([0-9]+)/([0-9]+)[.]terrain$', 3)::bigint as y, count(*) as n from p where regexp_matches(path, '/[0-9]+/[0-9]+/[0-9]+[.]terrain$') group by all""")
+def tile_paths(spark, d):
+    k = lambda c, n: (F.col(c) % n).cast("string")
+    folder = F.when(F.col("l_suppkey") % 4 == 0, F.lit("/x/")).when(F.col("l_suppkey") % 4 == 1, F.lit("/")).otherwise(F.lit("/tiles/"))
+    kind = F.col("l_quantity").cast("int") % 3
+    end = F.when(kind == 0, F.lit(".terrain")).when(kind == 1, F.lit(".terrain.gz")).otherwise(F.lit(".TERRAIN"))
+    paths = table(spark, d, "lineitem").select(F.concat(F.lit("job"), k("l_partkey", 3), folder, k("l_linenumber", 3), F.lit("/"), k("l_partkey", 5), F.lit("/"), k("l_suppkey", 7), end).alias("path"))
+    return tile_addresses(paths).groupBy("z", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+_BLANKS = ("\t", " a\n", "b  c ", "", "\u00a0d\r")
+_PATHS = "case c_custkey % 4 when 0 then 'D:' || chr(92) || 'foo' || chr(92) || 'bar' when 1 then 'C:' when 2 then '/data/x' else 'rel' || chr(92) || 'y' end"
+
+
+@query(f"""with s as (select c_custkey, trim({_choice_sql(_BLANKS, "c_custkey")}, ' ' || chr(9) || chr(10) || chr(13) || chr(160)) as t, replace({_PATHS}, chr(92), '/') as p from customer)
+select c_custkey, nullif(t, '') as trimmed, case when p[2] = ':' then rtrim('//' || lower(p[1]) || '/' || ltrim(p[3:], '/'), '/') else p end as bound from s""")
+def trimmed_and_bound(spark, d):
+    k = F.col("c_custkey")
+    path = F.element_at(F.array(*[F.lit(x) for x in ("D:\\foo\\bar", "C:", "/data/x", "rel\\y")]), (k % 4 + 1).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", labels.trim_to_null(_choice(_BLANKS, "c_custkey")).alias("trimmed"), labels.bind_source(path).alias("bound"))

@@ -58,11 +58,16 @@ def test_status_and_flags(spark):
     assert one(spark, progress.step_percent(F.lit(90.0), F.lit(80.0), F.lit(0.5))) == 100.0
 
 
-@pytest.mark.parametrize(("name", "want"), [("../evil", None), ("string", "job"), ("STRING ", "job"), (None, "job"), ("  ", "job"), (" a ", "a"), ("a\\b", None), (".", None), (".x", None), ("a..b", None)])
+@pytest.mark.parametrize(("name", "want"), [("../evil", None), ("string", "job"), ("STRING ", "job"), (None, "job"), ("  ", "job"), (" a ", "a"), ("a\\b", None), (".", None), (".x", None), ("a..b", None), ("\n", "job"), ("\u3000\ta\r\n", "a"), ("a\nb", "a\nb")])
 def test_tileset_names(spark, name, want):
     assert one(spark, labels.tileset_name(F.lit("job"), text(name))) == want
 
 
+@pytest.mark.parametrize("raw", ["", " ", "\t\n", "\x1c", "\u00a0x\u2003", "a  b", " a\n\n", None, "\n a \n b \n"])
+def test_trimming_is_that_of_strings(spark, raw):
+    assert one(spark, labels.trim_to_null(text(raw))) == ((raw or "").strip() or None)
+
+
 def test_labels(spark):
     assert one(spark, labels.format_label(F.lit("quantized-mesh-1.0"))) == "量化网格 (Mesh)"
     assert one(spark, labels.crs_label(F.lit("EPSG:3857"))) == "EPSG:3857 (Web 墨卡托)"
@@ -97,6 +102,8 @@ def test_rectangles_and_numbers(spark):
 
 def test_shading(spark):
     assert one(spark, display.shade(F.lit(5.0), "ocean", 0.0, 10.0, F.lit(True))) == "#ffffff"
+    assert one(spark, display.shade(F.lit(None).cast("double"), "ocean", 0.0, 10.0)) is None
+    assert display.checked_range(1.0, 2.0) == (1.0, 2.0)
     assert one(spark, display.shade(F.lit(-5.0), "ocean", 0.0, 10.0, F.lit(False))) == one(spark, display.shade(F.lit(0.0), "ocean", 0.0, 10.0))
     with pytest.raises(ValueError, match="over"):
         display.shade(F.lit(1.0), "ocean", 5.0, 5.0)

@@ -215,6 +215,103 @@ def test_reading_elevation_files(spark, tmp_path, tiled, deflate):
         geotiff.decode(b"not one at all")
 
 
+def pack_lzw(data):
+    """The format's own compression, by its specification."""
+    codes, out, held, n = {bytes([k]): k for k in range(256)}, bytearray(), 0, 0
+    width, following = 9, 258
+
+    def put(code):
+        nonlocal held, n
+        held, n = held << width | code, n + width
+        while n >= 8:
+            n -= 8
+            out.append(held >> n & 255)
+            held &= (1 << n) - 1
+
+    put(256)
+    word = b""
+    for k in range(len(data)):
+        c = data[k : k + 1]
+        if word + c in codes:
+            word += c
+            continue
+        put(codes[word])
+        codes[word + c] = following
+        following += 1
+        if following in (511 + 1, 1023 + 1, 2047 + 1):
+            width += 1
+        if following == 4094:
+            put(256)
+            codes, width, following = {bytes([k]): k for k in range(256)}, 9, 258
+        word = c
+    if word:
+        put(codes[word])
+    put(257)
+    if n:
+        out.append(held << (8 - n) & 255)
+    return bytes(out)
+
+
+def test_lzw():
+    rng = np.random.default_rng(5)
+    for data in (b"", b"a", b"aaaaaaaaaa" * 300, bytes(rng.integers(0, 256, 20_000, dtype=np.uint8)), bytes(rng.integers(0, 3, 60_000, dtype=np.uint8))):
+        assert geotiff.unpack_lzw(pack_lzw(data)) == data
+
+
+def differenced(block, predictor):
+    """Rows of a block as predictors 2 and 3 leave them."""
+    if predictor == 2:
+        whole = block.view(f"<u{block.itemsize}")
+        return np.diff(whole, axis=1, prepend=np.zeros((len(block), 1), whole.dtype)).astype(whole.dtype).tobytes()
+    size = block.itemsize
+    planes = block.astype(block.dtype.newbyteorder(">")).view(np.uint8).reshape(len(block), -1, size).transpose(0, 2, 1).reshape(len(block), -1)
+    return np.diff(planes, axis=1, prepend=np.zeros((len(block), 1), np.uint8)).astype(np.uint8).tobytes()
+
+
+def any_tiff(grid, packing, predictor, big, rows=4):
+    """A striped file of either size of directory; the last strip has no bytes."""
+    h, w = grid.shape
+    kind = {"u": 1, "i": 2, "f": 3}[grid.dtype.kind]
+    pack = {1: bytes, 5: pack_lzw, 8: zlib.compress}[packing]
+    parts = [pack(grid[r : r + rows].tobytes() if predictor == 1 else differenced(np.ascontiguousarray(grid[r : r + rows]), predictor)) for r in range(0, h, rows)] + [b""]
+    head = 16 if big else 8
+    offsets = [head + sum(map(len, parts[:k])) for k in range(len(parts))]
+    entries = {256: (3, [w]), 257: (3, [h + rows]), 258: (3, [grid.itemsize * 8]), 259: (3, [packing]), 273: (16 if big else 4, offsets), 278: (3, [rows]), 279: (4, [len(p) for p in parts]), 317: (3, [predictor]), 339: (3, [kind]), 42113: (2, b"-7\0")}
+    at = head + sum(map(len, parts))
+    extra, listed, room = b"", b"", 8 if big else 4
+    for tag, (t, values) in entries.items():
+        raw = values if t == 2 else struct.pack(f"<{len(values)}{ {3: 'H', 4: 'I', 16: 'Q'}[t] }", *values)
+        spot = raw.ljust(room, b"\0")
+        if len(raw) > room:
+            spot = struct.pack("<Q" if big else "<I", at + len(extra))
+            extra += raw
+        listed += struct.pack("<HHQ" if big else "<HHI", tag, t, len(values)) + spot
+    ifd = at + len(extra)
+    start = struct.pack("<2sHHHQ", b"II", 43, 8, 0, ifd) if big else struct.pack("<2sHI", b"II", 42, ifd)
+    return start + b"".join(parts) + extra + struct.pack("<Q" if big else "<H", len(entries)) + listed + b"\0" * 8
+
+
+@pytest.mark.parametrize("packing", [1, 5, 8])
+@pytest.mark.parametrize(("kind", "predictor"), [("<f4", 1), ("<f4", 3), ("<f8", 3), ("<i2", 2), ("<u4", 2), ("<u1", 1)])
+@pytest.mark.parametrize("big", [False, True])
+def test_ways_of_packing(packing, kind, predictor, big):
+    rng = np.random.default_rng(1)
+    grid = (rng.integers(0, 200, (8, 33)) * (1.5 if "f" in kind else 1)).astype(kind)
+    band, nodata = geotiff.decode(any_tiff(grid, packing, predictor, big))
+    assert nodata == -7 and np.array_equal(band[:8], grid) and (band[8:] == np.full((4, 33), -7).astype(kind)).all()
+
+
+def test_blocks_are_read_by_range(spark, tmp_path):
+    grid = np.arange(8 * 33, dtype="<f4").reshape(8, 33)
+    for k in range(2):
+        (tmp_path / f"a {k}.tif").write_bytes(any_tiff(grid + k, 5, 3, bool(k)))
+    path = f"file://{tmp_path}/*.tif"
+    assert geotiff.read_blocks(spark, path).count() == 6
+    got = geotiff.read_dem(spark, path).collect()
+    assert {(r.raster_id[-5], r.row, r.col): r.elev for r in got} == {(str(k), i, j): grid[i, j] + k if i < 8 else None for k in range(2) for i in range(12) for j in range(33)}
+    assert {r.crs for r in geotiff.read_places(spark, path).collect()} == {None}
+
+
 def test_sinks(spark, tmp_path):
     path = f"file://{tmp_path}/tiles"
     t = spark.createDataFrame([(0, 0, 0, 5), (1, 1, 0, 6)], "z int, x long, y long, v int")

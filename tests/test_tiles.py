@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from orospark.operators import tiles
-from orospark.sources.files import exists, fingerprints, list_folder, scan_tiles
+from orospark.sources.files import exists, fingerprints, is_inside, json_texts, list_folder, scan_tiles
+from orospark.sources.sinks import write_document
 
 
 def tree(root, names):
@@ -79,6 +80,30 @@ def test_workspace(spark, tmp_path):
     assert exists(spark, root)
 
 
+def test_paths_inside_a_workspace(spark, tmp_path):
+    (tmp_path / "my work").mkdir()
+    (tmp_path / "elsewhere").mkdir()
+    (tmp_path / "my work/a b.tif").write_bytes(b"x")
+    (tmp_path / "my work/out").symlink_to(tmp_path / "elsewhere")
+    (tmp_path / "my work/in").symlink_to(tmp_path / "my work")
+    root = f"file://{tmp_path}/my work"
+    inside = lambda p: is_inside(spark, p, root)
+    assert inside(root) and inside(root + "/a b.tif") and inside(f"{tmp_path}/my work/x/../y%20z") and inside(root + "/in/a b.tif")
+    assert not inside(root + "/out/x") and not inside(root + "/../elsewhere") and not inside(root + "er") and not inside("file:///")
+    assert [r.name for r in list_folder(spark, root).where("entry_type = 'file'").collect()] == ["a b.tif"]
+    r = fingerprints(spark, root + "/a b.tif").first()
+    assert (r.file_name, r.size_bytes) == ("a b.tif", 1)
+
+
+def test_documents_are_replaced_whole(spark, tmp_path):
+    path = f"file://{tmp_path}/d/doc.json"
+    write_document(spark, path, {"b": "é", "a": [1]})
+    write_document(spark, path, '{"z": null, "a": 2}')
+    assert (tmp_path / "d/doc.json").read_text() == '{\n  "a": 2,\n  "z": null\n}'
+    assert [f.name for f in (tmp_path / "d").iterdir() if not f.name.endswith(".crc")] == ["doc.json"]
+    assert json.loads(json_texts(spark, path).first().text) == {"a": 2, "z": None} and json_texts(spark, f"file://{tmp_path}/d/x*.json").count() == 0
+
+
 def test_fingerprints(spark, tmp_path):
     tree(tmp_path, ["a.tif"])
     r = fingerprints(spark, f"file://{tmp_path}/a.tif").first()
