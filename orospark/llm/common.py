@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -120,6 +121,30 @@ def lookup(rows: DataFrame, found: DataFrame, key: str, hot_keys: int = HOT_KEYS
     return cold.unionByName(warm)
 
 
+#: What operators keep in a worker process from task to task.
+caches: list[dict] = []
+
+
+def cache() -> dict:
+    """A dictionary that lives as long as tasks of one operator follow one another in a worker."""
+    caches.append({})
+    return caches[-1]
+
+
+def start_task(keep: dict | None = None) -> None:
+    """In a worker: forget what other operators kept."""
+    for c in caches:
+        if c is not keep:
+            c.clear()
+
+
+def end_task() -> None:
+    """In a worker: give memory back to the system; the worker goes on to other tasks."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """df without the columns that would clash with names, in any letter case."""
     gone = {n.lower() for n in names}
@@ -137,11 +162,12 @@ def slices(batch: pa.RecordBatch, column: str | int, limit: int = SLICE_BYTES) -
         at = to
 
 
-def map_texts(df: DataFrame, make: Callable[[], Callable[[list[bytes | None]], list[pa.Array]]], fields: list[T.StructField], text: str = "text", keep_text: bool = True, where: int | None = None, limit: int = SLICE_BYTES) -> DataFrame:
+def map_texts(df: DataFrame, make: Callable[[], Callable[[list[bytes | None]], list[pa.Array]]], fields: list[T.StructField], text: str = "text", keep_text: bool = True, where: int | None = None, limit: int = SLICE_BYTES, keep: dict | None = None) -> DataFrame:
     """Append columns computed from whole texts, by Arrow batches.
 
     make() runs once in each task and returns the function from texts to columns. Columns of df that clash
-    with the new ones go. With ``where``, only rows whose new boolean column of that number is true stay."""
+    with the new ones go. With ``where``, only rows whose new boolean column of that number is true stay. ``keep`` is the
+    operator's own cache()."""
     kept = without(df, [f.name for f in fields])
     if text not in kept.columns:
         raise ValueError(f"no column {text}, or it clashes with a new one")
@@ -151,6 +177,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[bytes | None]], l
     types = [to_arrow_type(f.dataType) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start_task(keep)
         f = make()
         for batch in batches:
             for rows, texts in slices(batch, text, limit):
@@ -158,7 +185,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[bytes | None]], l
                 old = [(n, rows.column(i)) for i, n in enumerate(rows.schema.names) if keep_text or n != text]
                 out = pa.RecordBatch.from_arrays([c for _, c in old] + new, names=[n for n, _ in old] + [x.name for x in fields])
                 yield out if where is None else out.filter(new[where])
-        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
+        end_task()
 
     return kept.mapInArrow(run, schema)
 

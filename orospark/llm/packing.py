@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orospark.llm.common import RANGE_ROWS, discard, global_rank, materialise, parts_for, slices, smaller_batches, table, without
-from orospark.llm.tokens import BATCH_BYTES, encoder, tokenizer_path, with_end
+from orospark.llm.common import RANGE_ROWS, discard, end_task, global_rank, materialise, parts_for, slices, smaller_batches, start_task, table, without
+from orospark.llm.tokens import BATCH_BYTES, encoder, encoders, tokenizer_path, with_end
 
 WORD_BPE = "word_bpe_49k.json"
 WINDOW = 4096
@@ -105,7 +105,9 @@ def cut_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
     keys stay null; other columns of docs go."""
     long = T.LongType()
     schema = T.StructType([docs.schema[key], *(T.StructField(n, long) for n in ("start", "length", "ids_crc32", "doc_tokens")), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
+
     def run(batches):
+        start_task(encoders)
         encode = encoder(path).encode
         for batch in batches:
             for rows, texts in slices(batch, text, BATCH_BYTES):
@@ -122,7 +124,7 @@ def cut_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
                 if with_ids:  # the pieces follow one another in ids
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)), pa.int32()), pa.array(ids.view(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-        pa.default_memory_pool().release_unused()
+        end_task()
 
     return docs.select(key, text).mapInArrow(run, schema)
 

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from orospark.llm.common import cache
+
 #: Text encoded at once, about: the more, the fewer distinct chunks to look up.
 BATCH_BYTES = 6 << 20
 #: Chunks that a worker remembers; others are encoded again when they come in a later batch.
@@ -161,14 +163,14 @@ class ChunkEncoder:
         return out, out_ends, np.concatenate([flat, np.frombuffer(b"".join(ids), "<u4")]), starts, np.concatenate([sizes, own])
 
 
-_encoders: dict[str, ChunkEncoder] = {}
+encoders: dict[str, ChunkEncoder] = cache()
 
 
 def encoder(path: str) -> ChunkEncoder:
     """One encoder for each path in a worker process."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    if path not in encoders:
+        encoders[path] = ChunkEncoder(path)
+    return encoders[path]
 
 
 def with_end(ids: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:

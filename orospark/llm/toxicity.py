@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orospark.llm.common import discard, map_texts, materialise, slices, table
+from orospark.llm.common import discard, end_task, map_texts, materialise, slices, start_task, table
 
 #: Labelled documents that voters and classifier are fitted on at most: a sample chosen by a hash of the key.
 FIT_DOCS = 12_000
@@ -47,7 +47,7 @@ def _prefixes(word: bytes) -> list[bytes]:
 
 
 #: Word and opening counts that a task gathers before it sends them on.
-FLUSH = 200_000
+FLUSH = 100_000
 
 
 def _entries(text: bytes | None) -> set[bytes]:
@@ -58,6 +58,7 @@ def entry_counts(sample: DataFrame) -> DataFrame:
     """(entry, pos, neg): how many toxic and other texts of the sample have each word and opening, added up in the tasks first."""
 
     def run(batches):
+        start_task()
         held: list[Counter] = [Counter(), Counter()]
 
         def out():
@@ -73,6 +74,8 @@ def entry_counts(sample: DataFrame) -> DataFrame:
                 if len(held[0]) + len(held[1]) > FLUSH:
                     yield out()
         yield out()
+        del held[:]
+        end_task()
 
     return sample.select("text", "y").mapInArrow(run, "entry binary, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
@@ -391,13 +394,14 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
     at = docs.columns.index(text)
 
     def run(batches):
+        start_task()
         model = shared.value
         for batch in batches:
             for rows, texts in slices(batch, at):
                 found = [describe(t, model.lexicon) for t in texts]
                 score = model.score([h for h, _ in found], np.array([s for _, s in found]).reshape(-1, 5))
                 yield rows.filter(pa.array(score < 0.5))
-        pa.default_memory_pool().release_unused()
+        end_task()
 
     return docs.mapInArrow(run, docs.schema)
 
