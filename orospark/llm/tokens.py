@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ JOINED = 512
 MARKS = ",.!?;:|$%&#*"
 #: Control characters that are white space to Python but not to the tokenizers' patterns, or the other way, and those used as marks here.
 CONTROLS = ("\0", "\x01", "\x1c", "\x1d", "\x1e", "\x1f", "᠎")
+_CONTROL = re.compile(f"[{''.join(CONTROLS)}]")
 
 
 class ChunkEncoder:
@@ -95,7 +97,7 @@ class ChunkEncoder:
     def _odd(self, chunk: str) -> bool:
         """White space beside white space, or a character that stands for something here."""
         if self.word:
-            return not chunk or any(c in chunk for c in CONTROLS)
+            return not chunk or _CONTROL.search(chunk) is not None
         rest = chunk[1:] if chunk[:1] in ("\n", "\0") else chunk
         return not rest or rest[0].isspace() or rest[-1].isspace() or "\0" in rest or "\n" in rest or "᠎" in rest
 
