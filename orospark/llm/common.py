@@ -121,20 +121,20 @@ def lookup(rows: DataFrame, found: DataFrame, key: str, hot_keys: int = HOT_KEYS
     return cold.unionByName(warm)
 
 
-#: What operators keep in a worker process from task to task.
-caches: list[dict] = []
+#: What operators keep in a worker process from task to task, by name.
+caches: dict[str, dict] = {}
 
 
-def cache() -> dict:
+def cache(name: str) -> dict:
     """A dictionary that lives as long as tasks of one operator follow one another in a worker."""
-    caches.append({})
-    return caches[-1]
+    return caches.setdefault(name, {})
 
 
-def start_task(keep: dict | None = None) -> None:
-    """In a worker: forget what other operators kept."""
-    for c in caches:
-        if c is not keep:
+def start_task(keep: str | None = None) -> None:
+    """In a worker: forget what other operators kept. A function sent to a worker brings copies of the dictionaries that
+    it refers to, so caches go by name."""
+    for name, c in caches.items():
+        if name != keep:
             c.clear()
 
 
@@ -162,12 +162,12 @@ def slices(batch: pa.RecordBatch, column: str | int, limit: int = SLICE_BYTES) -
         at = to
 
 
-def map_texts(df: DataFrame, make: Callable[[], Callable[[list[bytes | None]], list[pa.Array]]], fields: list[T.StructField], text: str = "text", keep_text: bool = True, where: int | None = None, limit: int = SLICE_BYTES, keep: dict | None = None) -> DataFrame:
+def map_texts(df: DataFrame, make: Callable[[], Callable[[list[bytes | None]], list[pa.Array]]], fields: list[T.StructField], text: str = "text", keep_text: bool = True, where: int | None = None, limit: int = SLICE_BYTES, keep: str | None = None) -> DataFrame:
     """Append columns computed from whole texts, by Arrow batches.
 
     make() runs once in each task and returns the function from texts to columns. Columns of df that clash
-    with the new ones go. With ``where``, only rows whose new boolean column of that number is true stay. ``keep`` is the
-    operator's own cache()."""
+    with the new ones go. With ``where``, only rows whose new boolean column of that number is true stay. ``keep`` names
+    the operator's own cache()."""
     kept = without(df, [f.name for f in fields])
     if text not in kept.columns:
         raise ValueError(f"no column {text}, or it clashes with a new one")

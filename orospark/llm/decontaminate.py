@@ -167,7 +167,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
 
             return f
 
-        return map_texts(docs, make, _FIELDS, text, keep_text, where=where, keep=_built).drop("_clean")
+        return map_texts(docs, make, _FIELDS, text, keep_text, where=where, keep=MATCHERS).drop("_clean")
 
     rows, blocks = materialise(docs.withColumn("_orospark_row", F.monotonically_increasing_id())), materialise(blocks)
     hits = [_hits(rows.select("_orospark_row", text), _share(blocks, k), text, window) for k in range(n)]
@@ -194,7 +194,7 @@ def _hits(rows: DataFrame, block: tuple, text: str, window: int) -> DataFrame:
 
         return f
 
-    out = map_texts(rows, make, [T.StructField("_spans", _SPANS), T.StructField("_items", _ITEMS), T.StructField("_any", T.BooleanType())], text, False, where=2, keep=_built)
+    out = map_texts(rows, make, [T.StructField("_spans", _SPANS), T.StructField("_items", _ITEMS), T.StructField("_any", T.BooleanType())], text, False, where=2, keep=MATCHERS)
     written = materialise(out.drop("_any"))
     block[1].destroy()
     return written
@@ -223,7 +223,9 @@ def _finish(joined: DataFrame, text: str, one_in: int, keep_text: bool, where: i
     return kept.mapInArrow(run, schema).drop("_clean")
 
 
-_built: dict[tuple[str, int], Matcher] = cache()
+#: Name of the matchers' cache().
+MATCHERS = "matchers"
+_built: dict[tuple[str, int], Matcher] = cache(MATCHERS)
 
 
 def _matcher(block: tuple, window: int) -> Matcher:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orospark.llm.common import RANGE_ROWS, discard, end_task, global_rank, materialise, parts_for, slices, smaller_batches, start_task, table, without
-from orospark.llm.tokens import BATCH_BYTES, encoder, encoders, tokenizer_path, with_end
+from orospark.llm.tokens import BATCH_BYTES, ENCODERS, encoder, tokenizer_path, with_end
 
 WORD_BPE = "word_bpe_49k.json"
 WINDOW = 4096
@@ -107,7 +107,7 @@ def cut_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
     schema = T.StructType([docs.schema[key], *(T.StructField(n, long) for n in ("start", "length", "ids_crc32", "doc_tokens")), *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
 
     def run(batches):
-        start_task(encoders)
+        start_task(ENCODERS)
         encode = encoder(path).encode
         for batch in batches:
             for rows, texts in slices(batch, text, BATCH_BYTES):

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orospark.llm.common import dealt_by_range, map_texts, new_path, parts_for, smaller_batches, table
-from orospark.llm.tokens import BATCH_BYTES, encoder, encoders, tokenizer_path, with_end
+from orospark.llm.tokens import BATCH_BYTES, ENCODERS, encoder, tokenizer_path, with_end
 
 BYTE_BPE = "byte_bpe_50k.json"
 #: Dictionary pages for ids (a vocabulary of 50k fits in one), delta for the metadata; the v2 writer adds page
@@ -65,7 +65,7 @@ def encode_documents(docs: DataFrame, path: str, end_id: int = 0, text: str = "t
 
         return f
 
-    return map_texts(dealt, make, fields, text, keep_text=False, limit=BATCH_BYTES, keep=encoders)
+    return map_texts(dealt, make, fields, text, keep_text=False, limit=BATCH_BYTES, keep=ENCODERS)
 
 
 def write_token_files(docs: DataFrame, out: str, path: str, end_id: int = 0, text: str = "text", key: str = "doc_id", layout: dict[str, str] | None = None) -> None:

@@ -165,7 +165,9 @@ class ChunkEncoder:
         return out, out_ends, np.concatenate([flat, np.frombuffer(b"".join(ids), "<u4")]), starts, np.concatenate([sizes, own])
 
 
-encoders: dict[str, ChunkEncoder] = cache()
+#: Name of the encoders' cache().
+ENCODERS = "encoders"
+encoders: dict[str, ChunkEncoder] = cache(ENCODERS)
 
 
 def encoder(path: str) -> ChunkEncoder:

@@ -11,11 +11,12 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orospark.llm import decontaminate, packing, sharding, simhash, token_files
-from orospark.llm.common import lookup, scratch
+from orospark.llm.common import lookup, map_texts, scratch
 from orospark.llm.components import connected_components
-from orospark.llm.tokens import ChunkEncoder, encoder, tokenizer_path
+from orospark.llm.tokens import ENCODERS, ChunkEncoder, encoder, tokenizer_path
 
 SF = "/root/testdata/sf0.01"
 ODD = [(1, None), (2, ""), (3, "  \n\t "), (4, "one"), (4, "one"), (5, "word " * 30000), (None, "null key"), (7, "a  b\x1cc é日本語 <|endoftext|>")]
@@ -144,6 +145,21 @@ def test_added_tokens_are_those_of_the_library(name):
         assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_workers_keep_their_own_cache_only(spark):
+    def kept_in(keep):
+        def make():
+            from orospark.llm.tokens import encoders
+
+            known = "x" in encoders
+            encoders["x"] = None
+            return lambda texts: [[known] * len(texts)]
+
+        rows = spark.range(0, 64, 1, 64).select(F.lit("t").alias("text"))
+        return map_texts(rows, make, [T.StructField("known", T.BooleanType())], keep=keep).where("known").count()
+
+    assert kept_in(ENCODERS) >= 32 and kept_in("another") == 0
+
+
 def crc(ids):
     return zlib.crc32(np.asarray(ids, "<u4").tobytes())
 
