@@ -41,7 +41,9 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.word = self.tokenizer.normalizer is not None
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        controls = [f"\\x{{{ord(c):x}}}" for c in (CONTROLS if self.word else CONTROLS[:1])]
+        self.apart = "|".join([f"[{''.join(controls)}]", *added])
         self.separator = " \x01 " if self.word else "\n"
         self.mark = self._whole([self.separator])[0]
         self.cache: dict[str, bytes] = {}
@@ -108,9 +110,7 @@ class ChunkEncoder:
         except pa.ArrowInvalid:
             column = pa.array([t and t.decode("utf-8", "replace") for t in texts], pa.large_string())
         column = column.fill_null("")
-        n, apart = len(column), np.zeros(len(column), bool)
-        for c in (*(CONTROLS if self.word else CONTROLS[:1]), *self.added):
-            apart |= pc.match_substring(column, c).to_numpy(zero_copy_only=False)
+        n, apart = len(column), pc.match_substring_regex(column, self.apart).to_numpy(zero_copy_only=False)
         if self.word:
             lists = pc.utf8_split_whitespace(column)
         else:
