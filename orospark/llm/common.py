@@ -138,8 +138,8 @@ def start_task(keep: str | None = None) -> None:
             c.clear()
 
 
-def end_task() -> None:
-    """In a worker: give memory back to the system; the worker goes on to other tasks."""
+def give_memory_back() -> None:
+    """In a worker: give memory back to the system; the worker goes on to other slices and tasks."""
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
@@ -159,6 +159,7 @@ def slices(batch: pa.RecordBatch, column: str | int, limit: int = SLICE_BYTES) -
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1)
         yield batch.slice(at, to - at), texts.slice(at, to - at).to_pylist()
+        give_memory_back()  # some 10 ms; the allocators would hoard as much as a slice takes
         at = to
 
 
@@ -185,7 +186,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[bytes | None]], l
                 old = [(n, rows.column(i)) for i, n in enumerate(rows.schema.names) if keep_text or n != text]
                 out = pa.RecordBatch.from_arrays([c for _, c in old] + new, names=[n for n, _ in old] + [x.name for x in fields])
                 yield out if where is None else out.filter(new[where])
-        end_task()
+        give_memory_back()
 
     return kept.mapInArrow(run, schema)
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orospark.llm.common import RANGE_ROWS, discard, end_task, global_rank, materialise, parts_for, slices, smaller_batches, start_task, table, without
+from orospark.llm.common import RANGE_ROWS, discard, give_memory_back, global_rank, materialise, parts_for, slices, smaller_batches, start_task, table, without
 from orospark.llm.tokens import BATCH_BYTES, ENCODERS, encoder, tokenizer_path, with_end
 
 WORD_BPE = "word_bpe_49k.json"
@@ -124,7 +124,7 @@ def cut_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
                 if with_ids:  # the pieces follow one another in ids
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)), pa.int32()), pa.array(ids.view(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-        end_task()
+        give_memory_back()
 
     return docs.select(key, text).mapInArrow(run, schema)
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orospark.llm.common import end_task, map_texts, slices, start_task, table
+from orospark.llm.common import give_memory_back, map_texts, slices, start_task, table
 from orospark.llm.spans import SECRET_KINDS, Span, Taken, by_start, digest, find_secrets, written
 
 #: A candidate: a run of so many characters that secrets are written in, at least.
@@ -236,7 +236,7 @@ def mask(docs: DataFrame, model: MarkovPair, text: str = "text", with_: str = "[
                             to = max(to, b)
                     new.append(None if t is None else "".join([*out, s[to:]]))
                 yield rows.set_column(at, rows.schema.field(at), pa.array(new, rows.schema.field(at).type))
-        end_task()
+        give_memory_back()
 
     return docs.mapInArrow(run, docs.schema)
 

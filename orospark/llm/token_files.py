@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orospark.llm.common import dealt_by_range, end_task, map_texts, new_path, parts_for, smaller_batches, start_task, table
+from orospark.llm.common import dealt_by_range, give_memory_back, map_texts, new_path, parts_for, smaller_batches, start_task, table
 from orospark.llm.tokens import BATCH_BYTES, ENCODERS, encoder, tokenizer_path, with_end
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -116,7 +116,7 @@ def id_checksums(spark, out: str, key: str = "doc_id") -> DataFrame:
             data = memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), "<i4")).cast("B")
             crc = [zlib.crc32(data[4 * x : 4 * y]) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*rows.columns[:4], pa.array(crc, pa.int64())], names=schema.names)
-        end_task()
+        give_memory_back()
 
     return rows.mapInArrow(run, schema)
 

@@ -16,8 +16,10 @@ BATCH_BYTES = 6 << 20
 #: Chunks that a worker remembers; others are encoded again when they come in a later batch.
 CACHE_CHUNKS = 450_000
 CACHE_CHUNK_BYTES = 32
-#: Chunks encoded in one call, with separators whose ids are known.
+#: Chunks encoded as one string, with separators whose ids are known.
 JOINED = 512
+#: Such strings in one call: the library holds some hundred bytes for each token of a call.
+CALLS = 16
 #: Marks that end a pre-token of letters before them.
 MARKS = ",.!?;:|$%&#*"
 #: Control characters that are white space to Python but not to the tokenizers' patterns, or the other way, and those used as marks here.
@@ -57,10 +59,12 @@ class ChunkEncoder:
             return self._whole(atoms)
         mark, out = np.frombuffer(self.mark, "<u4")[0], []
         runs = [atoms[k : k + JOINED] for k in range(0, len(atoms), JOINED)]
-        for run, ids in zip(runs, self._whole([self.separator.join(r) for r in runs]), strict=True):
-            at = [-1, *np.flatnonzero(np.frombuffer(ids, "<u4") == mark).tolist(), len(ids) // 4]
-            got = [ids[4 * (x + 1) : 4 * y] for x, y in zip(at, at[1:])]
-            out += got if len(got) == len(run) else self._whole(run)
+        for k in range(0, len(runs), CALLS):
+            some = runs[k : k + CALLS]
+            for run, ids in zip(some, self._whole([self.separator.join(r) for r in some]), strict=True):
+                at = [-1, *np.flatnonzero(np.frombuffer(ids, "<u4") == mark).tolist(), len(ids) // 4]
+                got = [ids[4 * (x + 1) : 4 * y] for x, y in zip(at, at[1:])]
+                out += got if len(got) == len(run) else self._whole(run)
         return out
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
@@ -119,6 +123,7 @@ class ChunkEncoder:
         ends = lists.offsets.to_numpy().astype(np.int64)
         coded = lists.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
         ends -= ends[0]
+        marked = lists = None  # as large as the texts
         codes, chunks = coded.indices.to_numpy(), coded.dictionary.to_pylist()
         ids = list(map(self.cache.get, chunks))
         new = [k for k, i in enumerate(ids) if i is None]

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orospark.llm.common import discard, end_task, map_texts, materialise, slices, start_task, table
+from orospark.llm.common import discard, give_memory_back, map_texts, materialise, slices, start_task, table
 
 #: Labelled documents that voters and classifier are fitted on at most: a sample chosen by a hash of the key.
 FIT_DOCS = 12_000
@@ -75,7 +75,7 @@ def entry_counts(sample: DataFrame) -> DataFrame:
                     yield out()
         yield out()
         del held[:]
-        end_task()
+        give_memory_back()
 
     return sample.select("text", "y").mapInArrow(run, "entry binary, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
@@ -401,7 +401,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, text: str = "text", key: str
                 found = [describe(t, model.lexicon) for t in texts]
                 score = model.score([h for h, _ in found], np.array([s for _, s in found]).reshape(-1, 5))
                 yield rows.filter(pa.array(score < 0.5))
-        end_task()
+        give_memory_back()
 
     return docs.mapInArrow(run, docs.schema)
 
