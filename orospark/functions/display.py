@@ -92,9 +92,14 @@ def show_zooms(least: Column, most: Column) -> Column:
     return F.when(least.isNull() | most.isNull(), F.lit(DASH)).otherwise(text)
 
 
+def half_up(c: Column, places: int) -> Column:
+    """Fixed places, halves up after scaling in doubles: the decimal digits of c alone differ from that in large numbers."""
+    return fixed(F.floor(c * 10**places + 0.5) / 10**places, places)
+
+
 def show_size(c: Column) -> Column:
     k, m, g = 1 << 10, 1 << 20, 1 << 30
-    text = F.when(c < k, F.concat(c.cast("long").cast("string"), F.lit(" B"))).when(c < m, F.concat(fixed(c / k, 1), F.lit(" KB"))).when(c < g, F.concat(fixed(c / m, 1), F.lit(" MB"))).otherwise(F.concat(fixed(c / g, 2), F.lit(" GB")))
+    text = F.when(c < k, F.concat(c.cast("long").cast("string"), F.lit(" B"))).when(c < m, F.concat(half_up(c / k, 1), F.lit(" KB"))).when(c < g, F.concat(half_up(c / m, 1), F.lit(" MB"))).otherwise(F.concat(half_up(c / g, 2), F.lit(" GB")))
     return F.coalesce(text, F.lit(""))
 
 
