@@ -151,24 +151,25 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
 
 
-def slices(batch: pa.RecordBatch, column: str | int, limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Runs of rows of about limit bytes of text, with their texts as UTF-8 (None for null)."""
+def slices(batch: pa.RecordBatch, column: str | int, limit: int = SLICE_BYTES, arrow: bool = False) -> Iterator[tuple[pa.RecordBatch, list[bytes | None] | pa.LargeBinaryArray]]:
+    """Runs of rows of about limit bytes of text, with their texts as UTF-8 (None for null), with arrow as an array."""
     texts = batch.column(column if isinstance(column, int) else batch.schema.get_field_index(column)).cast(pa.large_binary())
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     at = 0
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1)
-        yield batch.slice(at, to - at), texts.slice(at, to - at).to_pylist()
+        run = texts.slice(at, to - at)
+        yield batch.slice(at, to - at), run if arrow else run.to_pylist()
         give_memory_back()  # some 10 ms; the allocators would hoard as much as a slice takes
         at = to
 
 
-def map_texts(df: DataFrame, make: Callable[[], Callable[[list[bytes | None]], list[pa.Array]]], fields: list[T.StructField], text: str = "text", keep_text: bool = True, where: int | None = None, limit: int = SLICE_BYTES, keep: str | None = None) -> DataFrame:
+def map_texts(df: DataFrame, make: Callable[[], Callable[[list[bytes | None]], list[pa.Array]]], fields: list[T.StructField], text: str = "text", keep_text: bool = True, where: int | None = None, limit: int = SLICE_BYTES, keep: str | None = None, arrow: bool = False) -> DataFrame:
     """Append columns computed from whole texts, by Arrow batches.
 
     make() runs once in each task and returns the function from texts to columns. Columns of df that clash
     with the new ones go. With ``where``, only rows whose new boolean column of that number is true stay. ``keep`` names
-    the operator's own cache()."""
+    the operator's own cache(); ``arrow`` gives the function arrays instead of lists."""
     kept = without(df, [f.name for f in fields])
     if text not in kept.columns:
         raise ValueError(f"no column {text}, or it clashes with a new one")
@@ -181,7 +182,7 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[bytes | None]], l
         start_task(keep)
         f = make()
         for batch in batches:
-            for rows, texts in slices(batch, text, limit):
+            for rows, texts in slices(batch, text, limit, arrow):
                 new = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(f(texts), types, strict=True)]
                 old = [(n, rows.column(i)) for i, n in enumerate(rows.schema.names) if keep_text or n != text]
                 out = pa.RecordBatch.from_arrays([c for _, c in old] + new, names=[n for n, _ in old] + [x.name for x in fields])

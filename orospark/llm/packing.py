@@ -110,7 +110,7 @@ def cut_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
         start_task(ENCODERS)
         encode = encoder(path).encode
         for batch in batches:
-            for rows, texts in slices(batch, text, BATCH_BYTES):
+            for rows, texts in slices(batch, text, BATCH_BYTES, arrow=True):
                 ids, ends = with_end(*encode(texts), end_id)
                 n = np.diff(ends)
                 pieces = -(-n // window)

@@ -65,7 +65,7 @@ def encode_documents(docs: DataFrame, path: str, end_id: int = 0, text: str = "t
 
         return f
 
-    return map_texts(dealt, make, fields, text, keep_text=False, limit=BATCH_BYTES, keep=ENCODERS)
+    return map_texts(dealt, make, fields, text, keep_text=False, limit=BATCH_BYTES, keep=ENCODERS, arrow=True)
 
 
 def write_token_files(docs: DataFrame, out: str, path: str, end_id: int = 0, text: str = "text", key: str = "doc_id", layout: dict[str, str] | None = None) -> None:

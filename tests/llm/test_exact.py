@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -145,6 +146,35 @@ def test_added_tokens_are_those_of_the_library(name):
         assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_the_library_gets_each_new_chunk_once(whole):
+    """Each id costs the library's time: none for separators, none twice, none for what is known."""
+    e, one, made = ChunkEncoder(tokenizer_path("byte_bpe_50k.json")), whole("byte_bpe_50k.json"), []
+    plain = e.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            out = plain.encode_batch_fast(texts, **options)
+            made.extend(len(x.ids) for x in out)
+            return out
+
+    e.tokenizer = Counted()
+    words = [f"foranouha{chr(97 + k % 26)}{chr(97 + k // 26)}lich" for k in range(600)]
+    texts = ["x " + " ".join(words[k : k + 100]) for k in range(0, len(words), 100)] * 3
+    for _ in range(2):
+        ids, ends = e.encode([t.encode() for t in texts])
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [one(t) for t in texts]
+    assert sum(made) <= sum(len(one(" " + w)) for w in words) + 2  # and a line feed and "x", first of all
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_odd_characters_in_arrays(name, whole):
+    rng, e, one = random.Random(7), ChunkEncoder(tokenizer_path(name)), whole(name)
+    parts = [*"\n\r\t\x0b\x85\xa0\u180e\u2009\u3000\u200b\ufeffaé'!1,٣²日😀_\x01ĠĊ", *[" "] * 12, "'ll", "word", "Wort,", "[UNK]"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 15))) for _ in range(4000)]
+    ids, ends = e.encode(pa.array([None, b"a \xff b", *[t.encode() for t in texts]], pa.large_binary()).slice(1))
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [one(t) for t in ["a \ufffd b", *texts]]
+
+
 def test_workers_keep_their_own_cache_only(spark):
     def kept_in(keep):
         def make():
