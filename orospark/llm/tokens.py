@@ -24,6 +24,9 @@ CALLS = 16
 CONTROLS = ("\0", "\x01", "\x1c", "\x1d", "\x1e", "\x1f", "᠎")
 #: White space to Python or to the tokenizers' patterns, but the line feed.
 SPACES = r"[\t\x0b-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Marks that end a chunk after a letter are a pre-token of their own.
+MARKED = r"[A-Za-zÀ-ÖØ-öø-ɏ][,.!?;:|$%&#*]+$"
+MARKS = ",.!?;:|$%&#*"
 LARGE = pa.large_string()
 EMPTY = pa.scalar("", LARGE)
 
@@ -32,6 +35,14 @@ def _bounds(column: pa.LargeStringArray) -> np.ndarray:
     return np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
 
 
+def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(runs of flat one after the other, where each begins, and their end)."""
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    small = np.int32 if max(upto[-1], len(flat)) < 1 << 31 else np.int64
+    place = np.arange(upto[-1], dtype=small) + np.repeat((starts - upto[:-1]).astype(small), sizes)
+    return flat[place], upto
+
+
 class ChunkEncoder:
     """encode(texts) gives the ids of all texts in one array, and where each text's begin.
 
@@ -52,7 +63,7 @@ class ChunkEncoder:
         controls = [f"\\x{{{ord(c):x}}}" for c in (CONTROLS if self.word else CONTROLS[:1])]
         self.apart = "|".join([f"[{''.join(controls)}]", *added])
         # white space beside white space, or a character that stands for something here
-        self.odd = f"^$|[{''.join(controls)}]" if self.word else rf"(?s)^[\n\x00]?(?:{SPACES}|$)|{SPACES}$|^.+[\n\x00]|\x{{180e}}"
+        self.odd = f"^$|[{''.join(controls[1:])}]" if self.word else rf"(?s)^[\n\x00]?(?:{SPACES}|$)|{SPACES}$|^.+[\n\x00]|\x{{180e}}"
         self.separator = " \x01 " if self.word else "\n"
         self.mark = self._whole([self.separator])[0]
         vocabulary = self.tokenizer.get_vocab()
@@ -86,7 +97,7 @@ class ChunkEncoder:
         After a space, a chunk's first id is one that starts with a space, and no other is; so these need no separator."""
         lead = pc.binary_join_element_wise
         if self.word:
-            ids, sizes = self._joined(lead(pa.scalar(self.separator, LARGE), chunks, EMPTY), self.marks)
+            ids, sizes = self._joined(lead(pa.scalar(self.separator, LARGE), pc.utf8_ltrim(chunks, "\0"), EMPTY), self.marks)
             return ids, np.cumsum(sizes) - sizes + len(self.mark), sizes - len(self.mark)
         begins = np.frombuffer(chunks.buffers()[2] or b"", np.uint8)[_bounds(chunks)[:-1]]
         bare = (begins == 0) | (begins == 10)
@@ -103,12 +114,44 @@ class ChunkEncoder:
         if len(chunks) and len(self.known) < CACHE_CHUNKS:
             short = np.diff(_bounds(chunks)) <= CACHE_CHUNK_BYTES
             starts, sizes = starts[short], sizes[short]
-            own = np.cumsum(sizes) - sizes
-            ids = ids[np.arange(sizes.sum()) + np.repeat(starts - own, sizes)]
+            ids, upto = _gathered(ids, starts, sizes)
             self.known = pa.concat_arrays([self.known, chunks.filter(pa.array(short))])
-            self.starts = np.concatenate([self.starts, own + len(self.flat)])
+            self.starts = np.concatenate([self.starts, upto[:-1] + len(self.flat)])
             self.sizes, self.flat = np.concatenate([self.sizes, sizes]), np.concatenate([self.flat, ids])
 
+    def _known(self, chunks: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, sizes, which are odd) of distinct chunks, odd ones without ids."""
+        place = pc.index_in(chunks, value_set=self.known).fill_null(-1).to_numpy()
+        found, new, odd = place >= 0, np.flatnonzero(place < 0), np.zeros(len(chunks), bool)
+        odd[new] = pc.match_substring_regex(chunks.take(pa.array(new)), self.odd).to_numpy(zero_copy_only=False)
+        new = new[~odd[new]]
+        starts, sizes = np.zeros((2, len(chunks)), np.int64)
+        starts[found], sizes[found] = self.starts[place[found]], self.sizes[place[found]]
+        names = chunks.take(pa.array(new))
+        fresh, own, sizes[new] = self._ids(names)
+        starts[new] = own + len(self.flat)
+        flat = np.concatenate([self.flat, fresh])
+        self._remember(names, fresh, own, sizes[new])
+        return flat, starts, sizes, odd
+
+    def _looked_up(self, chunks: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As _known(); chunks that end in marks are put together from two, of which most are known."""
+        marked = pc.match_substring_regex(chunks, MARKED)
+        ending = chunks.filter(marked)
+        stems = pc.utf8_rtrim(ending, MARKS)
+        marks = pc.replace_substring_regex(ending, "(?s)^.*[^,.!?;:|$%&#*]", "\0")
+        parts = pa.concat_arrays([chunks.filter(pc.invert(marked)), stems, marks]).dictionary_encode()
+        flat, starts, sizes, odd = self._known(parts.dictionary)
+        marked, part = marked.to_numpy(zero_copy_only=False), parts.indices.to_numpy()
+        n = len(ending)
+        one, two = np.zeros((2, len(chunks)), part.dtype)
+        one[~marked], one[marked], two[marked] = part[: len(chunks) - n], part[len(chunks) - n : len(chunks)], part[len(chunks) :]
+        both = np.stack([one[marked], two[marked]], 1).ravel()
+        ids, ends = _gathered(flat, starts[both], sizes[both])
+        starts, sizes, odd = starts[one], sizes[one], odd[one]
+        starts[marked], sizes[marked] = len(flat) + ends[:-1:2], np.diff(ends[::2])
+        return np.concatenate([flat, ids]), starts, sizes, odd
+
     def encode(self, texts: list[bytes | None] | pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of UTF-8 texts; those of text k are ids[offsets[k]:offsets[k + 1]]. None is empty."""
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_binary())
@@ -128,29 +171,14 @@ class ChunkEncoder:
         ends -= ends[0]
         marked = lists = None  # as large as the texts
         codes, chunks = coded.indices.to_numpy(), coded.dictionary
-        place = pc.index_in(chunks, value_set=self.known).fill_null(-1).to_numpy()
-        strange = np.zeros(len(chunks), bool)
-        new = np.flatnonzero(place < 0)
-        strange[new] = pc.match_substring_regex(chunks.take(pa.array(new)), self.odd).to_numpy(zero_copy_only=False)
+        flat, starts, sizes, strange = self._looked_up(chunks)
         if strange.any() and not self.word:
             apart[np.searchsorted(ends, np.flatnonzero(strange[codes]), "right") - 1] = True
             apart[np.diff(ends) == 1] &= pc.binary_length(column).to_numpy()[np.diff(ends) == 1] > 0  # an empty text is one empty chunk
-        new = new[~strange[new]]
-        found = place >= 0
-        starts, sizes = np.zeros((2, len(chunks)), np.int64)
-        starts[found], sizes[found] = self.starts[place[found]], self.sizes[place[found]]
-        names = chunks.take(pa.array(new))
-        fresh, own, sizes[new] = self._ids(names)
-        starts[new] = own + len(self.flat)
-        flat = np.concatenate([self.flat, fresh])
-        self._remember(names, fresh, own, sizes[new])
         if apart.any():
             codes, ends, flat, starts, sizes = self._patch(column, apart, codes, ends, flat, starts, sizes)
-        each = sizes[codes]
-        upto = np.concatenate([[0], np.cumsum(each)])
-        small = np.int32 if max(upto[-1], len(flat)) < 1 << 31 else np.int64
-        place = np.arange(upto[-1], dtype=small) + np.repeat((starts[codes] - upto[:-1]).astype(small), each)
-        return flat[place], upto[ends[: n + 1]]
+        ids, upto = _gathered(flat, starts[codes], sizes[codes])
+        return ids, upto[ends[: n + 1]]
 
     def _patch(self, column, apart, codes, ends, flat, starts, sizes):
         """The texts set apart become one chunk each, encoded whole."""
