@@ -16,7 +16,7 @@ BATCH_BYTES = 6 << 20
 #: Chunks that a worker remembers; others are encoded again when they come in a later batch.
 CACHE_CHUNKS = 450_000
 CACHE_CHUNK_BYTES = 32
-#: Chunks encoded as one string, with separators whose ids are known.
+#: Chunks encoded as one string.
 JOINED = 512
 #: Such strings in one call: the library holds some hundred bytes for each token of a call.
 CALLS = 16
