@@ -19,6 +19,9 @@ SLICE_BYTES = 8 << 20
 
 #: Rows with texts in an Arrow batch.
 BATCH_ROWS = 2500
+#: Rows of a batch from Spark's Parquet reader and of one in Arrow where the JVM is to stay small: the vectors of both double
+#: as they grow, and large arrays make the heap grow.
+READER_ROWS, FEW_ROWS = 256, 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -85,19 +88,22 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 
 @contextmanager
-def smaller_batches(spark: SparkSession) -> Iterator[None]:
+def smaller_batches(spark: SparkSession, rows: int = BATCH_ROWS, read: int | None = None) -> Iterator[None]:
     """While a step with whole texts is written, hand them to Python in smaller Arrow batches than the default of 10,000
-    rows, unless the session has its own setting; afterwards the session is as it was.
+    rows, and with ``read`` have Spark's Parquet reader make batches of so many rows instead of 4096, unless the session has
+    its own settings; afterwards the session is as it was.
 
     A batch is held several times over, in the JVM and in the worker; texts are kilobytes, not numbers."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key, "10000")
+    wanted = [("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", rows), ("spark.sql.parquet.columnarReaderBatchSize", "4096", read)]
+    before = {key: spark.conf.get(key, default) for key, default, n in wanted if n}
     try:
-        if before == "10000":
-            spark.conf.set(key, str(BATCH_ROWS))
+        for key, default, n in wanted:
+            if before.get(key) == default:
+                spark.conf.set(key, str(n))
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 #: A key with over one in so many of the rows counts as hot; there can't be more of them than this.
@@ -164,12 +170,27 @@ def slices(batch: pa.RecordBatch, column: str | int, limit: int = SLICE_BYTES, a
         at = to
 
 
+def joined(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """All rows in their order, runs of batches as one of at most about limit bytes of text; a larger one stays alone."""
+    run, size = [], 0
+    for batch in batches:
+        n = batch.column(batch.schema.get_field_index(column)).nbytes
+        if run and size + n > limit:
+            yield pa.concat_batches(run)
+            run, size = [], 0
+        run.append(batch)
+        size += n
+    if run:
+        yield pa.concat_batches(run)
+
+
 def map_texts(df: DataFrame, make: Callable[[], Callable[[list[bytes | None]], list[pa.Array]]], fields: list[T.StructField], text: str = "text", keep_text: bool = True, where: int | None = None, limit: int = SLICE_BYTES, keep: str | None = None, arrow: bool = False) -> DataFrame:
     """Append columns computed from whole texts, by Arrow batches.
 
     make() runs once in each task and returns the function from texts to columns. Columns of df that clash
     with the new ones go. With ``where``, only rows whose new boolean column of that number is true stay. ``keep`` names
-    the operator's own cache(); ``arrow`` gives the function arrays instead of lists."""
+    the operator's own cache(); ``arrow`` gives the function arrays instead of lists, those of short batches
+    joined, and short batches go back."""
     kept = without(df, [f.name for f in fields])
     if text not in kept.columns:
         raise ValueError(f"no column {text}, or it clashes with a new one")
@@ -181,12 +202,14 @@ def map_texts(df: DataFrame, make: Callable[[], Callable[[list[bytes | None]], l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start_task(keep)
         f = make()
-        for batch in batches:
+        for batch in joined(batches, text, limit) if arrow else batches:
             for rows, texts in slices(batch, text, limit, arrow):
                 new = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(f(texts), types, strict=True)]
                 old = [(n, rows.column(i)) for i, n in enumerate(rows.schema.names) if keep_text or n != text]
                 out = pa.RecordBatch.from_arrays([c for _, c in old] + new, names=[n for n, _ in old] + [x.name for x in fields])
-                yield out if where is None else out.filter(new[where])
+                out = out if where is None else out.filter(new[where])
+                step = FEW_ROWS if arrow else max(1, len(out))
+                yield from (out.slice(k, step) for k in range(0, max(1, len(out)), step))
         give_memory_back()
 
     return kept.mapInArrow(run, schema)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orospark.llm.common import dealt_by_range, give_memory_back, map_texts, new_path, parts_for, smaller_batches, start_task, table
+from orospark.llm.common import FEW_ROWS, READER_ROWS, dealt_by_range, give_memory_back, map_texts, materialise, new_path, parts_for, smaller_batches, start_task, table
 from orospark.llm.tokens import BATCH_BYTES, ENCODERS, encoder, tokenizer_path, with_end
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -70,7 +70,7 @@ def encode_documents(docs: DataFrame, path: str, end_id: int = 0, text: str = "t
 
 def write_token_files(docs: DataFrame, out: str, path: str, end_id: int = 0, text: str = "text", key: str = "doc_id", layout: dict[str, str] | None = None) -> None:
     """Encode docs and write them to the folder out; files and their rows are in ascending key order."""
-    with smaller_batches(docs.sparkSession):
+    with smaller_batches(docs.sparkSession, FEW_ROWS, READER_ROWS):
         encode_documents(docs, path, end_id, text, key).write.options(**(layout or LAYOUT)).parquet(out)
 
 
@@ -125,6 +125,6 @@ def op5_token_files(spark, sf_dir: str) -> DataFrame:
     """Place, length and checksum of each document's ids, read back from the files; odd rows as in encode_documents()."""
     out = new_path(spark)
     write_token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), out, tokenizer_path(BYTE_BPE))
-    files = spark.read.parquet(out)
-    metadata = files.select("part", "local_start", "n_tokens")
-    return with_starts(id_checksums(spark, out), metadata).select("doc_id", "start", "n_tokens", "ids_crc32")
+    with smaller_batches(spark, FEW_ROWS, READER_ROWS):  # so the files are read here, and the result from narrow rows
+        checked = materialise(id_checksums(spark, out))
+    return with_starts(checked).select("doc_id", "start", "n_tokens", "ids_crc32")

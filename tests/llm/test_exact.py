@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orospark.llm import decontaminate, packing, sharding, simhash, token_files
-from orospark.llm.common import lookup, map_texts, scratch
+from orospark.llm.common import FEW_ROWS, READER_ROWS, joined, lookup, map_texts, scratch
 from orospark.llm.components import connected_components
 from orospark.llm.tokens import ENCODERS, ChunkEncoder, encoder, tokenizer_path
 
@@ -231,6 +231,32 @@ def test_token_files_odd_rows(spark, whole, tmp_path):
     assert token_files.read_index(spark, empty).count() == 0
 
 
+def test_token_files_pass_the_jvm_in_small_batches(spark, whole, monkeypatch):
+    keys = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"]
+    settings, seen = (lambda: [spark.conf.get(k) for k in keys]), []
+    before = settings()
+    for name in ("encode_documents", "id_checksums"):
+        monkeypatch.setattr(token_files, name, lambda *a, f=getattr(token_files, name), **b: seen.append(settings()) or f(*a, **b))
+    got = token_files.op5_token_files(spark, "/root/testdata/sf0.001")
+    want, one = docs(spark, "/root/testdata/sf0.001"), whole("byte_bpe_50k.json")
+    assert {r.doc_id: r.ids_crc32 for r in got.collect()} == {k: crc([*one(t), 0]) for k, t in want.items()}
+    assert settings() == before == ["10000", "4096"] and seen == [[str(FEW_ROWS), str(READER_ROWS)]] * 2
+    assert "ids:array" not in got._jdf.queryExecution().executedPlan().toString()  # the files are read by then
+
+
+def test_joined_batches():
+    texts = [["a" * 40] * 3, [], [None, "b" * 40], ["c" * 900], ["d"], ["e"] * 400, [""]]
+    batches, at = [], 0
+    for t in texts:
+        batches.append(pa.RecordBatch.from_arrays([pa.array(range(at, at + len(t)), pa.int64()), pa.array(t, pa.string())], names=["k", "t"]))
+        at += len(t)
+    got = list(joined(iter(batches), "t", 300))
+    assert [x for b in got for x in b.to_pylist()] == [x for b in batches for x in b.to_pylist()]
+    assert [len(b) for b in got] == [5, 1, 1, 400, 1] and not list(joined(iter([]), "t", 300))
+    cut = [b.slice(k, 1) for b in batches for k in range(len(b))]  # slices count for themselves
+    assert [len(b) for b in joined(iter(cut), "t", 300)][:2] == [5, 1]
+
+
 def naive_best_fit(lengths, window):
     left = []
     for n in sorted(lengths, reverse=True):
